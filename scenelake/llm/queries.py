@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entropy_mix, quality_ledger, url_pagerank
+from . import entropy_mix, pii_boost, quality_ledger, simhash_bktree, url_pagerank
 from .common import table
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_bktree.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash_bktree.as_hex(out.fp).alias("fingerprint"), "component_id")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_boost.find(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_ledger.with_policy(quality_ledger.ledger(table(spark, sf_dir, "documents")), "v1")
     return book.select("doc_id", *quality_ledger.MEASURES, "base_failed", "kept", "failed")
@@ -23,6 +32,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_pii": op3_pii,
     "op5_quality_rules": op5_quality_rules,
     "op7_mix_sources": op7_mix_sources,
     "op10_url_filter": op10_url_filter,
