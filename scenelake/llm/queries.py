@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entropy_mix, pii_boost, quality_ledger, simhash_bktree, url_pagerank
+from . import bpe_count, entropy_mix, pii_boost, quality_ledger, simhash_bktree, toxicity_gbt, url_pagerank
 from .common import table
 
 
@@ -17,11 +17,21 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_boost.find(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_ledger.with_policy(quality_ledger.ledger(table(spark, sf_dir, "documents")), "v1")
     return book.select("doc_id", *quality_ledger.MEASURES, "base_failed", "kept", "failed")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_gbt.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = entropy_mix.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -34,7 +44,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_pii": op3_pii,
+    "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op7_mix_sources": op7_mix_sources,
     "op10_url_filter": op10_url_filter,
 }
