@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, entropy_mix, pii_boost, quality_ledger, simhash_bktree, toxicity_gbt, url_pagerank
+from . import bpe_count, decontam_pigeonhole, entropy_mix, pii_boost, quality_ledger, simhash_bktree, toxicity_gbt, url_pagerank
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam_pigeonhole.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_pagerank.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_mix_sources": op7_mix_sources,
+    "op8_decontaminate": op8_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
 
