@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_count, decontam_pigeonhole, entropy_mix, pii_boost, quality_ledger, simhash_bktree, toxicity_gbt, url_pagerank
+from . import bpe_count, decontam_pigeonhole, entropy_mix, pii_boost, quality_ledger, simhash_bktree, suffix_dedup, toxicity_gbt, url_pagerank
 from .common import table
 
 
@@ -13,6 +14,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash_bktree.as_hex(out.fp).alias("fingerprint"), "component_id")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_boost.find(table(spark, sf_dir, "documents"))
 
@@ -47,6 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_pii": op3_pii,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
