@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, decontam_pigeonhole, entropy_mix, pii_boost, quality_ledger, simhash_bktree, suffix_dedup, toxicity_gbt, url_pagerank
+from . import bpe_count, decontam_pigeonhole, entropy_mix, html_lstm, pii_boost, quality_ledger, simhash_bktree, suffix_dedup, toxicity_gbt, url_pagerank
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam_pigeonhole.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_lstm.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_pagerank.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_mix_sources": op7_mix_sources,
     "op8_decontaminate": op8_decontaminate,
+    "op9_html_extraction": op9_html_extraction,
     "op10_url_filter": op10_url_filter,
 }
 
