@@ -5,8 +5,6 @@ A sequential generator cannot be reproduced in parallel; here every draw is name
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,7 +48,7 @@ def sample_indices(n: Column, k: Column | int, most: int, seed: int, *keys: Colu
     k, n = k.cast("long"), n.cast("long")
     empty = F.expr("cast(array() as array<bigint>)")
 
-    def step(chosen: Column, i: int) -> Column:
+    def step(i: int, chosen: Column) -> Column:
         j = n - k + i
         t = F.floor((j + 1) * draw(seed, *keys, "pick", i)).cast("long")
         distinct = F.array_append(chosen, F.when(F.array_contains(chosen, t), j).otherwise(t))
@@ -61,9 +59,10 @@ def sample_indices(n: Column, k: Column | int, most: int, seed: int, *keys: Colu
     let = lambda value, fn: F.get(F.transform(F.array(value), fn), 0)
     out = empty
     for i in range(most):
-        out = let(out, lambda c, i=i: step(c, i))
+        out = let(out, _taking(step, i))
     return out
 
 
-def all_of(*conds: Column) -> Column:
-    return reduce(lambda a, b: a & b, conds)
+def _taking(step, i: int):
+    """step with its number bound: Spark reads a lambda's signature, so a default argument would count as an index."""
+    return lambda chosen: step(i, chosen)

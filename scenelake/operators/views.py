@@ -31,7 +31,7 @@ def pose(views: DataFrame, center: Column, radius: Column, seed: int, *keys: Col
     draw = lambda n: rng.draw(seed, *keys, n)
     free = F.col("location").isNull()
     location = F.when(free, geometry.orbit(center, radius, draw("theta"), draw("phi"), draw("r"))).otherwise(F.col("location"))
-    out = views.withColumn("location", location).withColumn("__free", free)
+    out = views.withColumns({"location": location, "__free": free})
     target = F.when(F.col("__free"), center).otherwise(F.col("look_at"))
     bad = F.raise_error(F.lit("a camera needs look_at or rotation_euler_deg")).cast("array<double>")
     basis = F.when(target.isNotNull(), geometry.look_at_basis(F.col("location"), target)).when(F.col("rotation_euler_deg").isNull(), bad)
