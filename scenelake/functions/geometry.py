@@ -21,12 +21,17 @@ def dot(a: Column, b: Column) -> Column:
     return sum((a[i] * b[i] for i in range(1, 3)), a[0] * b[0])
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with the value computed once and written once into the plan: a transform over one element."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def length(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
 def distance(a: Column, b: Column) -> Column:
-    return length(F.zip_with(a, b, lambda x, y: x - y))
+    return let(F.zip_with(a, b, lambda x, y: x - y), length)
 
 
 def overlap_volume(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
@@ -105,14 +110,15 @@ def look_at_basis(location: Column, target: Column) -> Column:
 
     Straight up or down, right is the world's x. Angles depend on a tool's conventions; the basis does not.
     """
-    back = F.zip_with(location, target, lambda a, b: a - b)
-    n = length(back)
-    b = F.when(n > 0, F.transform(back, lambda c: c / n)).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
-    flat = F.sqrt(b[0] * b[0] + b[1] * b[1])
-    steep = flat < 1e-12
-    right = [F.when(steep, 1.0).otherwise(-b[1] / flat), F.when(steep, 0.0).otherwise(b[0] / flat), F.lit(0.0)]
-    up = [b[1] * right[2] - b[2] * right[1], b[2] * right[0] - b[0] * right[2], b[0] * right[1] - b[1] * right[0]]
-    return F.array(*right, *up, b[0], b[1], b[2])
+
+    def axes(b: Column, flat: Column) -> Column:
+        steep = flat < 1e-12
+        right = F.array(F.when(steep, 1.0).otherwise(-b[1] / flat), F.when(steep, 0.0).otherwise(b[0] / flat))
+        return let(right, lambda r: F.array(r[0], r[1], F.lit(0.0), -b[2] * r[1], b[2] * r[0], b[0] * r[1] - b[1] * r[0], b[0], b[1], b[2]))
+
+    unit = lambda v: let(length(v), lambda n: F.when(n > 0, F.transform(v, lambda c: c / n)).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))))
+    back = let(F.zip_with(location, target, lambda x, y: x - y), unit)
+    return let(back, lambda b: let(F.sqrt(b[0] * b[0] + b[1] * b[1]), lambda flat: axes(b, flat)))
 
 
 def quantise(x: Column, places: int = 6) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,7 +67,6 @@ def round3(x: Column) -> Column:
 
 def python_round3(x: Column) -> Column:
     """To 3 places as Python's round does; a vectorised function, for parity with files written elsewhere."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def run(v: pd.Series) -> pd.Series:

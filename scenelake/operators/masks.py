@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import let
+
 
 def boxes_and_areas(pixels: DataFrame, image: list[str], x: str = "x", y: str = "y", value: str = "v") -> DataFrame:
     """(image, value, bbox [x, y, w, h], area) of every value above 0."""
@@ -70,8 +72,8 @@ def packed(counts: Column) -> Column:
             rest = F.shiftright(x, 5 * (k + 1))
             sign = group(k).bitwiseAND(16) != 0
             last = F.when(F.when(sign, rest == -1).otherwise(rest == 0), k).otherwise(last)
-        chars = [F.when(F.lit(k) <= last, F.char(group(k) + F.when(F.lit(k) < last, 32).otherwise(0) + 48)).otherwise("") for k in range(13)]
-        return F.concat(*chars)
+        char = lambda k, n: F.when(F.lit(k) <= n, F.char(group(k) + F.when(F.lit(k) < n, 32).otherwise(0) + 48)).otherwise("")
+        return let(last, lambda n: F.concat(*[char(k, n) for k in range(13)]))
 
     return F.array_join(F.transform(delta, code), "")
 
