@@ -1,4 +1,4 @@
-"""Gradient-boosted regression trees for binary labels in numpy, with isotonic calibration and export to SQL columns.
+"""Gradient-boosted regression trees for binary labels in numpy, with isotonic calibration.
 
 Fitting happens on the driver over a bounded sample of rows; a fitted model is a few hundred numbers.
 """
@@ -109,15 +109,3 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kx += [a] if a == b else [a, b]
         kp += [p] if a == b else [p, p]
     return np.array(kx), np.maximum.accumulate(np.array(kp))
-
-
-def as_sql(model: Boosted, names: list[str]) -> str:
-    """The raw score as a SQL expression over columns of these names."""
-
-    def at(tree, k: int) -> str:
-        feature, cut, left, right, value = tree
-        if feature[k] < 0:
-            return f"{value[k]!r}D" if not isinstance(value[k], np.floating) else f"{float(value[k])!r}D"
-        return f"CASE WHEN {names[feature[k]]} <= {float(cut[k])!r}D THEN {at(tree, left[k])} ELSE {at(tree, right[k])} END"
-
-    return " + ".join([f"{float(model.base)!r}D", *(f"({at(t, 0)})" for t in model.trees)])

@@ -1,0 +1,348 @@
+"""Quality rules, mixing, personal data, URLs, pages, tokens, toxicity, benchmark items."""
+
+import hashlib
+import os
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from scenelake.llm import boosting, bpe_count, entropy_mix, html_lstm, pii_boost, quality_ledger, queries, toxicity_gbt, url_pagerank
+from scenelake.llm import decontam_pigeonhole as dec
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_matches_sql(spark, name):
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.sql(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
+    got, want = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLE_SQL[name])
+    line = lambda cols, rows: sorted(repr([dict(zip(cols, r, strict=True))[c] for c in sorted(cols)]) for r in rows)
+    assert line(got.columns, got.collect()) == line(want.columns, want.fetchall())
+
+
+def docs(spark, texts, extra="x"):
+    return spark.createDataFrame([(k, t, extra, 1) for k, t in enumerate(texts)], "doc_id long, text string, source string, n_words int")
+
+
+# -- quality rules -----------------------------------------------------------------------------------------------------
+
+
+def by_hand(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    seen = {}
+    for i in range(len(w) - 2):
+        seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+    cover = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(3)}
+    lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover)
+
+
+TEXTS = [None, "", " \n\t", "a", "a a a a", "a b c a b c", "x\ny\nx\n \nx ", "#*$%&|<> #", "é 漢字\u00a0z \x0b q", "w " * 60, "a b c d " * 30 + "e", " ".join(f"word{k}" for k in range(200))]
+
+
+def test_ledger(spark):
+    book = quality_ledger.with_policy(quality_ledger.ledger(docs(spark, TEXTS))).collect()
+    for r in book:
+        assert tuple(r[m] for m in quality_ledger.MEASURES) == by_hand(TEXTS[r["doc_id"]])
+        n, _, _, _, rep = by_hand(TEXTS[r["doc_id"]])
+        assert r["base_failed"] == (n < 50 or 100 * rep > 50 * n)
+    assert [r["doc_id"] for r in book if r["kept"]] == [11]
+
+
+def test_policy_keeps_columns_and_ablation_counts(spark):
+    d = docs(spark, TEXTS)
+    out = quality_ledger.apply_policy(d)
+    assert out.columns == d.columns
+    assert [r["doc_id"] for r in out.collect()] == [11]
+    a = {r["rule"]: (r["n_failed"], r["n_only"]) for r in quality_ledger.ablation(quality_ledger.ledger(d)).collect()}
+    assert a["few_words"][0] == 9
+    assert a["repeated_words"][0] >= 2
+    assert quality_ledger.ledger(d.where("doc_id < 0")).count() == 0
+
+
+# -- mixing ------------------------------------------------------------------------------------------------------------
+
+
+def test_mix(spark):
+    r = random.Random(1)
+    rows = [(k, " ".join("w" * r.randint(1, 40)), s) for k, s in enumerate(r.choice(["a", "b", "c", "d", None]) for _ in range(800))]
+    rows += [(900, None, "a"), (901, "", "only empty"), (0, rows[0][1], rows[0][2])]
+    out = entropy_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == len(rows)
+    by = {}
+    for x in out:
+        assert 0 <= x["taken"] <= 3 * x["size"]
+        by.setdefault(x["source"], []).append(x)
+    total = sum(x["size"] for x in out)
+    assert sum(v[0]["target"] for v in by.values()) == pytest.approx(total)
+    for s, v in by.items():
+        assert {x["source_size"] for x in v} == {sum(x["size"] for x in v)}
+        assert v[0]["target"] <= 3 * v[0]["source_size"] + 1e-6
+        assert abs(sum(x["taken"] for x in v) - v[0]["target"]) <= max((x["size"] for x in v), default=0)
+    again = entropy_mix.mix(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string").repartition(7)).collect()
+    assert sorted(map(repr, out)) == sorted(map(repr, again))
+
+
+def test_targets_stop_at_the_cap(spark):
+    s = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 10), ("d", 500), (None, 3)], "source string, source_size long")
+    t = {r["source"]: r["target"] for r in entropy_mix.newton_rates(entropy_mix.source_targets(s)).collect()}
+    size = {"a": 1000, "b": 10, "c": 10, "d": 500, None: 3}
+    weight = dict(zip(["a", "b", "c", "d", None], [1, 2, 3, 1, 2], strict=True))
+    want, free, left = {}, set(size), float(sum(size.values()))
+    while True:
+        w = sum(weight[k] for k in free)
+        over = {k for k in free if left * weight[k] / w > 3 * size[k]}
+        if not over:
+            want |= {k: left * weight[k] / w for k in free}
+            break
+        want |= {k: 3.0 * size[k] for k in over}
+        left -= sum(3 * size[k] for k in over)
+        free -= over
+    assert t == pytest.approx(want)
+    for r in entropy_mix.newton_rates(entropy_mix.source_targets(s)).collect():
+        assert r["rate"] == pytest.approx(r["target"] / r["source_size"])
+
+
+# -- personal data -----------------------------------------------------------------------------------------------------
+
+
+def base_by_hand(t):
+    t, out = t or "", []
+    luhn = lambda d: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+        out.append((m.start(), 0, "email", m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, "ip", m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(d) <= 19 and luhn(d):
+            out.append((m.start(), 2, "card", m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, "phone", m.end()))
+    return sorted(out)
+
+
+PII = [
+    None, "", "a@b.c_d@e.f x@y.z.w. 1.2.3.4.5.6.7.8 300.1.1.1 0255.01.1.1", "4111 1111 1111 1111, 4111111111111112 +1 (212) 555-0100 é 🎉 a@b.co",
+    "+49 4111111111111111 +12 345", "9" * 20000, "a@" * 3000 + "b.c", "+1" * 5000, "1.2.3.4" * 500, "@.@ a@b", "+1 23456789012 4111-1111-1111-1111",
+    'tel 030/1234567 and token = "abcdef0123456789abcdef0123456789"', "write to john.doe at example dot com please",
+]
+
+
+def test_base_spans(spark):
+    r = random.Random(4)
+    texts = PII + ["".join(r.choice("a1@.+- (4") for _ in range(r.randint(1, 60))) for _ in range(300)]
+    for x in pii_boost.find(docs(spark, texts)).collect():
+        want = base_by_hand(texts[x["doc_id"]])
+        listed = ",".join(f"{k}:{a}:{b}" for a, _, k, b in want)
+        assert x["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest(), texts[x["doc_id"]]
+        assert [x[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(w[2] == k for w in want) for k in ("email", "ip", "card", "phone")]
+        assert set(filter(None, listed.split(","))) <= set(x["spans"].split(","))
+
+
+def test_added_spans_and_redaction(spark):
+    d = docs(spark, PII)
+    spans = {x["doc_id"]: x["spans"] for x in pii_boost.find(d).collect()}
+    assert "secret:" in spans[11]
+    assert "phone:" in spans[11]
+    assert spans[12].startswith("email:")
+    out = pii_boost.redact(d)
+    assert out.columns == d.columns
+    text = {x["doc_id"]: x["text"] for x in out.collect()}
+    assert text[0] is None
+    assert text[1] == ""
+    assert text[3].startswith("[CARD], 4111111111111112 [PHONE] é 🎉 [EMAIL]")
+    assert pii_boost.find(d.where("doc_id < 0")).count() == 0
+
+
+# -- URLs --------------------------------------------------------------------------------------------------------------
+
+
+def test_rules_and_graph(spark):
+    rows = [
+        (0, "http://A.Example.COM/en/1?x#y", None), (1, "https://example.com/en/7", ""), (2, "x://a.example.net/de/81", ""), (3, "x://example.net/de/7", ""),
+        (4, None, None), (5, "no scheme", ""), (6, "x://b.org/es/", ""), (7, "x://borg/es/1", ""), (8, "x://com", ""), (9, "a://b://c/d", ""), (10, "x://notexample.com/en/7", ""),
+        (11, "x://spam.info/a", '<a href="http://b.org/x">'), (12, "x://good.info/a", '<a href="http://fine.net/x">'), (13, "x://fine.net/de/1", '<a href="http://good.info/x">'),
+    ]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", __import__("pyspark").sql.functions.lit("clash"))
+    got = {x["page_id"]: x for x in url_pagerank.filter_urls(d, floor=0.2).collect()}
+    assert [(got[k]["host"], got[k]["path"], got[k]["rule"], got[k]["verdict"]) for k in range(4)] == [
+        ("a.example.com", "/en/1", "com/en/", "block"), ("example.com", "/en/7", "example.com/en/7", "allow"),
+        ("a.example.net", "/de/81", "example.net/de/8", "block"), ("example.net", "/de/7", "net/de/", "allow"),
+    ]
+    assert [(got[k]["host"], got[k]["path"], got[k]["rule"]) for k in (4, 5, 8, 9)] == [("", "", None), ("", "", None), ("com", "", None), ("b:", "//c/d", None)]
+    assert got[6]["verdict"] == "block"
+    assert got[7]["rule"] is None
+    assert got[10]["rule"] == "com/en/"
+    assert got[11]["verdict"] == "block"  # links to a blocked host only
+    assert got[12]["verdict"] == "allow"
+    assert url_pagerank.filter_urls(d.where("page_id < 0")).count() == 0
+
+
+def test_ranks_against_plain_iteration(spark):
+    edges = {("a", "b"): 2.0, ("b", "c"): 1.0, ("c", "a"): 1.0, ("d", "c"): 1.0}
+    judged = [("a", "allow", ["b", "b"]), ("a", "allow", ["b"]), ("b", None, ["c"]), ("c", "block", ["a"]), ("d", None, ["c"])]
+    got = {x["host"]: (x["trust"], x["distrust"]) for x in url_pagerank.host_scores(spark.createDataFrame(judged, "host string, verdict string, links array<string>")).collect()}
+    edges[("a", "b")] = 3.0
+    hosts = "abcd"
+    s = {"t": dict.fromkeys(hosts, 0.0) | {"a": 1.0}, "d": dict.fromkeys(hosts, 0.0) | {"c": 1.0}}
+    rank = {k: dict(v) for k, v in s.items()}
+    for _ in range(8):
+        t = {h: 0.15 * s["t"][h] + 0.85 * sum(rank["t"][a] * w / sum(x for (p, _), x in edges.items() if p == a) for (a, b), w in edges.items() if b == h) for h in hosts}
+        d = {h: 0.15 * s["d"][h] + 0.85 * sum(rank["d"][b] * w / sum(x for (_, q), x in edges.items() if q == b) for (a, b), w in edges.items() if a == h) for h in hosts}
+        rank = {"t": t, "d": d}
+    for h in hosts:
+        assert got[h] == pytest.approx((rank["t"][h], rank["d"][h]))
+
+
+# -- pages -------------------------------------------------------------------------------------------------------------
+
+
+def test_labeller_on_unseen_layouts():
+    net = html_lstm.fitted()
+    xs, ys = html_lstm.training_set(150, seed=77)
+    wrong = sum(int(((a >= 0.5) != (b >= 0.5)).sum()) for a, b in zip(net.label(xs), ys, strict=True))
+    assert wrong <= 0.02 * sum(map(len, ys))
+
+
+def test_gradient():
+    net, r = html_lstm.BiLSTM.fresh(1), np.random.default_rng(0)
+    x, mask = html_lstm.padded([r.standard_normal((n, html_lstm.INPUT)).astype(np.float32) for n in (3, 5)])
+    y = (r.random(mask.shape) > 0.5).astype(np.float32)
+    g = net.gradient(x, mask, y)
+
+    def loss():
+        p = net.forward(x, mask)[0]
+        return float(-((y * np.log(p) + (1 - y) * np.log(1 - p)) * mask).sum() / mask.sum())
+
+    for name, at in (("xf", (3, 5)), ("hb", (2, 40)), ("bf", (20,)), ("o", (4,)), ("hf", (1, 9))):
+        old = net.w[name][at]
+        net.w[name][at] = old + 1e-2
+        up = loss()
+        net.w[name][at] = old - 1e-2
+        down = loss()
+        net.w[name][at] = old
+        assert g[name][at] == pytest.approx((up - down) / 2e-2, rel=0.05, abs=2e-4)
+
+
+def test_extraction(spark):
+    page = (
+        "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=/x>Menu</a></li><li><a href=/y>More</a></li></ul></nav>"
+        '<div class="ad">Buy this now.</div><article><h1>A   head&amp;line</h1><p><b>First bold words here.<br><p>Second &lt;para&gt;\n with a few more words.</p><p>Short.</p></article>'
+        "<footer>&copy; someone &middot; all rights.</footer></body></html>"
+    )
+    rows = [(0, "u", page), (1, None, None), (2, "u", ""), (3, "u", page[: page.index("Short")] + "Cut &am"), (0, "u", page)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_lstm.extract(d).collect()
+    want = "A head&line\n\nFirst bold words here.\n\nSecond <para> with a few more words.\n\nShort."
+    assert [x["text"] for x in got] == [want, "", "", want.replace("Short.", "Cut &am"), want]
+    assert all(x["n_chars"] == len(x["text"]) for x in got)
+    assert html_lstm.extract(d.where("page_id > 9")).count() == 0
+
+
+# -- tokens ------------------------------------------------------------------------------------------------------------
+
+
+def test_counts_match_the_library(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    r = random.Random(8)
+    texts = [None, "", "a<|endoftext|>b <|endoftext|>", "x\x1cy \x85 z\xa0   q\u200b", "  \n\n a  b\t\tc   ", "a" * 5000, "🎉é漢字", "I'll don't 12345 ²½", "\u0301á"]
+    texts += ["".join(r.choice("ab é1'.\n t") for _ in range(r.randint(1, 80))) for _ in range(200)]
+    tk = Tokenizer.from_file(path)
+    got = {x["doc_id"]: x for x in bpe_count.count_tokens(docs(spark, texts), path).collect()}
+    for k, t in enumerate(texts):
+        n = len(tk.encode(t or "", add_special_tokens=False).ids)
+        assert (got[k]["n_tokens"], got[k]["n_bytes"], got[k]["over_limit"]) == (n, len((t or "").encode()), n > 512)
+    assert bpe_count.count_tokens(docs(spark, texts).where("doc_id < 0"), path).count() == 0
+
+
+# -- toxicity ----------------------------------------------------------------------------------------------------------
+
+
+def test_boosting_and_calibration():
+    r = np.random.default_rng(0)
+    x = r.random((600, 3))
+    y = ((x[:, 0] > 0.5) & (x[:, 1] > 0.3)).astype(int)
+    m = boosting.fit(x[:400], y[:400])
+    assert ((m.raw(x[400:]) > 0) == y[400:]).mean() > 0.97
+    kx, kp = boosting.isotonic(m.raw(x), y)
+    assert (np.diff(kx) >= 0).all()
+    assert (np.diff(kp) >= 0).all()
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = {x["doc_id"]: x for x in toxicity_gbt.score(d.join(labels.select("doc_id"), "doc_id", "left_semi"), labels).collect()}
+    held = [(x["toxic"], got[x["doc_id"]]) for x in labels.collect() if zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0]
+    assert all(g["held_out"] for _, g in held)
+    assert sum(not g["held_out"] for g in got.values()) == len(got) - len(held)
+    hit = sum(t == 1 and g["predicted"] == 1 for t, g in held)
+    assert hit >= 0.85 * sum(t for t, _ in held)
+    assert sum(t == 0 and g["predicted"] == 1 for t, g in held) <= 0.01 * len(held)
+    assert all(0 <= g["score"] <= 1 for g in got.values())
+
+
+def test_toxicity_edges(spark):
+    labels = spark.createDataFrame([(1, 1), (2, None)], "doc_id long, toxic int")
+    got = toxicity_gbt.score(docs(spark, [None, "", "you idiot", "x" * 1000]), labels).collect()
+    assert len(got) == 4
+    assert all(0 <= x["score"] <= 1 for x in got)
+
+
+# -- benchmark items ---------------------------------------------------------------------------------------------------
+
+
+def distance(p, t):
+    prev = [0] * (len(t) + 1)
+    for a in p:
+        cur = [prev[0] + 1]
+        for j, b in enumerate(t):
+            cur.append(min(prev[j] + (a != b), prev[j + 1] + 1, cur[j] + 1))
+        prev = cur
+    return min(prev)
+
+
+def test_myers_distance():
+    r = random.Random(9)
+    for _ in range(200):
+        p = "".join(r.choice("abc ") for _ in range(r.randint(1, 70)))
+        t = "".join(r.choice("abc ") for _ in range(r.randint(0, 120)))
+        assert dec.Myers(p).best(t)[0] == distance(p, t)
+
+
+def test_matches_against_brute_force(spark):
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(2, 6)))
+    items = [" ".join(word() for _ in range(n)) for n in (4, 8, 15, 25, 40)] + ["short", None, ""]
+    texts = [None, "", "nothing to see"]
+    for _ in range(60):
+        t = list(dec.normal(r.choice(items[:5])))
+        for _ in range(r.randint(0, max(1, len(t) // 8))):
+            k = r.randrange(len(t))
+            t[k : k + r.randint(0, 1)] = r.choice(["", "z", "é", "  "])
+        texts.append(" ".join(word() for _ in range(r.randint(0, 9))) + " " + "".join(t).upper() + "\n" + word())
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = set()
+    for k, t in enumerate(texts):
+        for i, p in enumerate(map(dec.normal, items)):
+            if len(p) >= dec.MIN_CHARS and (e := distance(p, dec.normal(t))) <= dec.budget(p):
+                want.add((k, i, e))
+    d = docs(spark, texts)
+    assert {tuple(x) for x in dec.matches(d, bench).collect()} == want
+    assert {tuple(x) for x in dec.matches(d, bench, block_chars=50).collect()} == want
+    out = dec.decontaminate(d, bench)
+    assert out.columns == d.columns
+    assert {x["doc_id"] for x in out.collect()} == set(range(len(texts))) - {k for k, _, _ in want}
+    assert dec.matches(d, bench.where("item_id < 0")).count() == 0
