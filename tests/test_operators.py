@@ -170,7 +170,7 @@ def test_text_source_tries_again(spark):
     assert ask(spark.createDataFrame([(1, "bad")], "k int, prompt string"), model, ["k"]).first()["error"] == "ValueError: no"
 
 
-@pytest.mark.parametrize("mode", ["scatter", "cluster_tight", "close_far", "stacking"])
+@pytest.mark.parametrize("mode", ["scatter", "stacking"])
 def test_scene_flow_to_document(spark, mode, tmp_path):
     """Boxes stand in for simulation, filled rectangles for rendering."""
     config = SceneConfig("g", "o", scenes=4, products_per_scene=4, resolution=8, placement=mode, seed=3)
