@@ -7,7 +7,8 @@ A byte goes if it is covered by a LENGTH-byte string that also starts in a docum
    the bytes they cover are a context (about 70 bytes for every 18 of text). Of equal contexts in one chunk of
    documents only those of the least document travel; the others are removed there and then.
 2. Shards. Contexts go, packed and compressed, to the shard of their anchor's hash. Contexts whose anchor occurs in one
-   document only are put aside; the bytes of the others, in pieces of at most PIECE bytes, are suffix-sorted: by their
+   document only are put aside; of equal ones, the least document's and all later documents' stay as one string each, so
+   thousands of copies cost two. The bytes of these strings, in pieces of at most PIECE bytes, are suffix-sorted: by their
    first 8 bytes, then by Larsson and Sadakane's refinement (groups that are not yet single are sorted by the rank
    of the suffix h further on, h doubling) until the order is fixed to LENGTH bytes. Kasai's inequality gives the common
    prefixes of neighbours in text order; a run of prefixes of LENGTH or more is one set of equal windows.
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import free_shuffles, materialize, partitions
 
 LENGTH = 50
 GRAM = 16
@@ -100,16 +101,18 @@ def _gather(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[index]
 
 
-def _poly(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row's bytes, from prefix sums of a polynomial modulo 2**64."""
-    n = len(data)
-    power = np.full(n + 1, _M2, dtype=np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    prefix[1:] = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _M1 * power[:n])
-    # moved to a common place instead of divided by the power of the start
-    return (prefix[at + size] - prefix[at]) * power[n - at] + size.astype(np.uint64) * _M1
+def _content_hash(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row's bytes data[at : at + size], 8 of them or more: whole words, then the last 8 bytes."""
+    words = np.lib.stride_tricks.as_strided(data, shape=(max(len(data) - 7, 0), 8), strides=(1, 1)).view("<u8")
+    h = size.astype(np.uint64) * _M2
+    todo = np.arange(len(at))
+    for k in range(0, int(size.max()) if len(size) else 0, 8):
+        todo = todo[size[todo] >= k + 8]
+        x = h[todo] ^ (words[at[todo] + k, 0] * _M1)
+        h[todo] = ((x << np.uint64(31)) | (x >> np.uint64(33))) * _M2
+    if len(at):
+        h = (h ^ words[at + size - 8, 0]) * _M1
+    return h ^ (h >> np.uint64(29))
 
 
 def pack(docs: np.ndarray, keys: np.ndarray, starts: np.ndarray, lens: np.ndarray, offs: np.ndarray, text: np.ndarray) -> bytes:
@@ -302,9 +305,9 @@ def _ship(chunk: list, shards: int, length: int):
     if not len(doc):
         return [], None
     # equal contexts: those of the least document travel; chunks are in the order of doc ids, so it stands first
-    order = np.lexsort((np.arange(len(doc)), _poly(data, first, size), h))
-    p, q = _poly(data, first, size)[order], h[order]
-    new = np.append(True, (p[1:] != p[:-1]) | (q[1:] != q[:-1]))
+    content = _content_hash(data, first, size)
+    order = np.lexsort((np.arange(len(doc)), content, h))
+    new = np.append(True, (content[order][1:] != content[order][:-1]) | (h[order][1:] != h[order][:-1]))
     least = np.empty(len(doc), dtype=np.int64)
     least[order] = ids[doc[order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]]]
     late = ids[doc] > least
@@ -353,19 +356,33 @@ def ranges(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK) -> DataFra
         doc, key, start, size, off, text = (np.concatenate(x) for x in zip(*got, strict=True))
         del got
         at = np.cumsum(size) - size
-        grams = text[(at + off)[:, None] + np.arange(GRAM)]
-        w = grams.copy().view("<u8").reshape(-1, 2)
-        h = _gram_hash_of(w[:, 0], w[:, 1])
-        del grams, w
-        order = np.lexsort((start, key, doc, h))
-        ho, do = h[order], doc[order]
-        cut = np.flatnonzero(np.append(True, ho[1:] != ho[:-1]))
-        group = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(ho))))
-        shared = (np.minimum.reduceat(do, cut) != np.maximum.reduceat(do, cut))[group]
+        words = np.lib.stride_tricks.as_strided(text, shape=(len(text) - 7, 8), strides=(1, 1)).view("<u8")
+        h = _gram_hash_of(words[at + off, 0], words[at + off + 8, 0])
+        # anchors of one document only are put aside
+        order = np.lexsort((doc, h))
+        cut = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+        size_of = np.diff(np.append(cut, len(h)))
+        shared = np.repeat(doc[order[cut]] != doc[order[cut + size_of - 1]], size_of)
         order = order[shared]
-        for r, first, last in repeated(h[order], doc[order], at[order], size[order], text, length):
-            r = order[r]
-            yield pd.DataFrame({"id": doc[r], "key": key[r], "lo": start[r] + first, "hi": start[r] + last + length})
+        if not len(order):
+            return
+        # of equal contexts, those of the least document and those of all others are one string each
+        content = _content_hash(text, at[order], size[order])
+        order = order[np.lexsort((start[order], key[order], doc[order], content, h[order]))]
+        content = _content_hash(text, at[order], size[order])
+        new = np.append(True, (content[1:] != content[:-1]) | (h[order][1:] != h[order][:-1]))
+        head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        later = doc[order] > doc[order[head]]
+        new |= np.append(False, later[1:] & ~later[:-1])
+        one = order[new]
+        by_doc = np.lexsort((doc[one], h[one]))
+        reps = one[by_doc]
+        members = np.append(np.flatnonzero(new), len(order))
+        for r, first, last in repeated(h[reps], doc[reps], at[reps], size[reps], text, length):
+            g = by_doc[r]
+            n_of = members[g + 1] - members[g]
+            m = order[np.repeat(members[g] - np.cumsum(n_of) + n_of, n_of) + np.arange(n_of.sum())]
+            yield pd.DataFrame({"id": doc[m], "key": key[m], "lo": start[m] + np.repeat(first, n_of), "hi": start[m] + np.repeat(last, n_of) + length})
 
     sent = docs.select("id", "key", "text").mapInPandas(travel, "shard int, block binary, known binary")
     return sent.repartitionById(n, "shard").mapInPandas(meet, "id long, key long, lo long, hi long")
@@ -391,7 +408,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: i
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = d.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("key", F.xxhash64("doc_id", "text"))
     found = materialize(ranges(d, length), "suffix-ranges")
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shards' shuffle files before the texts are shuffled
+    free_shuffles(spark)  # the shards' files go before the texts are shuffled
     by_row = found.groupBy("id", "key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
