@@ -1,7 +1,8 @@
 """Assets to datasets: sample, place, simulate, reject, view, render, annotate.
 
 Everything between the adapters is DataFrame code keyed by scene; scenes are independent, so they spread over the
-cluster, and a lost executor costs its own scenes only.
+cluster, and a lost executor costs its own scenes only. The adapters stand between the stages, and each stage's rows
+should be written as a table there: that cuts the plan where the tools run anyway.
 """
 
 from __future__ import annotations

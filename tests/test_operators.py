@@ -175,16 +175,17 @@ def test_scene_flow_to_document(spark, mode, tmp_path):
     """Boxes stand in for simulation, filled rectangles for rendering."""
     config = SceneConfig("g", "o", scenes=4, products_per_scene=4, resolution=8, placement=mode, seed=3)
     pool = spark.createDataFrame([(k, f"sku{k % 5}", "box" if k % 2 else None, None) for k in range(9)], "ordinal_key long, sku string, shape string, m_size double")
-    chosen = plan.choose(spark, pool, config)
+    written = lambda df: spark.createDataFrame(df.collect(), df.schema)  # noqa: E731  stages meet in tables
+    chosen = written(plan.choose(spark, pool, config))
     assert chosen.groupBy("scene_idx").count().where("count < 4").count() == 0
     placed = plan.place(chosen, config, [-0.2, 0.2, -0.2, 0.2])
-    placed = plan.settle(placed.withColumns({c: F.lit(0.1) for c in ("dx", "dy", "dz")}))
+    placed = written(plan.settle(placed.withColumns({c: F.lit(0.1) for c in ("dx", "dy", "dz")})))
     half = F.lit(0.05)
     sim = placed.withColumns({
         "location": F.array("x", "y", "z"), "lo": F.array(F.col("x") - half, F.col("y") - half, F.col("z") - half), "hi": F.array(F.col("x") + half, F.col("y") + half, F.col("z") + half),
         "matrix": F.array(*[F.lit(float(i % 5 == 0)) for i in range(16)]),
     }).withColumn("corners", F.array("lo", "hi"))
-    good = plan.accept(sim).cache()
+    good = written(plan.accept(sim))
     assert good.select("scene_idx", "attempt").distinct().count() == good.select("scene_idx").distinct().count() == 4
     cats = ids.category_ids(pool, "sku")
     cams, _ = cameras.parse(spark, '[{"location": [1, 0, 1], "look_at": [0, 0, 0], "fov_deg": 40}, {"location": [0, 1, 1], "look_at": [0, 0, 0]}]')
@@ -196,7 +197,7 @@ def test_scene_flow_to_document(spark, mode, tmp_path):
         return both.withColumns({"height": F.lit(8), "width": F.lit(8)})
 
     images, ann = plan.dataset(good, cams, render, cats, config)
-    images, ann = images.cache(), ann.cache()
+    images, ann = written(images), written(ann)
     n = good.count()
     assert images.count() == 8
     assert ann.count() == 2 * n - 4
