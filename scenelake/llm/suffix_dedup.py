@@ -37,7 +37,7 @@ GRAM = 16
 #: Bytes of text whose windows are taken together, at most 2**22; a longer document is a chunk of its own, in strips.
 CHUNK = 2_000_000
 #: Bytes that are suffix-sorted together.
-PIECE = 1_000_000
+PIECE = 250_000
 _POS = 22
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers of the hash
 
@@ -115,15 +115,14 @@ def _content_hash(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndar
     return h ^ (h >> np.uint64(29))
 
 
-def pack(docs: np.ndarray, keys: np.ndarray, starts: np.ndarray, lens: np.ndarray, offs: np.ndarray, text: np.ndarray) -> bytes:
+def pack(ids: np.ndarray, keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, lens: np.ndarray, offs: np.ndarray, text: np.ndarray) -> bytes:
     """Contexts as one compressed block: id, key, first window in the document, length, anchor's offset, bytes."""
     import zstandard
 
-    pairs, which = np.unique(np.stack([docs, keys]), axis=1, return_inverse=True)
-    ids = pairs[0]
-    head = np.array([len(docs), len(ids)], dtype="<i8").tobytes()
-    small = which.astype("<u2" if len(ids) < 65536 else "<u4")
-    body = pairs.astype("<i8").tobytes() + small.tobytes() + starts.astype("<u4").tobytes() + lens.astype("<u1").tobytes() + offs.astype("<u1").tobytes()
+    used, which = np.unique(docs, return_inverse=True)
+    head = np.array([len(docs), len(used)], dtype="<i8").tobytes()
+    small = which.astype("<u2" if len(used) < 65536 else "<u4")
+    body = ids[used].astype("<i8").tobytes() + keys[used].astype("<i8").tobytes() + small.tobytes() + starts.astype("<u4").tobytes() + lens.astype("<u1").tobytes() + offs.astype("<u1").tobytes()
     return head + zstandard.ZstdCompressor(level=3).compress(body + text.tobytes())
 
 
@@ -146,22 +145,21 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, rank) by Larsson and Sadakane's refinement, the first step on 8 bytes."""
     n = len(data)
     key = _words(np.concatenate([data, np.zeros(8, dtype=np.uint8)]))[:n].byteswap()
-    sa = np.argsort(key)
-    rank = np.empty(n + 1, dtype=np.int64)
+    sa = np.argsort(key).astype(np.int32)
+    rank = np.empty(n + 1, dtype=np.int32)
     rank[n] = -1  # the empty suffix comes first
     ordered = key[sa]
     new = np.ones(n, dtype=bool)
     new[1:] = ordered[1:] != ordered[:-1]
     # suffixes that the end cuts off within the 8 bytes: zeros beyond the end may not equal zeros of the text
     for tail in range(max(n - 8, 0), n):
-        hit = np.flatnonzero(key[sa] == key[tail]) if not key[tail] & np.uint64(0xFF) else ()
-        if len(hit) > 1:
-            group = sa[hit]
-            short = np.minimum(n - group, 8)
-            sa[hit] = group[np.argsort(short, kind="stable")]
-            short.sort()
-            new[hit[1:]] |= short[1:] != short[:-1]
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        lo, hi = np.searchsorted(ordered, key[tail], "left"), np.searchsorted(ordered, key[tail], "right")
+        if hi - lo > 1:
+            short = np.minimum(n - sa[lo:hi], 8)
+            by = np.argsort(short, kind="stable")
+            sa[lo:hi], short = sa[lo:hi][by], short[by]
+            new[lo + 1 : hi] |= short[1:] != short[:-1]
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     h = 8
     while True:
         edge = np.append(np.flatnonzero(new), n)
@@ -171,7 +169,7 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         wide = size > 1
         slots = np.repeat(edge[:-1][wide] - np.cumsum(size[wide]) + size[wide], size[wide]) + np.arange(size[wide].sum())
         suffix = sa[slots]
-        both = rank[suffix] * (n + 1) + rank[np.minimum(suffix + h, n)] + 1
+        both = rank[suffix].astype(np.int64) * (n + 1) + rank[np.minimum(suffix + h, n)] + 1
         order = np.argsort(both)
         sa[slots], both = suffix[order], both[order]
         fresh = np.ones(len(slots), dtype=bool)
@@ -181,36 +179,42 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h *= 2
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, rank: np.ndarray, most: int = LENGTH, stride: int = 64) -> np.ndarray:
-    """Length, at most ``most``, of the common prefix of each suffix in the array and the one before it.
+def common_prefixes(data: np.ndarray, sa: np.ndarray, starts: np.ndarray, counts: np.ndarray, most: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes, prefixes): those suffixes of the array that begin at starts .. starts + counts - 1, in its order, and
+    the length, at most ``most``, of the common prefix of each and the one before it.
 
-    Kasai: in text order a prefix is at least the one before it less 1. Stretches of ``stride`` positions are walked side
-    by side; each step compares 8 bytes at once.
+    Kasai: if i - 1 follows j - 1 with a common prefix of l, i and j share l - 1, j comes before i, and so what i follows
+    shares as much, provided that j is among the suffixes asked for. All stretches are walked side by side; each step
+    compares 8 bytes at once.
     """
     n = len(data)
+    asked = np.zeros(n + 1, dtype=np.int8)
+    asked[np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())] = 1
+    mine = sa[asked[sa] == 1]
     words = _words(np.concatenate([data, np.zeros(most + 16, dtype=np.uint8)]))
-    before = np.full(n, n, dtype=np.int64)
-    before[sa[1:]] = sa[:-1]
-    out = np.zeros(n, dtype=np.int64)
-    lanes = np.arange(0, n, stride)
-    have = np.zeros(len(lanes), dtype=np.int64)
-    for step in range(stride):
-        i = lanes + step
-        if i[-1] >= n:
-            i, have, lanes = i[:-1], have[:-1], lanes[:-1]
-            if not len(i):
-                break
+    before = np.full(n + 1, n, dtype=np.int64)
+    before[mine[1:]] = mine[:-1]
+    out = np.zeros(n, dtype=np.int8 if most < 128 else np.int32)
+    order = np.argsort(-counts, kind="stable")  # the longest first, so that lanes end from the back
+    lane, left = starts[order], counts[order]
+    have = np.zeros(len(lane), dtype=np.int64)
+    j = np.full(len(lane), n, dtype=np.int64)
+    for step in range(int(left[0]) if len(left) else 0):
+        go = int(np.searchsorted(-left, -step, side="left"))
+        i = lane[:go] + step
+        # what stood before i - 1 moves on too; where that is not asked for, the count starts anew
+        have = np.where(asked[np.minimum(j[:go] + 1, n)] == 1, np.maximum(have[:go] - 1, 0), 0)
         j = before[i]
-        have = np.maximum(have - 1, 0)
-        open_ = np.arange(len(i))
+        open_ = np.arange(go)
         while len(open_):
-            x = words[np.minimum(i[open_] + have[open_], n + most)] ^ words[np.minimum(j[open_] + have[open_], n + most)]
-            same = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3
-            have[open_] += same
-            open_ = open_[(x == 0) & (have[open_] < most)]
+            reach = have[open_]
+            x = words[i[open_] + reach] ^ words[j[open_] + reach]
+            reach += np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3
+            have[open_] = reach
+            open_ = open_[(x == 0) & (reach < most)]
         have = np.minimum(have, np.minimum(most, n - np.maximum(i, j)))
         out[i] = have
-    return out[sa]
+    return mine, out[mine]
 
 
 def _bounds(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -241,15 +245,12 @@ def repeated(h: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray, d
         text = _gather(data, at[lo:hi], size[lo:hi])
         n = len(text)
         row = np.repeat(np.arange(lo, hi), size[lo:hi])
-        ends = np.repeat(np.cumsum(size[lo:hi]), size[lo:hi])
-        valid = np.arange(n) + length <= ends
-        sa, rank = suffix_array(text)
-        same = common_prefixes(text, sa, rank, length) >= length
-        kind = np.cumsum(~same)
-        slots = np.flatnonzero(valid[sa])
-        kind, suffix = kind[slots], sa[slots]
+        ends = np.cumsum(size[lo:hi])
+        valid = np.arange(n) + length <= np.repeat(ends, size[lo:hi])
+        sa, _ = suffix_array(text)
+        suffix, same = common_prefixes(text, sa, ends - size[lo:hi], size[lo:hi] - length + 1, length)
         d = doc[row[suffix]]
-        starts = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
+        starts = np.flatnonzero(np.append(True, same[1:] < length))
         least = np.repeat(np.minimum.reduceat(d, starts), np.diff(np.append(starts, len(d))))
         flagged = np.zeros(n, dtype=bool)
         flagged[suffix[d > least]] = True
@@ -323,7 +324,7 @@ def _ship(chunk: list, shards: int, length: int):
     blocks = []
     for lo, hi in zip(cut, np.append(cut[1:], len(go)), strict=True):
         r = go[lo:hi]
-        blocks.append((int(shard[lo]), pack(ids[doc[r]], keys[doc[r]], offset[r], size[r], anchor[r] - first[r], _gather(data, first[r], size[r]))))
+        blocks.append((int(shard[lo]), pack(ids, keys, doc[r], offset[r], size[r], anchor[r] - first[r], _gather(data, first[r], size[r]))))
     return blocks, known
 
 

@@ -127,11 +127,15 @@ def test_suffix_array_and_prefixes(letters):
         a = np.frombuffer(data, np.uint8)
         sa, rank = suf.suffix_array(a)
         assert list(sa) == sorted(range(len(data)), key=lambda i: data[i:])
-        lcp = suf.common_prefixes(a, sa, rank)
-        for k in range(1, len(data)):
-            x, y = data[sa[k - 1] :], data[sa[k] :]
-            m = next((j for j, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
-            assert lcp[k] == min(m, 50)
+        # all suffixes, and those of two stretches
+        for starts, counts in ((np.array([0]), np.array([n])), (np.array([0, n // 2]), np.array([n // 3, n // 4]))):
+            some, lcp = suf.common_prefixes(a, sa, starts, counts)
+            want = {i for s, c in zip(starts, counts, strict=True) for i in range(s, s + c)}
+            assert list(some) == [i for i in sa if i in want]
+            for k in range(1, len(some)):
+                x, y = data[some[k - 1] :], data[some[k] :]
+                m = next((j for j, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+                assert lcp[k] == min(m, 50)
 
 
 def test_dedup_against_brute_force(spark):
