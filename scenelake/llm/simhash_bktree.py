@@ -257,7 +257,29 @@ def as_hex(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a unique row number, written to the shared folder so that the number stays with its row."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "dedup-rows")
+
+
+def survivors(rows: DataFrame, comp: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The rows of numbered() with one of each component; comp: (__row, component_id) with every row once.
+
+    Of a component the least id stays, a null id only where there is no other; ties go by the text's hash, then by row.
+    """
+    key = rows.select("__row", F.col(f"`{id_col}`").alias("i"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    order = F.struct(F.col("i").isNull().alias("none"), "i", "h", "__row")
+    best = comp.join(key, "__row").groupBy("component_id").agg(F.min(order).alias("best")).select(F.col("best.__row").alias("__row"))
+    return rows.join(best, "__row", "left_semi").drop("__row")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component: that of the least doc_id."""
-    keep = near_duplicates(docs, id_col, text, radius).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col(f"`{id_col}`") == F.col("__keep"), "left_semi")
+    """docs with exactly one row of each component, that of the least id.
+
+    Rows are told apart by a row number, not by their id: a null id takes part like any other (its row stays if it
+    duplicates nothing, else only where its whole component has null ids), repeated rows leave one, and of rows that
+    share an id each component decides for itself.
+    """
+    rows = numbered(docs)
+    comp = near_duplicates(rows, "__row", text, radius).select(F.col("doc_id").alias("__row"), "component_id")
+    return survivors(rows, comp, id_col, text)

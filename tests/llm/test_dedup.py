@@ -97,6 +97,13 @@ def test_dedup_keeps_one_and_its_columns(spark):
     assert sim.near_duplicates(d.where("doc_id < 0")).count() == 0
 
 
+def test_dedup_null_and_repeated_ids(spark):
+    other, third = "totally different words here now", "yet more words that nothing else holds"
+    d = docs(spark, [(None, other), (None, "a b c d"), (3, "A b c d"), (3, "a b c d"), (3, "a b c d"), (3, third), (None, "no id twice over"), (None, "No id twice over")])
+    got = sorted(repr((x["doc_id"], x["text"].lower())) for x in sim.dedup(d).collect())
+    assert got == sorted(map(repr, [(None, other), (3, "a b c d"), (3, third), (None, "no id twice over")]))
+
+
 # -- suffix arrays -----------------------------------------------------------------------------------------------------
 
 
