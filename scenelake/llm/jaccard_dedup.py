@@ -1,0 +1,187 @@
+"""Near-duplicates by Jaccard similarity of word shingles: candidates by MinHash bands, each link checked exactly.
+
+Two texts link if the sets of their WORDS-word shingles (ASCII lower case; words as in SimHash) have a Jaccard
+similarity of SIMILARITY or more. Texts with equal sets are one node from the start. A node's 128 minima of its hashed
+shingles are cut in BANDS bands; nodes that agree in a whole band are candidates. A pair of similarity s agrees in no
+band with probability (1 - s^4)^32: 5e-8 at 0.8, less above; this is the only chance in it, and it is seeded.
+
+Candidates' components bound where links can be. Each node is compared with its candidate component's least node
+first; only what is not near it (far nodes) is compared with the other nodes, in cells of at most two chunks. So a
+large group of copies costs one comparison a node, and no pairs of its nodes are made. Within a cell, nodes that are
+joined already are not compared again: components stay whole, as each pair of nodes that are not joined is compared.
+
+Edge cases: fewer than WORDS words make one shingle; null or empty texts, or without words, have an empty set and equal
+each other only. Rows are told apart by row number (see simhash_bktree.dedup).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import materialize, partitions
+from .simhash_bktree import _LOWER, _WORD, _groups, components, numbered, survivors
+
+WORDS = 5
+SIMILARITY = 0.8
+BANDS, PER_BAND = 32, 4
+#: Nodes of each kind in one cell.
+CHUNK = 256
+SEED = 42
+_MUL = np.random.default_rng(SEED).integers(0, 2**63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Shingles:
+    """Texts to sorted distinct 64-bit hashes of their shingles; words' hashes are remembered."""
+
+    def __init__(self, words: int = WORDS) -> None:
+        self.words, self.known = words, {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        from xxhash import xxh64_intdigest
+
+        words = _WORD.findall((text or "").translate(_LOWER))
+        if not words:
+            return np.zeros(0, np.uint64)
+        if len(self.known) > 500_000:
+            self.known.clear()
+        for w in set(words).difference(self.known):
+            self.known[w] = xxh64_intdigest(w, SEED)
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        k = min(self.words, len(h))
+        n = len(h) - k + 1
+        out = np.full(n, k, np.uint64)
+        for j in range(k):
+            out = out * _STEP + h[j : j + n]
+        return np.unique(_mix(out))
+
+
+def band_keys(s: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of a non-empty set."""
+    low = np.full(len(_MUL), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(s), 512):
+        low = np.minimum(low, (s[k : k + 512, None] * _MUL).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for col in low.reshape(BANDS, PER_BAND).T:
+        key = _mix(key * _STEP + col)
+    return key
+
+
+def near(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least ``similarity``."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return not len(b)
+    if len(a) < similarity * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def cell_links(sets: list[np.ndarray], joined: np.ndarray, similarity: float) -> list[int]:
+    """For each set the index of its component's first member; those marked ``joined`` are one component already.
+
+    A set is compared with a component until one link is found.
+    """
+    parts = [list(np.flatnonzero(joined))] if joined.any() else []
+    for k in np.flatnonzero(~joined):
+        hit = [p for p in parts if any(near(sets[k], sets[j], similarity) for j in p)]
+        whole = sorted([*(j for p in hit for j in p), k])
+        parts = [p for p in parts if p not in hit] + [whole]
+    root = [0] * len(sets)
+    for p in parts:
+        for j in p:
+            root[j] = p[0]
+    return root
+
+
+def near_duplicates(rows: DataFrame, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
+    """(__row, component_id) of rows with distinct __row (long): component_id is the least __row reachable over links."""
+    spark = rows.sparkSession
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh64_intdigest
+
+        cut = Shingles(words)
+        for b in batches:
+            sets = [cut(t) for t in b["text"]]
+            same = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"row": b["row"], "same": same, "keys": [band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]})
+
+    slim = rows.select(F.col("__row").alias("row"), F.col(f"`{text}`").alias("text"))
+    signed = materialize(slim.mapInPandas(sign, "row long, same long, keys array<long>"), "jaccard-keys")
+    nodes = materialize(signed.groupBy("same").agg(F.min("row").alias("node")), "jaccard-nodes")
+    placed = signed.join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), F.explode("keys").alias("key"))
+    least = placed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    stars = placed.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b")
+    # the same components by fewer edges: a node and its firsts all lead to the least of these
+    stars = stars.distinct().withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    stars = materialize(stars, "jaccard-stars")
+    cand = components(stars.select("a", F.col("m").alias("b")).unionByName(stars.select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+    cand = materialize(cand.join(slim, cand.node == slim.row).select("node", F.col("component").alias("first"), "text"), "jaccard-candidates")
+
+    def to_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut, at, s = Shingles(words), None, None
+        for b in batches:
+            hit = []
+            for first, t, u in zip(b["first"], b["text"], b["first_text"], strict=True):
+                if first != at:
+                    at, s = first, cut(u)
+                hit.append(near(cut(t), s, similarity))
+            yield pd.DataFrame({"node": b["node"], "first": b["first"], "close": hit})
+
+    firsts = cand.where("node = first").select("first", F.col("text").alias("first_text"))
+    judged = materialize(cand.where("node <> first").join(firsts, "first").mapInPandas(to_first, "node long, first long, close boolean"), "jaccard-judged")
+    # cells: each chunk of far nodes with each chunk of close ones and with each other chunk of far ones
+    far = judged.where("not close").groupBy("first").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n_far"))
+    n_close = judged.where("close").groupBy("first").agg(F.count("*").alias("n"))
+    far = far.join(n_close, "first", "left").select("first", "n_far", F.ceil((F.coalesce("n", F.lit(0)) + 1) / chunk).cast("int").alias("n_close"))
+    side = judged.select("node", "close").unionByName(cand.where("node = first").select("node", F.lit(True).alias("close")))
+    some = cand.join(far, "first").join(side, "node")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    some = some.withColumn("own", F.when(F.col("close"), deal("n_close")).otherwise(deal("n_far")))
+    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda i, j, kind: F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("far_only"))
+    own = F.col("own")
+    of_far = F.concat(
+        F.transform(count("n_close"), lambda j: cell(own, j, False)),
+        F.transform(F.filter(count("n_far"), lambda j: j != own), lambda j: cell(F.least(own, j), F.greatest(own, j), True)),
+    )
+    of_close = F.transform(count("n_far"), lambda i: cell(i, own, False))
+    cells = some.select("node", "first", "close", "text", F.explode(F.when(F.col("close"), of_close).otherwise(of_far)).alias("cell"))
+    by = ["first", "far_only", "i", "j"]
+    cells = cells.select("node", "first", "close", "text", "cell.far_only", "cell.i", "cell.j")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut = Shingles(words)
+        for c in _groups(batches, by):
+            node = c["node"].to_numpy()
+            root = node[cell_links([cut(t) for t in c["text"]], c["close"].to_numpy(bool), similarity)]
+            if (linked := root != node).any():
+                yield pd.DataFrame({"a": node[linked], "b": root[linked]})
+
+    found = cells.repartition(partitions(spark), *by).sortWithinPartitions(*by).mapInPandas(compare, "a long, b long")
+    edges = found.unionByName(judged.where("close").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    comp = components(edges)
+    of_set = nodes.join(comp, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    return signed.select(F.col("row").alias("__row"), "same").join(of_set, "same").select("__row", "component_id")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with exactly one row of each component, that of the least id; null and repeated ids as in simhash_bktree.dedup."""
+    rows = numbered(docs)
+    return survivors(rows, near_duplicates(rows, text, words, similarity), id_col, text)

@@ -1,0 +1,70 @@
+import random
+
+import pytest
+
+import corpus_pipeline as p
+from scenelake.llm import jaccard_dedup as jac
+
+from .test_dedup import docs, words
+
+
+def grams(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+
+
+def brute(rows):
+    up = {i: i for i, _ in rows}
+    sets = {i: grams(t) for i, t in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in up:
+        for b in up:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in up}
+
+
+def made_up(seed=8):
+    """Groups of edited copies, one a long chain whose ends are far apart."""
+    r, texts = random.Random(seed), [None, "", "one two", "One two"]
+    for _ in range(10):
+        base = words(r, r.choice([60, 120, 300])).split()
+        for _ in range(r.randint(1, 7)):
+            w = list(base)
+            for _ in range(r.randint(0, len(w) // 25)):
+                w[r.randrange(len(w))] = words(r, 1)
+            texts.append(" ".join(w))
+    w = words(r, 120).split()
+    for k in range(30):
+        texts.append(" ".join(w))
+        w = w[3:] + words(r, 3).split()
+    r.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("chunk", [2, 256])
+def test_components_against_brute_force(spark, chunk):
+    rows = made_up()
+    d = docs(spark, rows).withColumnRenamed("doc_id", "__row")
+    got = {x["__row"]: x["component_id"] for x in jac.near_duplicates(d, chunk=chunk).collect()}
+    assert got == brute(rows)
+
+
+def test_the_pipelines_stage_takes_similar_texts(spark):
+    rows = made_up(9)
+    stage = dict(p.STAGES)["near_dedup"]
+    got = sorted(x["doc_id"] for x in stage(spark, docs(spark, rows), "").collect())
+    assert got == sorted(set(brute(rows).values()))
+
+
+def test_dedup_null_and_repeated_ids(spark):
+    d = docs(spark, [(None, "words that stand alone here"), (None, "a b c d e"), (3, "A b c d e"), (3, "a b c d e"), (3, "another text of the same id")])
+    got = sorted(repr((x["doc_id"], x["text"].lower())) for x in jac.dedup(d).collect())
+    assert got == sorted(map(repr, [(None, "words that stand alone here"), (3, "a b c d e"), (3, "another text of the same id")]))
+    assert jac.dedup(d.where("false")).count() == 0
