@@ -7,7 +7,8 @@ smaller weight, host <-> parent domain. A host is blocked if its distrust is at
 hosts and at least ``share`` of its trust and distrust together.
 
 All state is one row per host and one per edge; both are pre-aggregated before they are shuffled, and the scores are
-written to the shared folder every few rounds. Pages meet the scores in an outer join on host, whose hot keys Spark's
+written to the shared folder every few rounds. Rounds go on until what they could still move is 1/1000 of a host's mean
+rank, all hosts together (see host_scores). Pages meet the scores in an outer join on host, whose hot keys Spark's
 skew join splits.
 
 Edge cases: a null URL or one without "://" has empty host and path, fits no rule and is allowed; null html has no
@@ -56,8 +57,14 @@ def _parents(host: Column) -> Column:
     return F.when(F.size(labels) > 2, F.regexp_replace(host, r"^[^.]*\.", ""))
 
 
-def host_scores(judged: DataFrame, rounds: int = 8, damping: float = 0.85, parent_weight: float = 0.2) -> DataFrame:
-    """(host, trust, distrust) of rows (host, verdict, links)."""
+def host_scores(
+    judged: DataFrame, rounds: int | None = 8, damping: float = 0.85, parent_weight: float = 0.2, tolerance: float = 1e-3
+) -> DataFrame:
+    """(host, trust, distrust, n_hosts) of rows (host, verdict, links).
+
+    With rounds None the ranks converge: what the rounds not made could still move, over all hosts together, is at most
+    ``tolerance`` over the number of hosts (damping / (1 - damping) times the last round's L1 change).
+    """
     seen = judged.groupBy("host").agg(
         F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad")
     ).where("host <> ''")
@@ -92,7 +99,9 @@ def host_scores(judged: DataFrame, rounds: int = 8, damping: float = 0.85, paren
     )).groupBy("a", "b").agg(F.sum("p_t").alias("p_t"), F.sum("p_d").alias("p_d"))
     flow = materialize(flow, "host-flow")
     ranks, kept = seeds.select("host", F.col("s_t").alias("t"), F.col("s_d").alias("d")), None
-    for k in range(rounds):
+    k, settled = 0, rounds == 0
+    while not settled:
+        before = ranks
         come = ranks.join(flow, ranks.host == flow.a).groupBy(F.col("b").alias("dst_host")).agg(
             F.sum(F.col("t") * F.col("p_t")).alias("in_t"), F.sum(F.col("d") * F.col("p_d")).alias("in_d")
         )
@@ -101,19 +110,28 @@ def host_scores(judged: DataFrame, rounds: int = 8, damping: float = 0.85, paren
             ((1 - damping) * F.col("s_t") + damping * F.coalesce("in_t", F.lit(0.0))).alias("t"),
             ((1 - damping) * F.col("s_d") + damping * F.coalesce("in_d", F.lit(0.0))).alias("d"),
         )
-        if k % 4 == 3 or k == rounds - 1:
+        k += 1
+        settled = k == rounds
+        if k % 4 == 0 or settled:
+            if rounds is None:
+                was = before.select(F.col("host").alias("was"), F.col("t").alias("t0"), F.col("d").alias("d0"))
+                ranks = ranks.join(was, ranks.host == was.was).select("host", "n_hosts", "t", "d", "t0", "d0")
             ranks, old = materialize(ranks, "host-ranks"), kept
             if old is not None:
                 discard(old)
             kept = ranks
+            if rounds is None:
+                moved = F.greatest(F.sum(F.abs(F.col("t") - F.col("t0"))), F.sum(F.abs(F.col("d") - F.col("d0"))))
+                left = ranks.agg((moved * F.max("n_hosts") * (damping / (1 - damping))).alias("left")).first()["left"]
+                settled = left is None or left <= tolerance
     return ranks.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"), "n_hosts")
 
 
 def filter_urls(
-    pages: DataFrame, rules=RULES, share: float = 0.95, floor: float = 0.5, rounds: int = 8,
+    pages: DataFrame, rules=RULES, share: float = 0.95, floor: float = 0.5, rounds: int | None = None,
     id_col: str = "page_id", url: str = "url", html: str = "html",
 ) -> DataFrame:
-    """(page_id, host, path, rule, verdict, trust, distrust), one row per row of pages."""
+    """(page_id, host, path, rule, verdict, trust, distrust), one row per row of pages; rounds None: ranks that have converged."""
     p = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     p = p.withColumns({"rule": rule, "verdict": verdict})

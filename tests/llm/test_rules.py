@@ -203,6 +203,20 @@ def test_ranks_against_plain_iteration(spark):
         assert got[h] == pytest.approx((rank["t"][h], rank["d"][h]))
 
 
+def test_ranks_converge_along_a_chain(spark):
+    """Distrust reaches a host 9 links before the blocked one."""
+    n = 20
+    rows = [(k, f"x://h{k}.info/a", f'<a href="http://h{k + 1}.info/">' if k < 9 else "") for k in range(n)]
+    rows[9] = (9, "x://h9.info/a", '<a href="http://bad.org/">')
+    rows += [(n, "x://bad.org/es/1", ""), (n + 1, "x://far.info/a", '<a href="http://h0.info/">')]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x["page_id"]: x for x in url_pagerank.filter_urls(d).collect()}
+    for k in range(10):
+        assert got[k]["distrust"] == pytest.approx(0.15 * 0.85 ** (10 - k), abs=1e-4)
+    assert got[1]["verdict"] == "block"  # 9 links away
+    assert got[15]["verdict"] == "allow"
+
+
 # -- pages -------------------------------------------------------------------------------------------------------------
 
 
