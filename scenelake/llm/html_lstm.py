@@ -10,7 +10,8 @@ time); no row of the input is learned from. Labelling reads each page where it l
 the weights (about 100 kB).
 
 Edge cases: null or empty html, and pages without main text, give an empty text; character references without a
-semicolon or cut off at the end are decoded as browsers do; unclosed tags are closed by the next block; repeated rows
+semicolon or cut off at the end are decoded as browsers do; unclosed tags are closed by the next block, an
+unclosed head by its first text or tag of the body; repeated rows
 are extracted each for itself; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -38,6 +39,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN_TAGS = frozenset("script style template head title noscript iframe object svg canvas audio video select textarea button option".split())
+#: Start tags that leave an open head open; all others, and text, end it.
+HEAD_TAGS = frozenset("html head base link meta script style template title noscript".split())
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z0-9]+")
 
@@ -58,7 +61,13 @@ class _Blocks(HTMLParser):
                 self.out.append((text, [s for s in self.stack if s[0] in BLOCKS or s[0] == "a"], self.linked / max(len(text), 1)))
             self.text, self.linked = [], 0
 
+    def _leave_head(self) -> None:
+        if self.stack and self.stack[-1][0] == "head":
+            self._pop(len(self.stack) - 1)
+
     def handle_starttag(self, tag, attrs) -> None:
+        if tag not in HEAD_TAGS:
+            self._leave_head()
         if tag in BLOCKS:
             self.flush()
             if tag != "hr":
@@ -102,6 +111,8 @@ class _Blocks(HTMLParser):
                 break  # an inline end tag does not reach out of its block
 
     def handle_data(self, data) -> None:
+        if self.hidden and data.strip():
+            self._leave_head()
         if not self.hidden:
             self.text.append(data)
             if self.links:

@@ -360,3 +360,10 @@ def test_matches_against_brute_force(spark):
     assert out.columns == d.columns
     assert {x["doc_id"] for x in out.collect()} == set(range(len(texts))) - {k for k, _, _ in want}
     assert dec.matches(d, bench.where("item_id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("start", ["<html><head><title>T</title><body>", "<head><meta charset=x><title>T</title>", "<html><head><style>p{}</style><span>", "<head><title>T</title>\n"])
+def test_head_left_open(start):
+    page = start + "<article><h1>A heading</h1><p>Some words of the article.</p></article>"
+    assert [t for t, _, _ in html_lstm.blocks(page)] == ["A heading", "Some words of the article."]
+    assert [t for t, _, _ in html_lstm.blocks("<head><title>T</title>Plain text")] == ["Plain text"]
