@@ -534,6 +534,15 @@ def coco_document(spark, d):
     return doc.select(n("images"), n("annotations"), n("categories"))
 
 
+@query(_COCO + "SELECT (SELECT count(*) FROM img) AS n_images, (SELECT count(*) FROM an) AS n_annotations, (SELECT count(*) FROM cat) AS n_categories")
+def coco_document_whole(spark, d):
+    """coco_document over all images and annotations."""
+    img, an, cats = _coco(spark, d)
+    doc = ann.document(img.drop("o_orderkey", "cam"), an.select("id", "image_id", "category_id", "bbox", "area"), cats)
+    n = lambda c: F.json_array_length(F.get_json_object("value", f"$.{c}")).cast("long").alias(f"n_{c}")
+    return doc.select(n("images"), n("annotations"), n("categories"))
+
+
 @query("SELECT l_linenumber AS v, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1")
 def nonempty_areas(spark, d):
     li = _t(spark, d, "lineitem").withColumn("area", F.when(F.col("l_quantity") > 10, 1).otherwise(0))
