@@ -154,14 +154,14 @@ class Inputs:
         for k, (text, path, linked) in enumerate(page):
             x[k, :PATH_DIM] = self.path(path)
             words = text.lower().split()
-            for w in words[:64]:  # of a block's inputs only; its text stays whole
+            for w in words:
                 if (at := self.words.get(w)) is None:
                     if len(self.words) > 500_000:
                         self.words.clear()
                     at = self.words[w] = crc32(w.encode()) % WORD_DIM
                 x[k, PATH_DIM + at] += 1.0
             n = len(words)
-            x[k, PATH_DIM : PATH_DIM + WORD_DIM] *= 0.25 / max(min(n, 64), 1) ** 0.5
+            x[k, PATH_DIM : PATH_DIM + WORD_DIM] *= 0.25 / max(n, 1) ** 0.5
             dots = text.count(".") + text.count("!") + text.count("?")
             x[k, -MEASURES:] = (
                 min(np.log1p(len(text)) / 8, 1.5), min(linked, 1.0), k / len(page), 1.0 / (1 + k), n < 4,

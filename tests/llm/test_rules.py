@@ -367,3 +367,9 @@ def test_head_left_open(start):
     page = start + "<article><h1>A heading</h1><p>Some words of the article.</p></article>"
     assert [t for t, _, _ in html_lstm.blocks(page)] == ["A heading", "Some words of the article."]
     assert [t for t, _, _ in html_lstm.blocks("<head><title>T</title>Plain text")] == ["Plain text"]
+
+
+def test_all_words_of_a_block_count():
+    a, b = ("same " * 64 + "one " * 30, "same " * 64 + "two " * 30)
+    x, y = (html_lstm.Inputs().page([(t.strip(), [], 0.0)]) for t in (a, b))
+    assert (x != y).any()
