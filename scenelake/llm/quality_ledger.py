@@ -41,22 +41,37 @@ def mask_of(policy: str) -> int:
     return sum(1 << RULES[name][0] for name in POLICIES[policy])
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words in 3-word windows that occur twice or more: sort (hash, index), keep neighbours that agree, sum the cover."""
+def _hashed(words: Column) -> Column:
+    """The 3-word windows as sorted (hash, index)."""
     n = F.size(words)
-    hashed = F.transform(
-        words, lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))
-    )
-    hashed = F.sort_array(F.slice(hashed, F.lit(1), F.greatest(n - 2, F.lit(0))))
-    return hashed
+    each = F.transform(words, lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
+    return F.sort_array(F.slice(each, F.lit(1), F.greatest(n - 2, F.lit(0))))
 
 
-def _covered(hashed: Column) -> Column:
-    again = F.filter(
-        hashed,
-        lambda x, j: F.coalesce(x["h"] == F.get(hashed, j - 1)["h"], F.lit(False))
-        | F.coalesce(x["h"] == F.get(hashed, j + 1)["h"], F.lit(False)),
-    )
+def _plain(words: Column) -> Column:
+    """The same with the words themselves in place of the hash, for texts in which two windows share a hash by chance."""
+    n = F.size(words)
+    each = F.transform(words, lambda w, i: F.struct(F.struct(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
+    return F.sort_array(F.slice(each, F.lit(1), F.greatest(n - 2, F.lit(0))))
+
+
+def _collides(words: Column, hashed: Column) -> Column:
+    """Whether neighbours in the order of hashes agree in the hash and not in the words."""
+
+    def other(x: Column, j: Column) -> Column:
+        y = F.get(hashed, j - 1)
+        differ = F.lit(False)
+        for k in range(3):
+            differ = differ | (F.get(words, x["i"] + k) != F.get(words, y["i"] + k))
+        return F.coalesce((x["h"] == y["h"]) & differ, F.lit(False))
+
+    return F.exists(F.filter(hashed, other), lambda x: F.lit(True))
+
+
+def _covered(windows: Column) -> Column:
+    """Words in windows that occur twice or more: those that equal a neighbour, their cover summed."""
+    like = lambda x, k: F.coalesce(x["h"] == F.get(windows, k)["h"], F.lit(False))
+    again = F.filter(windows, lambda x, j: like(x, j - 1) | like(x, j + 1))
     at = F.sort_array(F.transform(again, lambda x: x["i"]))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     return F.aggregate(
@@ -78,9 +93,11 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
         f"{p}n_words": F.size(f"{p}words").cast("long"),
         f"{p}n_lines": F.size(f"{p}lines").cast("long"),
         f"{p}n_dup_lines": (F.size(f"{p}lines") - F.size(F.array_distinct(f"{p}lines"))).cast("long"),
-        f"{p}hashed": _repeat_words(F.col(f"{p}words")),
-    }).drop(f"{p}words", f"{p}lines")
-    return out.withColumn(f"{p}n_repeat_words", _covered(F.col(f"{p}hashed"))).drop(f"{p}hashed")
+        f"{p}windows": _hashed(F.col(f"{p}words")),
+    })
+    words, windows = F.col(f"{p}words"), F.col(f"{p}windows")
+    n = F.when(_collides(words, windows), _covered(_plain(words))).otherwise(_covered(windows))
+    return out.withColumn(f"{p}n_repeat_words", n).drop(f"{p}words", f"{p}lines", f"{p}windows")
 
 
 def failed_bits(prefix: str = "") -> Column:
@@ -109,21 +126,22 @@ def with_policy(book: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def ablation(book: DataFrame, policy: str = "v1") -> DataFrame:
-    """Per rule of a policy: documents that fail it, and those that would be kept without it alone."""
+    """Per rule of a policy: documents that fail it, those that fail it alone and so would be kept without it, and the
+    union of the other bits that its failures show.
+
+    The ledger is first counted by its bits (2 ** len(RULES) groups at most, summed before they are shuffled); rules
+    then meet these groups bit by bit.
+    """
     mask = mask_of(policy)
-    cols = []
-    for name in POLICIES[policy]:
-        bit = 1 << RULES[name][0]
-        cols += [
-            F.count_if(book.failed.bitwiseAND(bit) != 0).alias(f"{name}__failed"),
-            F.count_if(book.failed.bitwiseAND(mask) == bit).alias(f"{name}__only"),
-        ]
-    one = book.agg(*cols)
-    rows = F.array(*[
-        F.struct(F.lit(n).alias("rule"), F.col(f"{n}__failed").alias("n_failed"), F.col(f"{n}__only").alias("n_only"))
-        for n in POLICIES[policy]
-    ])
-    return one.select(F.inline(rows))
+    groups = book.groupBy("failed").agg(F.count("*").alias("n"))
+    rules = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(1 << RULES[name][0]).alias("bit")) for name in POLICIES[policy]])
+    each = groups.select("failed", "n", F.inline(rules))
+    hit = F.col("failed").bitwiseAND(F.col("bit")) != 0
+    return each.groupBy("rule").agg(
+        F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("n_failed"),
+        F.sum(F.when(F.col("failed").bitwiseAND(mask) == F.col("bit"), F.col("n")).otherwise(0)).alias("n_only"),
+        F.coalesce(F.bit_or(F.when(hit, F.col("failed").bitwiseXOR(F.col("bit")))), F.lit(0)).alias("also"),
+    )
 
 
 def apply_policy(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
