@@ -6,11 +6,13 @@ k + 1 pieces of nearly equal length; k edits leave one of them whole, so every o
 (found by an Aho-Corasick automaton over all pieces). Hits of one item on neighbouring diagonals are verified together
 with Myers' bit-parallel distance over the stretch of text that an occurrence around them could cover.
 
-Items come in blocks of at most BLOCK_CHARS characters; each block is broadcast and met by every document where it is
-read: no shuffle. One row per document and item at most.
+An item with a budget of 0 (shorter than 1 / ERROR_RATE characters) is looked for as whole words: a space or an end of
+the text stands on either side of it.
 
-Edge cases: null or empty texts match nothing; items of fewer than MIN_CHARS characters after normalising are not
-looked for (they would be found by chance); items that repeat are matched each by its own id; repeated rows give
+Items come in blocks of at most BLOCK_CHARS characters (an item longer than that is a block of its own); each block is
+broadcast and met by every document where it is read: no shuffle. One row per document and item at most.
+
+Edge cases: null or empty texts match nothing, nor do items that are null, blank or without an id; items that repeat are matched each by its own id; repeated rows give
 repeated pairs; an empty table of either kind gives an empty result; decontaminate() keeps the columns of its input.
 """
 
@@ -23,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ERROR_RATE = 0.08
-MIN_CHARS = 16
 BLOCK_CHARS = 4_000_000
 
 
@@ -76,7 +77,8 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE) -> None:
         import ahocorasick
 
-        self.items = [(i, t, budget(t, rate)) for i, t in items]
+        # texts are searched between two spaces, and so are items without a budget
+        self.items = [(i, t if (k := budget(t, rate)) else f" {t} ", k) for i, t in items]
         self.myers: dict[int, Myers] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k) in enumerate(self.items):
@@ -89,8 +91,8 @@ class Matcher:
 
     def match(self, text: str | None) -> list[tuple[int, int]]:
         """(item id, distance) of all items within their budget."""
-        t = normal(text)
-        if not t or not self.items:
+        t = f" {normal(text)} "
+        if not self.items:
             return []
         starts: dict[int, set[int]] = {}
         for end, (length, where) in self.automaton.iter(t):
@@ -117,7 +119,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text: str, most: int) -> Iterat
     block, size = [], 0
     for row in benchmark.select(F.col(item_col).alias("i"), F.col(text).alias("t")).toLocalIterator():
         t = normal(row["t"])
-        if row["i"] is None or len(t) < MIN_CHARS:
+        if row["i"] is None or not t:
             continue
         if block and size + len(t) > most:
             yield block

@@ -26,6 +26,8 @@ from . import boosting
 #: Labelled rows that are learned from at most, and entries of the learned lexicon at most.
 MOST_ROWS = 20_000
 MOST_ENTRIES = 4_000
+#: Width within which equal calibrated scores are ordered by the trees' own.
+TIE = 1e-6
 #: Lengths of the word beginnings that the lexicon may hold besides whole words.
 HEADS = (4, 5, 6, 7)
 #: General insults and second-person words in four languages.
@@ -99,24 +101,27 @@ def features(text: str | None, scores: Scores, strong: float = 2.0) -> list[floa
 
 
 def _sample(labels: DataFrame, id_col: str, label: str, most: int) -> DataFrame:
-    """(doc_id, y, fold) of at most ``most`` rows to learn from."""
+    """(s_id, y, fold, h) of at most ``most`` labelled rows to learn from; h orders them."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = labels.where(F.col(label).isin(0, 1) & (F.crc32(key) % 5 != 0)).select(
         F.col(id_col).alias("s_id"), F.col(label).cast("int").alias("y"), F.md5(key).alias("h")
     )
-    return rows.orderBy("h", "s_id", "y").limit(most).select("s_id", "y", (F.conv(F.substring("h", -4, 4), 16, 10).cast("int") % 10).alias("fold"))
+    return rows.orderBy("h", "s_id", "y").limit(most).select("s_id", "y", "h", (F.conv(F.substring("h", -4, 4), 16, 10).cast("int") % 10).alias("fold"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS) -> dict:
     """The lexicon, the trees and the calibration curve."""
     sample = F.broadcast(_sample(labels, id_col, label, most_rows))  # most_rows small rows
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(sample, F.col("doc_id") == F.col("s_id")).select("text", "y", "fold")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(sample, F.col("doc_id") == F.col("s_id")).select("text", "y", "fold", "h")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             docs_, times = [Counter(), Counter()], [Counter(), Counter()]
             for t, y in zip(b["text"], b["y"], strict=True):
-                c = Counter(h for w, k in Counter(tokens(t)).items() for h in heads(w) for _ in range(min(k, 20)))
+                c: Counter[str] = Counter()
+                for w, k in Counter(tokens(t)).items():
+                    for h in heads(w):
+                        c[h] += k
                 times[y].update(c)
                 docs_[y].update(c.keys())
             for y in (0, 1):
@@ -142,9 +147,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scores = Scores(lexicon)
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "fold": b["fold"], "x": [features(t, scores) for t in b["text"]]})
+            yield pd.DataFrame({"y": b["y"], "fold": b["fold"], "h": b["h"], "x": [features(t, scores) for t in b["text"]]})
 
-    data = rows.where("fold >= 5").mapInPandas(measure, "y int, fold int, x array<double>").toPandas()  # at most most_rows rows
+    measured = rows.where("fold >= 5").mapInPandas(measure, "y int, fold int, h string, x array<double>")
+    # ids that repeat among the documents multiply the sample's rows: the bound holds for what reaches the driver
+    data = measured.orderBy("h", "y", "x").limit(most_rows).toPandas()
     x = np.array(data["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     y, fold = data["y"].to_numpy(), data["fold"].to_numpy()
     order = np.lexsort((*x.T, y, fold))  # the fit does not depend on the order in which rows arrive
@@ -159,8 +166,8 @@ def probability(model: dict, x: np.ndarray) -> np.ndarray:
     raw = model["trees"].raw(x)
     if model["x"] is None:
         return 1 / (1 + np.exp(-raw))
-    # ties of the curve's steps are broken by a sliver of the raw score, so that ranking keeps the trees' detail
-    return np.clip(0.98 * np.interp(raw, model["x"], model["p"]) + 0.02 / (1 + np.exp(-raw)), 0, 1)
+    # the calibrated value; within a flat step of the curve the raw score orders by less than a millionth
+    return np.clip(np.interp(raw, model["x"], model["p"]) + TIE * (1 / (1 + np.exp(-raw)) - 0.5), 0, 1)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS) -> DataFrame:

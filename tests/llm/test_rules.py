@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scenelake.llm import boosting, bpe_count, entropy_mix, html_lstm, pii_boost, quality_ledger, queries, toxicity_gbt, url_pagerank
 from scenelake.llm import decontam_pigeonhole as dec
@@ -308,6 +309,29 @@ def test_held_out_accuracy(spark):
     assert all(0 <= g["score"] <= 1 for g in got.values())
 
 
+def test_scores_are_the_calibrated_ones():
+    r = np.random.default_rng(3)
+    x = r.random((800, len(toxicity_gbt.FEATURES)))
+    y = (x[:, 0] + 0.3 * r.standard_normal(800) > 0.6).astype(int)
+    trees = boosting.fit(x[:500], y[:500])
+    kx, kp = boosting.isotonic(trees.raw(x[500:]), y[500:])
+    p = toxicity_gbt.probability({"trees": trees, "x": kx, "p": kp}, x)
+    assert np.abs(p - np.interp(trees.raw(x), kx, kp)).max() <= toxicity_gbt.TIE
+    order = np.argsort(trees.raw(x), kind="stable")
+    assert (np.diff(p[order]) >= 0).all()
+
+
+def test_toxicity_repeated_ids_and_ties(spark):
+    """Repeated ids multiply the labelled rows; what is learned from stays bounded, equal texts score alike."""
+    texts = [(k % 40, "you stupid idiot " * (1 + k % 3) if k % 2 else f"fine words number {k}") for k in range(1200)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    model = toxicity_gbt.learn(d, labels, most_rows=30)
+    assert len(model["lexicon"]) <= toxicity_gbt.MOST_ENTRIES + len(toxicity_gbt.INSULTS)
+    got = toxicity_gbt.score(d, labels, most_rows=30).join(d.distinct(), "doc_id").groupBy("doc_id").agg(F.count_distinct("score").alias("n"), F.count_distinct("text").alias("t")).collect()
+    assert all(x["n"] <= x["t"] for x in got)
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, 1), (2, None)], "doc_id long, toxic int")
     got = toxicity_gbt.score(docs(spark, [None, "", "you idiot", "x" * 1000]), labels).collect()
@@ -339,8 +363,8 @@ def test_myers_distance():
 def test_matches_against_brute_force(spark):
     r = random.Random(10)
     word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(2, 6)))
-    items = [" ".join(word() for _ in range(n)) for n in (4, 8, 15, 25, 40)] + ["short", None, ""]
-    texts = [None, "", "nothing to see"]
+    items = [" ".join(word() for _ in range(n)) for n in (4, 8, 15, 25, 40)] + ["short", None, "", "Ab c"]
+    texts = [None, "", "nothing to see", "a short one", "shorter", "xab c ab cd", "it ends in ab\nC", "short"]
     for _ in range(60):
         t = list(dec.normal(r.choice(items[:5])))
         for _ in range(r.randint(0, max(1, len(t) // 8))):
@@ -351,7 +375,12 @@ def test_matches_against_brute_force(spark):
     want = set()
     for k, t in enumerate(texts):
         for i, p in enumerate(map(dec.normal, items)):
-            if len(p) >= dec.MIN_CHARS and (e := distance(p, dec.normal(t))) <= dec.budget(p):
+            if not p:
+                continue
+            if dec.budget(p) == 0:
+                if f" {p} " in f" {dec.normal(t)} ":
+                    want.add((k, i, 0))
+            elif (e := distance(p, f" {dec.normal(t)} ")) <= dec.budget(p):
                 want.add((k, i, e))
     d = docs(spark, texts)
     assert {tuple(x) for x in dec.matches(d, bench).collect()} == want
@@ -359,6 +388,7 @@ def test_matches_against_brute_force(spark):
     out = dec.decontaminate(d, bench)
     assert out.columns == d.columns
     assert {x["doc_id"] for x in out.collect()} == set(range(len(texts))) - {k for k, _, _ in want}
+    assert {(k, i) for k, i, _ in want} >= {(3, 5), (6, 8), (7, 5)}
     assert dec.matches(d, bench.where("item_id < 0")).count() == 0
 
 
