@@ -2,13 +2,13 @@
 
 Rules (host, path prefix, verdict) fit a host and its subdomains; the longest rule wins. Hosts whose pages no rule
 decides are judged by two personalised PageRanks over host edges: trust flows from hosts with allowed pages along the
-links, distrust from hosts with blocked pages against them. Edges are the absolute links in the pages and, with a
-smaller weight, host <-> parent domain. A host is blocked if its distrust is at least ``floor`` over the number of
+links, distrust from hosts with blocked pages against them. Edges are the absolute links of the pages' anchors (not
+those in scripts, styles and comments) and, always, with a smaller weight, host <-> parent domain. A host is blocked if its distrust is at least ``floor`` over the number of
 hosts and at least ``share`` of its trust and distrust together.
 
 All state is one row per host and one per edge; both are pre-aggregated before they are shuffled, and the scores are
-written to the shared folder every few rounds. Rounds go on until what they could still move is 1/1000 of a host's mean
-rank, all hosts together (see host_scores). Pages meet the scores in an outer join on host, whose hot keys Spark's
+written to the shared folder every few rounds. Rounds go on until no host's rank can still move by more than 1/100 of
+the mean rank, a fiftieth of the floor (see host_scores). Pages meet the scores in an outer join on host, whose hot keys Spark's
 skew join splits.
 
 Edge cases: a null URL or one without "://" has empty host and path, fits no rule and is allowed; null html has no
@@ -31,7 +31,11 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("org", "/es/", "block"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HREF = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/"'?#\s>]+)"""
+HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*["']?\s*(?:https?:)?//([^/"'?#\s>]+)"""
+#: Parts of a page whose links do not count.
+UNSEEN = r"(?is)<!--.*?(?:-->|$)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|$)"
+#: Keys that a host's edges are dealt over.
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -58,12 +62,13 @@ def _parents(host: Column) -> Column:
 
 
 def host_scores(
-    judged: DataFrame, rounds: int | None = 8, damping: float = 0.85, parent_weight: float = 0.2, tolerance: float = 1e-3
+    judged: DataFrame, rounds: int | None = 8, damping: float = 0.85, parent_weight: float = 0.2, tolerance: float = 1e-2
 ) -> DataFrame:
     """(host, trust, distrust, n_hosts) of rows (host, verdict, links).
 
-    With rounds None the ranks converge: what the rounds not made could still move, over all hosts together, is at most
-    ``tolerance`` over the number of hosts (damping / (1 - damping) times the last round's L1 change).
+    With rounds None the ranks converge: the largest change of any host in the last round, carried on at the damping
+    rate for ever (times damping / (1 - damping)), is at most ``tolerance`` over the number of hosts. Both numbers scale
+    with a host's mean rank, so the rounds needed do not grow with the graph.
     """
     seen = judged.groupBy("host").agg(
         F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad")
@@ -97,12 +102,14 @@ def host_scores(
     ).unionByName(edges.join(in_w, edges.dst == in_w.host).select(
         F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0.0).alias("p_t"), (F.col("w") / F.col("in_w")).alias("p_d")
     )).groupBy("a", "b").agg(F.sum("p_t").alias("p_t"), F.sum("p_d").alias("p_d"))
-    flow = materialize(flow, "host-flow")
+    flow = materialize(flow.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")), "host-flow")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("r_salt")
     ranks, kept = seeds.select("host", F.col("s_t").alias("t"), F.col("s_d").alias("d")), None
     k, settled = 0, rounds == 0
     while not settled:
         before = ranks
-        come = ranks.join(flow, ranks.host == flow.a).groupBy(F.col("b").alias("dst_host")).agg(
+        dealt = ranks.select("host", "t", "d", copies)
+        come = dealt.join(flow, (dealt.host == flow.a) & (dealt.r_salt == flow.salt)).groupBy(F.col("b").alias("dst_host")).agg(
             F.sum(F.col("t") * F.col("p_t")).alias("in_t"), F.sum(F.col("d") * F.col("p_d")).alias("in_d")
         )
         ranks = seeds.join(come, seeds.host == come.dst_host, "left").select(
@@ -121,9 +128,11 @@ def host_scores(
                 discard(old)
             kept = ranks
             if rounds is None:
-                moved = F.greatest(F.sum(F.abs(F.col("t") - F.col("t0"))), F.sum(F.abs(F.col("d") - F.col("d0"))))
+                moved = F.greatest(F.max(F.abs(F.col("t") - F.col("t0"))), F.max(F.abs(F.col("d") - F.col("d0"))))
                 left = ranks.agg((moved * F.max("n_hosts") * (damping / (1 - damping))).alias("left")).first()["left"]
                 settled = left is None or left <= tolerance
+    discard(edges)
+    discard(flow)
     return ranks.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"), "n_hosts")
 
 
@@ -135,7 +144,7 @@ def filter_urls(
     p = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     p = p.withColumns({"rule": rule, "verdict": verdict})
-    links = F.transform(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), 1)), lambda x: F.translate(x, UPPER, LOWER))
+    links = F.transform(F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.coalesce("html", F.lit("")), UNSEEN, ""), F.lit(HREF), 1)), lambda x: F.translate(x, UPPER, LOWER))
     scores = host_scores(p.select("host", "verdict", links.alias("links")), rounds)
     scores = scores.select(F.col("host").alias("s_host"), "trust", "distrust", "n_hosts")
     p = p.drop("html").join(scores, F.col("host") == F.col("s_host"), "left")

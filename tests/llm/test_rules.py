@@ -218,6 +218,34 @@ def test_ranks_converge_along_a_chain(spark):
     assert got[15]["verdict"] == "allow"
 
 
+def test_converged_ranks_against_a_solved_system(spark):
+    """A hub, a dangling host, ties: the ranks solve (1 - d) s + d P r = r."""
+    r = random.Random(2)
+    hosts = [f"h{k}.info" for k in range(30)]
+    links = {h: sorted({hosts[0], r.choice(hosts), r.choice(hosts)} - {h}) for h in hosts[:-1]}
+    judged = [(h, {0: "allow", 7: "block"}.get(k), links.get(h, [])) for k, h in enumerate(hosts)]
+    got = {x["host"]: x for x in url_pagerank.host_scores(spark.createDataFrame(judged, "host string, verdict string, links array<string>"), None, tolerance=1e-3).collect()}
+    at = {h: k for k, h in enumerate(hosts)}
+    w = np.zeros((30, 30))
+    for a, bs in links.items():
+        for b in bs:
+            w[at[a], at[b]] = 1
+    for name, m, seed in (("trust", w, 0), ("distrust", w.T, 7)):
+        out = m.sum(axis=1, keepdims=True)
+        p = np.divide(m, out, out=np.zeros_like(m), where=out > 0)
+        want = np.linalg.solve(np.eye(30) - 0.85 * p.T, 0.15 * np.eye(30)[seed])
+        assert max(abs(got[h][name] - want[k]) for h, k in at.items()) <= 1e-3 / 30
+
+
+def test_links_that_do_not_count(spark):
+    html = '<script>x = "<a href=http://s.org/>"</script><!-- <a href="http://c.org/"> --><link href="http://l.org/"><A\n class=x HREF = \'HTTP://Good.org/x\'><a data-href="http://d.org/">'
+    d = spark.createDataFrame([(1, "x://me.info/", html), (2, "x://bad.org/es/", "")], "page_id long, url string, html string")
+    scored = url_pagerank.filter_urls(d)
+    assert scored.count() == 2
+    text = F.regexp_replace(F.lit(html), url_pagerank.UNSEEN, "")
+    assert spark.range(1).select(F.regexp_extract_all(text, F.lit(url_pagerank.HREF), 1)).first()[0] == ["Good.org"]
+
+
 # -- pages -------------------------------------------------------------------------------------------------------------
 
 
