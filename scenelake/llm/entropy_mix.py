@@ -3,18 +3,24 @@
 Targets: sources in code-point order (null last) weigh 1, 2, 3, repeating, and share all words; a target stops at
 CAP times its source's size and the excess is shared again by weight until none is above (water filling).
 
-Rates: minimise the token-weighted relative entropy  sum size_i (r_i log r_i - r_i + 1)  under the token constraint
-sum size_i r_i = T_s  of every source. The dual is convex and separates by source; its solution tilts exponentially,
-r_i = exp(lambda_s). Documents enter it through their sums by source alone, so one partially aggregated pass gives the
-statistics and the Newton steps run on the distributed source table.
-
-Copies: floor(r) of every document, and one more of those that come first in the order of md5(doc_id) until the rest of
-the target is reached. The order is cut by a histogram over the leading hex digits, so only the documents of the one
-bin where the cut lies are sorted; a source with a third of all rows never meets in one task.
+Rates: every document i has a rate r_i in 0 .. CAP. Of all rates that meet the token constraint sum size_i r_i = T_s of
+every source, those of the least relative entropy  sum (r_i log r_i - r_i + 1)  over documents are taken. They are
+exponentially tilted,  r_i = min(CAP, exp(lambda_s x_i)),  x_i the document's size by the mean size of its source: long
+documents bear more of a source's change than short ones. lambda maximises the concave dual; its gradient
+T_s - sum size_i r_i  and its curvature  sum size_i x_i r_i  (over rates below the cap) are sums over documents. Newton's
+iteration runs on all sources at once: each round is one partially aggregated pass over the counts of documents by
+(source, size), which is all that the sums need, and a new row per source (Parquet in the shared folder). A step that
+leaves the interval known to hold the solution is replaced by bisection. Rounds go on until no lambda moves.
+
+Copies: lambda is rounded to 9 decimals and the rate to RATE_UNITS, so that the order in which sums are made cannot show. Every
+document gives floor(r) copies; one more goes to documents in the order of (u - rest of r), u a hash draw, so that about
+a share r - floor(r) of equal documents gets it, until the source's target is reached to within half a document. The cut in
+that order is found by a histogram, then by one of the bin where the cut lies, and so on (LEVELS x DIGIT bits): no
+source is sorted, nor gathered in one task. Documents that tie in all bits (rows that repeat) are numbered within blocks.
 
 Edge cases: null or empty texts have size 0 and are never taken; a null source is a source of its own, the last; rows
 that repeat are documents of their own; if all sizes are 0 the targets are 0; an empty table gives an empty result;
-further columns are ignored.
+further columns are ignored. The windows over sources hold one row per source.
 """
 
 from __future__ import annotations
@@ -22,13 +28,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words_of, text_or_empty
+from .common import discard, materialize, n_words_of, text_or_empty
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
-NEWTON_STEPS = 40
-#: Hex digits of the md5 that make a bin of the cut: 4,096 bins a source.
-BIN_DIGITS = 3
+#: A rate is a whole number of these; so are the draws.
+RATE_UNITS = 1_000_000_000
+#: Newton ends when no lambda moves by more, or where a source's words are within this share of its target.
+TOLERANCE, GRADIENT = 1e-11, 1e-13
+#: The order of copies has LEVELS digits of DIGIT bits.
+LEVELS, DIGIT = 3, 11
 
 
 def source_targets(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -59,42 +68,120 @@ def source_targets(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] =
     )
 
 
-def newton_rates(targets: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
-    """targets with rate = exp(lambda), lambda by Newton's method on the dual  S exp(lambda) - T lambda.
+def newton(counts: DataFrame, targets: DataFrame, cap: int = CAP, tolerance: float = TOLERANCE) -> DataFrame:
+    """targets with mean_size and lambda; counts: (source, size, n), targets: (source, source_size, target).
 
-    Gradient S e^l - T, Hessian S e^l; a step is held to 1 so that small targets cannot overshoot.
+    A source whose target is cap times its size has lambda null: all its documents have the rate cap. So has a source
+    of size 0, whose documents have no words to take. A target of 0 among positive ones cannot come up.
     """
-    ratio = F.col("target") / F.col("source_size")
-    step = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - ratio * F.exp(-x)))
-    lam = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda x, _: x - step(x))
-    out = targets.withColumn("lambda", F.when(F.col("source_size") > 0, lam).otherwise(0.0))
-    return out.withColumn("rate", F.least(F.lit(float(CAP)), F.exp("lambda")))
+    n_docs = counts.where("size > 0").groupBy("source").agg(F.sum("n").alias("n_docs"))
+    n_docs = n_docs.select(F.col("source").alias("n_source"), "n_docs")
+    state = targets.join(n_docs, F.col("source").eqNullSafe(F.col("n_source")), "left").select(
+        "source", "source_size", "target", (F.col("source_size") / F.coalesce("n_docs", F.lit(1))).alias("mean_size"),
+        F.lit(0.0).alias("lambda"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(0.0).alias("moved"),
+    )
+    solvable = (F.col("source_size") > 0) & (F.col("target") < cap * F.col("source_size"))
+    state = materialize(state.withColumn("lambda", F.when(solvable, F.col("lambda"))), "mix-dual")
+    counts = counts.where("size > 0").select(F.col("source").alias("c_source"), "size", "n")
+    while True:
+        x = F.col("size") / F.col("mean_size")
+        tilt = F.exp(F.least(F.col("lambda") * x, F.lit(float(cap))))
+        words = F.col("n") * F.col("size")
+        sums = counts.join(state.where("lambda is not null"), F.col("c_source").eqNullSafe(F.col("source"))).groupBy("source").agg(
+            F.sum(words * F.least(tilt, F.lit(float(cap)))).alias("got"), F.sum(F.when(tilt < cap, words * x * tilt).otherwise(0.0)).alias("bend")
+        ).select(F.col("source").alias("g_source"), "got", "bend")
+        over = F.col("got") > F.col("target")
+        lo, hi = F.when(over, F.col("lo")).otherwise(F.col("lambda")), F.when(over, F.col("lambda")).otherwise(F.col("hi"))
+        step = F.col("lambda") + (F.col("target") - F.col("got")) / F.col("bend")
+        # beyond the interval, or where all documents are at the cap: its middle, or twice as far where one end is open
+        middle = F.coalesce((F.col("lo1") + F.col("hi1")) / 2, F.col("hi1") * 2 - 1, F.col("lo1") * 2 + 1)
+        good = (F.col("bend") > 0) & F.coalesce(F.col("step") >= F.col("lo1"), F.lit(True)) & F.coalesce(F.col("step") <= F.col("hi1"), F.lit(True))
+        new = state.join(sums, F.col("source").eqNullSafe(F.col("g_source")), "left").withColumns({"lo1": lo, "hi1": hi, "step": step})
+        new = new.withColumn("next", F.when(F.coalesce(good, F.lit(False)), F.col("step")).otherwise(middle))
+        new = new.select(
+            "source", "source_size", "target", "mean_size", F.when(F.col("lambda").isNotNull(), F.col("next")).alias("lambda"),
+            F.col("lo1").alias("lo"), F.col("hi1").alias("hi"),
+            F.when(F.abs(F.col("target") - F.col("got")) > GRADIENT * F.col("target"), F.abs(F.col("next") - F.col("lambda")) / F.greatest(F.abs("next"), F.lit(1.0)))
+            .otherwise(0.0).alias("moved"),
+        )
+        new, old = materialize(new, "mix-dual"), state
+        discard(old)
+        state = new
+        if (state.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+            return state.select("source", "source_size", "target", "mean_size", "lambda")
+
+
+def rate_of(cap: int = CAP) -> F.Column:
+    """The tilted rate in RATE_UNITS, from size, mean_size and lambda."""
+    raw = F.exp(F.least(F.round("lambda", 9) * (F.col("size") / F.col("mean_size")), F.lit(float(cap))))
+    return F.coalesce(F.round(F.least(raw, F.lit(float(cap))) * RATE_UNITS).cast("long"), F.lit(cap * RATE_UNITS))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken), one row per row of docs."""
-    return mix_sizes(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words_of(text_or_empty(text)).alias("size")))
+    """(doc_id, source, size, source_size, target, rate, copies, taken), one row per row of docs."""
+    t = text_or_empty(f"`{text}`")
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.md5(t)))
+    return mix_sizes(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), n_words_of(t).alias("size"), key.alias("key")))
 
 
 def mix_sizes(d: DataFrame) -> DataFrame:
-    """As mix, of rows (doc_id, source, size)."""
-    d = d.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bin", F.substring("key", 1, BIN_DIGITS))
-    bins = d.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    rates = newton_rates(source_targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size"))))
-    # extra: the words that second, third or first copies have to bring on top of base copies of everything
-    rates = rates.withColumn("base", F.floor(F.col("rate") + 1e-9))
-    rates = rates.select(
-        F.col("source").alias("s_source"), "source_size", "target", "base",
-        (F.col("target") - F.col("base") * F.col("source_size")).alias("extra"),
+    """As mix, of rows (doc_id, source, size, key): key is the hexadecimal hash that draws are made of."""
+    draw = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % RATE_UNITS
+    d = materialize(d.select("doc_id", "source", "size", draw.alias("u")), "mix-sizes")
+    counts = materialize(d.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
+    targets = source_targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))
+    dual = newton(counts, targets)
+    dual = dual.select(F.col("source").alias("s_source"), "source_size", "target", "mean_size", "lambda")
+    d = d.join(dual, F.col("source").eqNullSafe(F.col("s_source"))).withColumn("units", rate_of())
+    d = d.withColumn("base", F.expr(f"units div {RATE_UNITS}")).withColumn("order", F.col("u") - F.col("units") % RATE_UNITS + RATE_UNITS)
+    # the part and number of a row among those of its block, for rows that tie in all else
+    d = d.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()})
+    d = materialize(d.select("doc_id", "source", "size", "source_size", "target", "units", "base", "order", "part", "row"), "mix-rates")
+    discard(counts)
+    out = d.join(_cuts(d), F.col("source").eqNullSafe(F.col("x_source")), "left")
+    open_ = (F.col("size") > 0) & (F.col("base") < CAP)
+    tie = F.coalesce(open_ & (F.col("order") == F.col("x_order")), F.lit(False))
+    tied = _tied(out.where(tie))
+    sure = F.coalesce(open_ & (F.col("order") < F.col("x_order")), F.lit(False))
+    out = out.where(~tie).withColumn("more", sure).select(tied.columns).unionByName(tied)
+    out = out.withColumn("copies", F.col("base") + F.col("more").cast("long"))
+    return out.select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("units") / RATE_UNITS).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
-    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("bin_before", F.coalesce(F.sum("bin_size").over(before), F.lit(0)))
-    cuts = bins.join(rates, F.col("source").eqNullSafe(F.col("s_source")))
-    cuts = cuts.select(F.col("source").alias("c_source"), F.col("bin").alias("c_bin"), "bin_before", "source_size", "target", "base", "extra")
-    d = d.join(cuts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bin") == F.col("c_bin")))
-    # a bin holds a 4,096th of a source, so this order never gathers a source in one task
-    within = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cum = F.col("bin_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    one_more = F.when((F.col("size") > 0) & (2 * cum + F.col("size") <= 2 * F.col("extra")), 1).otherwise(0)
-    d = d.withColumn("copies", (F.col("base") + one_more).cast("long"))
-    return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _cuts(d: DataFrame) -> DataFrame:
+    """(x_source, x_order, x_left): documents before x_order get one more copy, those at it share the x_left words left."""
+    rest = d.groupBy("source").agg((F.max("target") - F.sum(F.col("base") * F.col("size"))).alias("x_left"))
+    # only sources with words to share; where the last documents would not reach the rest, all of them get one more
+    cuts = materialize(rest.where("x_left > 0").select(F.col("source").alias("x_source"), F.lit(0).cast("long").alias("x_order"), "x_left"), "mix-cuts")
+    for level in range(LEVELS):
+        width = 1 << (DIGIT * (LEVELS - 1 - level))
+        here = (F.col("size") > 0) & (F.col("base") < CAP) & (F.col("order") >= F.col("x_order")) & (F.col("order") < F.col("x_order") + (width << DIGIT))
+        bins = d.join(cuts, F.col("source").eqNullSafe(F.col("x_source"))).where(here).groupBy(
+            "x_source", "x_order", "x_left", F.expr(f"(order - x_order) div {width}").alias("bin")
+        ).agg(F.sum("size").alias("words"))
+        # a source has at most 2 ** DIGIT bins
+        upto = Window.partitionBy("x_source").orderBy("bin")
+        bins = bins.withColumn("before", F.sum("words").over(upto) - F.col("words"))
+        # the last bin that begins within the rest
+        at = bins.where("before < x_left").groupBy("x_source").agg(F.max(F.struct("bin", "before", "x_order", "x_left")).alias("c"))
+        old, cuts = cuts, materialize(at.select(
+            "x_source", (F.col("c.x_order") + F.col("c.bin") * width).alias("x_order"), (F.col("c.x_left") - F.col("c.before")).alias("x_left")
+        ), "mix-cuts")
+        discard(old)
+    return cuts
+
+
+def _tied(at_cut: DataFrame) -> DataFrame:
+    """The rows at their source's cut with ``more``: one more copy until the rest is reached to within half a document.
+
+    Rows are in the order of (part, row); only the sums of parts meet in one window a source.
+    """
+    parts = at_cut.groupBy("source", "part").agg(F.sum("size").alias("p_words"))
+    parts = parts.withColumn("p_before", F.sum("p_words").over(Window.partitionBy("source").orderBy("part")) - F.col("p_words"))
+    parts = parts.select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), "p_before")
+    rows = at_cut.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part")))
+    before = F.col("p_before") + F.sum("size").over(Window.partitionBy("source", "part").orderBy("row")) - F.col("size")
+    rows = rows.withColumn("more", 2 * before + F.col("size") <= 2 * F.col("x_left"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "units", "base", "more")

@@ -100,10 +100,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+#: The same mix with the tilt of every source found by bisection.
 _MIX_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(doc_id::VARCHAR) AS key
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || left(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 8))::BIGINT % 1000000000 AS u
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size) AS stop,
@@ -121,16 +122,39 @@ t AS (
            (SELECT left_size FROM c WHERE NOT capped ORDER BY w_left DESC LIMIT 1) * w
            / (SELECT w_left FROM c WHERE NOT capped ORDER BY w_left DESC LIMIT 1) END AS target
   FROM c),
+z AS (
+  SELECT t.source, t.source_size, t.target, t.source_size / greatest(count(*) FILTER (size > 0), 1) AS mean_size,
+         list(size) FILTER (size > 0) AS sizes
+  FROM t JOIN d ON d.source IS NOT DISTINCT FROM t.source GROUP BY t.source, t.source_size, t.target),
+b AS (
+  SELECT *, -1e5::DOUBLE AS lo, 1e5::DOUBLE AS hi, 0 AS k FROM z WHERE source_size > 0 AND target < 3 * source_size
+  UNION ALL
+  SELECT source, source_size, target, mean_size, sizes,
+         CASE WHEN list_sum(list_transform(sizes, lambda x: x * least(exp(least((lo + hi) / 2 * (x / mean_size), 3.0::DOUBLE)), 3.0::DOUBLE))) > target
+              THEN lo ELSE (lo + hi) / 2 END,
+         CASE WHEN list_sum(list_transform(sizes, lambda x: x * least(exp(least((lo + hi) / 2 * (x / mean_size), 3.0::DOUBLE)), 3.0::DOUBLE))) > target
+              THEN (lo + hi) / 2 ELSE hi END,
+         k + 1
+  FROM b WHERE k < 90),
+r AS (
+  SELECT d.row_id, d.doc_id, d.source, d.size, d.u, z.source_size, z.target,
+         coalesce(round(least(exp(least(round((b.lo + b.hi) / 2, 9) * (d.size / z.mean_size), 3.0::DOUBLE)), 3.0::DOUBLE) * 1000000000)::BIGINT, 3000000000) AS units
+  FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source
+  LEFT JOIN b ON b.k = 90 AND d.source IS NOT DISTINCT FROM b.source),
 e AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-9) ELSE 1 END AS base FROM t),
-x AS (
-  SELECT doc_id, size, source_size, target, base, target - base * source_size AS extra,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum
-  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size, source_size, target,
-       (size * (base + CASE WHEN size > 0 AND 2 * cum + size <= 2 * extra THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM x
+  SELECT *, units // 1000000000 AS base, u - units % 1000000000 AS place,
+         target - sum((units // 1000000000) * size) OVER (PARTITION BY source) AS rest
+  FROM r),
+f AS (
+  SELECT row_id, rest, size, place,
+         sum(size) OVER (PARTITION BY source ORDER BY place, row_id ROWS UNBOUNDED PRECEDING) - size AS cum,
+         sum(size) OVER (PARTITION BY source ORDER BY place RANGE UNBOUNDED PRECEDING) - sum(size) OVER (PARTITION BY source, place) AS begins, source
+  FROM e WHERE size > 0 AND base < 3 AND rest > 0),
+g AS (
+  SELECT row_id, CASE WHEN place < last_place THEN true ELSE place = last_place AND 2 * cum + size <= 2 * rest END AS more
+  FROM (SELECT *, max(place) FILTER (begins < rest) OVER (PARTITION BY source) AS last_place FROM f))
+SELECT doc_id, size, source_size, target, (size * (base + CASE WHEN more THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM e LEFT JOIN g USING (row_id)
 """
 
 ORACLE_SQL = {

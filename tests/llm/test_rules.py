@@ -1,6 +1,7 @@
 """Quality rules, mixing, personal data, URLs, pages, tokens, toxicity, benchmark items."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -92,7 +93,7 @@ def test_mix(spark):
 
 def test_targets_stop_at_the_cap(spark):
     s = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 10), ("d", 500), (None, 3)], "source string, source_size long")
-    t = {r["source"]: r["target"] for r in entropy_mix.newton_rates(entropy_mix.source_targets(s)).collect()}
+    t = {r["source"]: r["target"] for r in entropy_mix.source_targets(s).collect()}
     size = {"a": 1000, "b": 10, "c": 10, "d": 500, None: 3}
     weight = dict(zip(["a", "b", "c", "d", None], [1, 2, 3, 1, 2], strict=True))
     want, free, left = {}, set(size), float(sum(size.values()))
@@ -106,8 +107,55 @@ def test_targets_stop_at_the_cap(spark):
         left -= sum(3 * size[k] for k in over)
         free -= over
     assert t == pytest.approx(want)
-    for r in entropy_mix.newton_rates(entropy_mix.source_targets(s)).collect():
-        assert r["rate"] == pytest.approx(r["target"] / r["source_size"])
+
+
+def test_newton_meets_the_token_constraints(spark):
+    """The tilted rates give every source its target, for targets from next to nothing to next to the cap."""
+    r = random.Random(3)
+    targets = {"tiny": 1e-6, "half": 0.5, "same": 1.0, "twice": 2.0, "nearly": 2.999, "cap": 3.0, None: 0.1}
+    sizes = {k: [r.choice([1, 2, 5, 40, 300, 9000]) for _ in range(50)] for k in targets}
+    rows = [(k, n, v.count(n)) for k, v in sizes.items() for n in set(v)]
+    counts = spark.createDataFrame(rows, "source string, size long, n long")
+    want = [(k, sum(v), targets[k] * sum(v)) for k, v in sizes.items()]
+    got = {x["source"]: x for x in entropy_mix.newton(counts, spark.createDataFrame(want, "source string, source_size long, target double")).collect()}
+    for k, total, target in want:
+        if k == "cap":
+            assert got[k]["lambda"] is None
+            continue
+        lam, mean = got[k]["lambda"], got[k]["mean_size"]
+        assert mean == total / 50
+        words = sum(n * min(3.0, math.exp(min(lam * n / mean, 3.0))) for n in sizes[k])
+        assert words == pytest.approx(target, rel=1e-9)
+    assert got["same"]["lambda"] == pytest.approx(0, abs=1e-9)
+    assert got["half"]["lambda"] < 0 < got["twice"]["lambda"]
+
+
+def test_rates_follow_the_tilt(spark):
+    """Within a source long documents bear more of the change; copies follow the rates on average."""
+    r = random.Random(4)
+    rows = [(k, "w " * r.choice([5, 50, 500]), s) for k, s in enumerate(["a"] * 900 + ["b"] * 300)]
+    out = entropy_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s, up in (("a", False), ("b", True)):
+        mine = [x for x in out if x["source"] == s]
+        rate = {n: {x["rate"] for x in mine if x["size"] == n} for n in (5, 50, 500)}
+        assert all(len(v) == 1 for v in rate.values())
+        low, mid, high = (rate[n].pop() for n in (5, 50, 500))
+        assert (low < mid < high) if up else (low > mid > high)
+        for n, want in ((5, low), (50, mid), (500, high)):
+            copies = [x["copies"] for x in mine if x["size"] == n]
+            assert abs(sum(copies) / len(copies) - want) < 0.15
+
+
+def test_mix_of_rows_that_tie(spark):
+    """A source of nothing but one repeated row, and one of null ids: targets are met to within half a document."""
+    rows = [(7, "one two three", "a")] * 400 + [(None, f"w{k % 7} x", "b") for k in range(300)] + [(k, "w " * 30, "c") for k in range(60)]
+    for parts in (1, 5):
+        out = entropy_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)).collect()
+        assert len(out) == len(rows)
+        for s, most in (("a", 3), ("b", 2), ("c", 30)):
+            mine = [x for x in out if x["source"] == s]
+            assert abs(sum(x["taken"] for x in mine) - mine[0]["target"]) <= most / 2 + 1e-6
+            assert all(x["taken"] <= 3 * x["size"] for x in mine)
 
 
 # -- personal data -----------------------------------------------------------------------------------------------------
