@@ -9,11 +9,15 @@ edges within the radius only. So a tree's size is bounded, nothing passes throug
 third of all fingerprints is many cells of two chunks each, in tasks of their own.
 
 A cell returns a star for each local component (fingerprint -> least representative), never the pairs; an iterative
-min-label contraction over these stars (Parquet in the shared folder between rounds) gives the components.
+min-label contraction over these stars (Parquet in the shared folder between rounds) gives the components. Joins whose
+keys can be hot (equal texts' fingerprint, a large component's label) read both sides from such tables, so that Spark's
+skew join can split them.
 
 Edge cases: null or empty texts, or without words, have fingerprint 0 and link like any other; fewer than 3 words make
-one shingle; equal texts share a fingerprint and a component; repeated rows are returned as often as they come; an empty
-table gives an empty result; further columns are ignored by fingerprints() and kept by dedup().
+one shingle; equal texts share a fingerprint and a component; rows that repeat a doc_id are one document, so all their
+fingerprints are one component; rows with a null doc_id link like any other, and a component of such rows alone has a
+null component_id; repeated rows are returned as often as they come; an empty table gives an empty result; further
+columns are ignored by fingerprints() and kept by dedup().
 """
 
 from __future__ import annotations
@@ -163,7 +167,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, whole: int
     placed = nodes.select("node", "fp", F.explode(keys).alias("key")).select("node", "fp", "key.block", "key.part")
     # shards of more than a chunk: c chunks, of which each pair is a cell of its own
     big = placed.groupBy("block", "part").count().where(F.col("count") > chunk)
-    big = big.select("block", "part", F.ceil(F.col("count") / chunk).cast("int").alias("c"))
+    big = materialize(big.select("block", "part", F.ceil(F.col("count") / chunk).cast("int").alias("c")), "simhash-big")
     cells = placed.join(big, ["block", "part"], "left").withColumn("c", F.coalesce("c", F.lit(1)))
     cells = cells.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
     cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
@@ -215,7 +219,7 @@ def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataF
         yield pd.concat(open_, ignore_index=True)
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of an edge can reach. edges: (a, b), any direction.
 
     Each round gives every node the least label around it and then the label of that label; rounds needed grow with the
@@ -225,31 +229,44 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     both = materialize(both, "cc-edges")
     # labels from the first look at the neighbours
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")), "cc-labels")
-    for _ in range(most_rounds):
+    while True:
         # hooking: what a label's holders see around them lowers the label itself
         seen = both.join(labels.select(F.col("a").alias("b"), F.col("l").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("m"))
-        stepped = labels.join(seen, "a").select("a", "l", F.least("l", "m").alias("m"))
-        hook = stepped.groupBy(F.col("l").alias("a")).agg(F.min("m").alias("h"))
-        stepped = stepped.join(hook, "a", "left").select("a", F.col("l").alias("old"), F.least("m", F.coalesce("h", "m")).alias("m"))
-        # jumping: the label's own label
+        seen = materialize(labels.join(seen, "a").select("a", "l", F.least("l", "m").alias("m")), "cc-seen")
+        hook = seen.groupBy(F.col("l").alias("a")).agg(F.min("m").alias("h"))
+        stepped = seen.join(hook, "a", "left").select("a", F.col("l").alias("old"), F.least("m", F.coalesce("h", "m")).alias("m"))
+        stepped = materialize(stepped, "cc-stepped")
+        # jumping: the label's own label; a label may have very many holders, and both sides are read from tables
         up = stepped.select(F.col("a").alias("m"), F.col("m").alias("mm"))
         new = materialize(stepped.join(up, "m", "left").select("a", "old", F.least("m", F.coalesce("mm", "m")).alias("l")), "cc-labels")
-        discard(labels)
+        for done in (labels, seen, stepped):
+            discard(done)
         changed = new.where("l <> old").limit(1).count()
         labels = new.select("a", "l")
         labels._scratch_path = new._scratch_path
         if not changed:
             discard(both)
-            return labels.select(F.col("a").alias("node"), F.col("l").alias("component"))
-    raise RuntimeError("components did not settle")
+            out = labels.select(F.col("a").alias("node"), F.col("l").alias("component"))
+            out._scratch_path = labels._scratch_path
+            return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable over links. doc_id must be an integer."""
     fps = materialize(fingerprints(docs, id_col, text), "simhash-fp")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")), "simhash-nodes")
-    comp = components(links(nodes.where("node is not null"), radius))
-    of_fp = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("least")), "simhash-nodes")
+    # rows that repeat a doc_id with different fingerprints: each is tied to the doc_id's least
+    several = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("c")).where("b < c")
+    several = materialize(several.select("doc_id", "b"), "simhash-several")
+    tied = fps.join(several, "doc_id").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    comp = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius).unionByName(tied))
+    # components are named by their least fingerprint so far
+    named = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    named = materialize(named, "simhash-named")
+    least = materialize(named.groupBy("c").agg(F.min("least").alias("component_id")), "simhash-least")
+    of_fp = materialize(named.join(least, "c").select("fp", "component_id"), "simhash-of-fp")
+    for done in (nodes, several, named, least, comp):
+        discard(done)
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -1,17 +1,22 @@
-"""Near-duplicates by Jaccard similarity of word shingles: candidates by MinHash bands, each link checked exactly.
-
-Two texts link if the sets of their WORDS-word shingles (ASCII lower case; words as in SimHash) have a Jaccard
-similarity of SIMILARITY or more. Texts with equal sets are one node from the start. A node's 128 minima of its hashed
-shingles are cut in BANDS bands; nodes that agree in a whole band are candidates. A pair of similarity s agrees in no
-band with probability (1 - s^4)^32: 5e-8 at 0.8, less above; this is the only chance in it, and it is seeded.
-
-Candidates' components bound where links can be. Each node is compared with its candidate component's least node
-first; only what is not near it (far nodes) is compared with the other nodes, in cells of at most two chunks. So a
-large group of copies costs one comparison a node, and no pairs of its nodes are made. Within a cell, nodes that are
-joined already are not compared again: components stay whole, as each pair of nodes that are not joined is compared.
+"""SimHash near-dedup with BK-trees for a similarity of whole texts: five-word shingles, a wide radius, an exact check.
+
+Two texts link if the sets of their WORDS-word shingles (ASCII lower case; words as in simhash_bktree) have a Jaccard
+similarity of SIMILARITY or more. Fingerprints are SimHashes of the distinct shingles' hashes. At a similarity of 0.8 the
+bits of two fingerprints differ with probability 0.15, so links lie some 10 bits apart, up to the radius of 26 (5.5
+standard deviations). No choice of whole bit blocks holds such pairs (a key of 24 bits agrees in 2 % of them), so the
+shards of the search are made from the texts' shingles: the minima of 128 hashes, cut in BANDS bands; texts that agree in
+a band are of one shard. A pair of similarity s is in no shard together with probability (1 - s^4)^32: 5e-8 at 0.8, less
+above; this and the radius are the only chance in it, and both are seeded.
+
+Texts with equal sets are one node from the start. Overlapping shards are joined to candidate groups. Each node is
+compared with its group's least node first; only what is not near it (far nodes) goes on to the search, in cells of at
+most two chunks. A cell is one BK-tree over its fingerprints; far nodes are searched along its edges within the radius,
+and each hit between nodes that are not joined yet is checked by its sets. So a large group of copies costs one
+comparison a node, no pairs of its nodes are made, and components stay whole.
 
 Edge cases: fewer than WORDS words make one shingle; null or empty texts, or without words, have an empty set and equal
-each other only. Rows are told apart by row number (see simhash_bktree.dedup).
+each other only. Rows are told apart by row number (see simhash_bktree.dedup): null ids and repeated rows take part like
+any other. An empty table gives an empty result; further columns are kept by dedup().
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
-from .simhash_bktree import _LOWER, _WORD, _groups, components, numbered, survivors
+from .simhash_bktree import _LOWER, _WORD, BKTree, Union, _groups, components, numbered, survivors
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -92,21 +97,42 @@ def near(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def cell_links(sets: list[np.ndarray], joined: np.ndarray, similarity: float) -> list[int]:
+def fingerprint_of(s: np.ndarray) -> int:
+    """SimHash of a set of 64-bit hashes: a bit is 1 if it is set in over half of them; 0 for the empty set."""
+    count = np.zeros(64, np.int64)
+    for k in range(0, len(s), 65536):
+        count += np.unpackbits(s[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(s), bitorder="little").view("<u8")[0])
+
+
+def radius_for(similarity: float) -> int:
+    """Bits that fingerprints of two sets of like size and this Jaccard similarity differ in at most, up to 5.5 deviations."""
+    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    return min(64, int(np.ceil(64 * p + 5.5 * np.sqrt(64 * p * (1 - p)))))
+
+
+def cell_links(sets: list[np.ndarray], joined: np.ndarray, similarity: float) -> np.ndarray:
     """For each set the index of its component's first member; those marked ``joined`` are one component already.
 
-    A set is compared with a component until one link is found.
+    The others are searched in a BK-tree over all; a hit counts if the sets are near.
     """
-    parts = [list(np.flatnonzero(joined))] if joined.any() else []
+    parts, radius = Union(len(sets)), radius_for(similarity)
+    one = np.flatnonzero(joined)
+    parts.join_all(one[1:], np.full(max(len(one) - 1, 0), one[0] if len(one) else 0))
+    fps = np.array([fingerprint_of(s) for s in sets], np.uint64)
+    tree = BKTree(fps)
     for k in np.flatnonzero(~joined):
-        hit = [p for p in parts if any(near(sets[k], sets[j], similarity) for j in p)]
-        whole = sorted([*(j for p in hit for j in p), k])
-        parts = [p for p in parts if p not in hit] + [whole]
-    root = [0] * len(sets)
-    for p in parts:
-        for j in p:
-            root[j] = p[0]
-    return root
+        _, hits = tree.within(fps[k : k + 1], radius)
+        hits = np.sort(hits)
+        while len(hits):
+            mine = parts.roots(np.array([k]))
+            hits = hits[parts.roots(hits) != mine]
+            found = next((i for i, j in enumerate(hits) if near(sets[k], sets[j], similarity)), None)
+            if found is None:
+                break
+            parts.join_all(np.array([k]), hits[found : found + 1])
+            hits = hits[found + 1 :]
+    return parts.roots(np.arange(len(sets)))
 
 
 def near_duplicates(rows: DataFrame, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
@@ -123,16 +149,16 @@ def near_duplicates(rows: DataFrame, text: str = "text", words: int = WORDS, sim
             yield pd.DataFrame({"row": b["row"], "same": same, "keys": [band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]})
 
     slim = rows.select(F.col("__row").alias("row"), F.col(f"`{text}`").alias("text"))
-    signed = materialize(slim.mapInPandas(sign, "row long, same long, keys array<long>"), "jaccard-keys")
-    nodes = materialize(signed.groupBy("same").agg(F.min("row").alias("node")), "jaccard-nodes")
+    signed = materialize(slim.mapInPandas(sign, "row long, same long, keys array<long>"), "wide-keys")
+    nodes = materialize(signed.groupBy("same").agg(F.min("row").alias("node")), "wide-nodes")
     placed = signed.join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), F.explode("keys").alias("key"))
-    least = placed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    least = materialize(placed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b"), "wide-least")
     stars = placed.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b")
     # the same components by fewer edges: a node and its firsts all lead to the least of these
     stars = stars.distinct().withColumn("m", F.min("b").over(Window.partitionBy("a")))
-    stars = materialize(stars, "jaccard-stars")
+    stars = materialize(stars, "wide-stars")
     cand = components(stars.select("a", F.col("m").alias("b")).unionByName(stars.select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
-    cand = materialize(cand.join(slim, cand.node == slim.row).select("node", F.col("component").alias("first"), "text"), "jaccard-candidates")
+    cand = materialize(cand.join(slim, cand.node == slim.row).select("node", F.col("component").alias("first"), "text"), "wide-candidates")
 
     def to_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut, at, s = Shingles(words), None, None
@@ -145,7 +171,7 @@ def near_duplicates(rows: DataFrame, text: str = "text", words: int = WORDS, sim
             yield pd.DataFrame({"node": b["node"], "first": b["first"], "close": hit})
 
     firsts = cand.where("node = first").select("first", F.col("text").alias("first_text"))
-    judged = materialize(cand.where("node <> first").join(firsts, "first").mapInPandas(to_first, "node long, first long, close boolean"), "jaccard-judged")
+    judged = materialize(cand.where("node <> first").join(firsts, "first").mapInPandas(to_first, "node long, first long, close boolean"), "wide-judged")
     # cells: each chunk of far nodes with each chunk of close ones and with each other chunk of far ones
     far = judged.where("not close").groupBy("first").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n_far"))
     n_close = judged.where("close").groupBy("first").agg(F.count("*").alias("n"))

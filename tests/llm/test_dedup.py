@@ -104,6 +104,14 @@ def test_dedup_null_and_repeated_ids(spark):
     assert got == sorted(map(repr, [(None, other), (3, "a b c d"), (3, third), (None, "no id twice over")]))
 
 
+def test_components_of_null_and_repeated_ids(spark):
+    """A doc_id that repeats ties its rows' fingerprints; rows without an id link, and name no component."""
+    A, B, C, D = "a b c d", "totally different words here now", "yet more words that nothing else holds", "the last text stands alone here too"
+    rows = [(5, A), (5, B), (7, A), (8, B), (3, B), (None, C), (9, C), (None, D), (None, D)]
+    got = sorted(repr((x["doc_id"], x["component_id"])) for x in sim.near_duplicates(docs(spark, rows)).collect())
+    assert got == sorted(map(repr, [(5, 3), (5, 3), (7, 3), (8, 3), (3, 3), (None, 9), (9, 9), (None, None), (None, None)]))
+
+
 # -- suffix arrays -----------------------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,8 @@ import corpus_pipeline as p
 from scenelake.llm import decontam_pigeonhole as dec
 from scenelake.llm.common import table
 
-from .test_dedup import brute_components, slow_fingerprint
 from .test_rules import base_by_hand, by_hand
+from .test_wide import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,7 +22,7 @@ def test_stages_one_by_one(spark):
     kept = {i: t for i, t in rows.items() if good(t)}
     assert {r["doc_id"]: r["text"] for r in d.collect()} == kept
     d = p.near_dedup(spark, d, SF).cache()
-    comp = brute_components({i: slow_fingerprint(t) for i, t in kept.items()})
+    comp = brute(list(kept.items()))
     kept = {i: t for i, t in kept.items() if comp[i] == i}
     assert {r["doc_id"]: r["text"] for r in d.collect()} == kept
     d = p.decontaminate(spark, d, SF).cache()

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as p
-from scenelake.llm import jaccard_dedup as jac
+from scenelake.llm import simhash_wide as wide
 
 from .test_dedup import docs, words
 
@@ -52,10 +53,30 @@ def made_up(seed=8):
 def test_components_against_brute_force(spark, chunk):
     rows = made_up()
     d = docs(spark, rows).withColumnRenamed("doc_id", "__row")
-    got = {x["__row"]: x["component_id"] for x in jac.near_duplicates(d, chunk=chunk).collect()}
+    got = {x["__row"]: x["component_id"] for x in wide.near_duplicates(d, chunk=chunk).collect()}
     assert got == brute(rows)
 
 
+def test_radius_and_cells():
+    """Links at the bound lie within the radius; a cell's components are those of all its pairs."""
+    assert wide.radius_for(0.8) == 26
+    r, cut = random.Random(1), wide.Shingles()
+    for _ in range(300):
+        a = words(r, 200).split()
+        b = list(a)
+        for at in r.sample(range(200), 4):
+            b[at] = "zz"
+        x, y = cut(" ".join(a)), cut(" ".join(b))
+        if wide.near(x, y, 0.8):
+            assert (wide.fingerprint_of(x) ^ wide.fingerprint_of(y)).bit_count() <= 26
+    rows = [(i, t) for i, t in made_up(5) if t]
+    want = brute(rows)
+    for joined in (set(), {i for i in want if want[i] == want[rows[3][0]]}):
+        flags = np.array([i in joined for i, _ in rows])
+        root = wide.cell_links([cut(t) for _, t in rows], flags, 0.8)
+        assert {(want[i], rows[k][0]) for (i, _), k in zip(rows, root, strict=True)} == {(want[i], want[i]) for i, _ in rows}
+
+
 def test_the_pipelines_stage_takes_similar_texts(spark):
     rows = made_up(9)
     stage = dict(p.STAGES)["near_dedup"]
@@ -65,6 +86,6 @@ def test_the_pipelines_stage_takes_similar_texts(spark):
 
 def test_dedup_null_and_repeated_ids(spark):
     d = docs(spark, [(None, "words that stand alone here"), (None, "a b c d e"), (3, "A b c d e"), (3, "a b c d e"), (3, "another text of the same id")])
-    got = sorted(repr((x["doc_id"], x["text"].lower())) for x in jac.dedup(d).collect())
+    got = sorted(repr((x["doc_id"], x["text"].lower())) for x in wide.dedup(d).collect())
     assert got == sorted(map(repr, [(None, "words that stand alone here"), (3, "a b c d e"), (3, "another text of the same id")]))
-    assert jac.dedup(d.where("false")).count() == 0
+    assert wide.dedup(d.where("false")).count() == 0
