@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenelake.llm import decontam_pigeonhole, entropy_mix, jaccard_dedup, pii_boost, quality_ledger, simhash_bktree
+from scenelake.llm import decontam_pigeonhole, entropy_mix, pii_boost, quality_ledger, simhash_wide
 from scenelake.llm.common import discard, materialize, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,13 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of op1's links, the near-dedup by SimHash alone (not a stage: it finds close copies only)."""
-    return simhash_bktree.dedup(docs)
-
-
-def near_dedup_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each component of texts whose 5-word shingles have a Jaccard similarity of 0.8."""
-    return jaccard_dedup.dedup(docs)
+    """One document, that of the least doc_id, of each component of texts similar by 0.8 in five-word shingles."""
+    return simhash_wide.dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
-    ("near_dedup", near_dedup_jaccard),
+    ("near_dedup", near_dedup),
     ("decontaminate", decontaminate),
     ("personal_data", personal_data),
     ("mix_sources", mix_sources),
