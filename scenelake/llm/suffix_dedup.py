@@ -6,19 +6,22 @@ A byte goes if it is covered by a LENGTH-byte string that also starts in a docum
    that depends on the window's bytes alone, so equal windows have equal anchors. A run of windows with one anchor and
    the bytes they cover are a context (about 70 bytes for every 18 of text). Of equal contexts in one chunk of
    documents only those of the least document travel; the others are removed there and then.
-2. Shards. Contexts go, packed and compressed, to the shard of their anchor's hash. Contexts whose anchor occurs in one
-   document only are put aside; of equal ones, the least document's and all later documents' stay as one string each, so
-   thousands of copies cost two. The bytes of these strings, in pieces of at most PIECE bytes, are suffix-sorted: by their
-   first 8 bytes, then by Larsson and Sadakane's refinement (groups that are not yet single are sorted by the rank
-   of the suffix h further on, h doubling) until the order is fixed to LENGTH bytes. Kasai's inequality gives the common
-   prefixes of neighbours in text order; a run of prefixes of LENGTH or more is one set of equal windows.
-3. Merging. Pieces are cut in the order (anchor, document), so windows can be equal across pieces only for the anchor at
-   a cut; those are looked up by binary search in the sorted windows that earlier pieces left for that anchor.
+2. Partitions and shards. Contexts go, packed and compressed, to the partition of their anchor's hash, which is worked
+   off in SUBS ranges of that hash, so that a task holds its packed contexts and the bytes of one range. Contexts whose
+   anchor occurs in one document only are put aside; of equal ones (hashes agree and then the bytes are compared), the least
+   document's and all later documents' stay as one string each, so thousands of copies cost two. A shard is PIECE bytes
+   of these strings: they are suffix-sorted by their first 8 bytes, then by Larsson and Sadakane's refinement (groups
+   that are not yet single are sorted by the rank of the suffix h further on, h doubling) until the order is fixed.
+   Kasai's inequality gives the common prefixes of neighbours in text order; a run of prefixes of LENGTH or more is one
+   set of equal windows.
+3. Merging. Shards are cut in the order (anchor, document), so windows can be equal across shards only for the anchor at
+   a cut; those are looked up by binary search in the sorted windows that earlier shards left for that anchor.
 4. Removal. The ranges found meet their documents once more in a join on doc_id.
 
 Edge cases: null or empty texts, and texts shorter than LENGTH bytes, lose nothing; rows that repeat a doc_id are parts
-of one document (a string they share is not removed), and each row is cut by what was found for it alone; an empty table
-gives an empty result; further columns are ignored.
+of one document (a string they share is not removed), and each row is cut by what was found for it alone; a null doc_id
+counts as larger than all others; an empty table gives an empty result; further columns are ignored. LENGTH may be any
+number from GRAM to MOST_LENGTH, others are refused.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import discard, materialize, partitions
 
 LENGTH = 50
 GRAM = 16
@@ -38,6 +41,9 @@ GRAM = 16
 CHUNK = 2_000_000
 #: Bytes that are suffix-sorted together.
 PIECE = 250_000
+#: Ranges of anchors that a partition is worked off in.
+SUBS = 8
+MOST_LENGTH = 1_000_000
 _POS = 22
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers of the hash
 
@@ -115,26 +121,43 @@ def _content_hash(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndar
     return h ^ (h >> np.uint64(29))
 
 
+def _equal_runs(data: np.ndarray, at: np.ndarray, size: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """new, which marks the first rows of runs with one hash, and further rows whose bytes are not those of their run's first."""
+    while True:
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        todo = np.flatnonzero(~new)
+        same = size[todo] == size[head[todo]]
+        for lo, hi in _bounds(size[todo], 4_000_000):
+            k = todo[lo:hi][same[lo:hi]]
+            if len(k):
+                equal = _gather(data, at[k], size[k]) == _gather(data, at[head[k]], size[k])
+                same[lo:hi][same[lo:hi]] = np.logical_and.reduceat(equal, np.cumsum(size[k]) - size[k])
+        if same.all():
+            return new
+        new[todo[~same]] = True
+
+
 def pack(ids: np.ndarray, keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, lens: np.ndarray, offs: np.ndarray, text: np.ndarray) -> bytes:
     """Contexts as one compressed block: id, key, first window in the document, length, anchor's offset, bytes."""
     import zstandard
 
     used, which = np.unique(docs, return_inverse=True)
-    head = np.array([len(docs), len(used)], dtype="<i8").tobytes()
+    wide = "<u1" if not len(lens) or lens.max() < 256 else "<u4"
+    head = np.array([len(docs), len(used), np.dtype(wide).itemsize], dtype="<i8").tobytes()
     small = which.astype("<u2" if len(used) < 65536 else "<u4")
-    body = ids[used].astype("<i8").tobytes() + keys[used].astype("<i8").tobytes() + small.tobytes() + starts.astype("<u4").tobytes() + lens.astype("<u1").tobytes() + offs.astype("<u1").tobytes()
+    body = ids[used].astype("<i8").tobytes() + keys[used].astype("<i8").tobytes() + small.tobytes() + starts.astype("<u4").tobytes() + lens.astype(wide).tobytes() + offs.astype(wide).tobytes()
     return head + zstandard.ZstdCompressor(level=3).compress(body + text.tobytes())
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     import zstandard
 
-    n, m = np.frombuffer(blob, dtype="<i8", count=2)
-    n, m = int(n), int(m)
-    body = zstandard.ZstdDecompressor().decompress(blob[16:])
+    n, m, width = map(int, np.frombuffer(blob, dtype="<i8", count=3))
+    body = zstandard.ZstdDecompressor().decompress(memoryview(blob)[24:])
+    wide = f"<u{width}"
     at = 0
     out = []
-    for kind, count in (("<i8", m), ("<i8", m), ("<u2" if m < 65536 else "<u4", n), ("<u4", n), ("<u1", n), ("<u1", n)):
+    for kind, count in (("<i8", m), ("<i8", m), ("<u2" if m < 65536 else "<u4", n), ("<u4", n), (wide, n), (wide, n)):
         out.append(np.frombuffer(body, dtype=kind, count=count, offset=at))
         at += out[-1].nbytes
     ids, keys, which, starts, lens, offs = out
@@ -309,6 +332,7 @@ def _ship(chunk: list, shards: int, length: int):
     content = _content_hash(data, first, size)
     order = np.lexsort((np.arange(len(doc)), content, h))
     new = np.append(True, (content[order][1:] != content[order][:-1]) | (h[order][1:] != h[order][:-1]))
+    new = _equal_runs(data, first[order], size[order], new)
     least = np.empty(len(doc), dtype=np.int64)
     least[order] = ids[doc[order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]]]
     late = ids[doc] > least
@@ -328,8 +352,55 @@ def _ship(chunk: list, shards: int, length: int):
     return blocks, known
 
 
+def _part(blob: bytes, sub: int) -> tuple[np.ndarray, ...]:
+    """(doc, key, start, size, anchor hash, bytes) of a block's contexts in one range of anchors."""
+    doc, key, start, size, off, text = unpack(blob)
+    at = np.cumsum(size) - size
+    words = np.lib.stride_tricks.as_strided(text, shape=(len(text) - 7, 8), strides=(1, 1)).view("<u8")
+    h = _gram_hash_of(words[at + off, 0], words[at + off + 8, 0])
+    mine = np.flatnonzero((h >> np.uint64(40)) % np.uint64(SUBS) == sub)
+    return doc[mine], key[mine], start[mine], size[mine], h[mine], _gather(text, at[mine], size[mine])
+
+
+def _matches(parts: list[tuple[np.ndarray, ...]], length: int) -> Iterator[pd.DataFrame]:
+    """Ranges to remove among the contexts of a range of anchors."""
+    doc, key, start, size, h, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    if not len(h):
+        return
+    at = np.cumsum(size) - size
+    # anchors of one document only are put aside
+    order = np.lexsort((doc, h))
+    cut = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    size_of = np.diff(np.append(cut, len(h)))
+    shared = np.repeat(doc[order[cut]] != doc[order[cut + size_of - 1]], size_of)
+    order = order[shared]
+    if not len(order):
+        return
+    # of equal contexts, those of the least document and those of all others are one string each
+    content = _content_hash(text, at[order], size[order])
+    order = order[np.lexsort((start[order], key[order], doc[order], content, h[order]))]
+    content = _content_hash(text, at[order], size[order])
+    new = np.append(True, (content[1:] != content[:-1]) | (h[order][1:] != h[order][:-1]))
+    new = _equal_runs(text, at[order], size[order], new)
+    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    later = doc[order] > doc[order[head]]
+    new |= np.append(False, later[1:] & ~later[:-1])
+    one = order[new]
+    by_doc = np.lexsort((doc[one], h[one]))
+    reps = one[by_doc]
+    members = np.append(np.flatnonzero(new), len(order))
+    for r, first, last in repeated(h[reps], doc[reps], at[reps], size[reps], text, length):
+        g = by_doc[r]
+        n_of = members[g + 1] - members[g]
+        m = order[np.repeat(members[g] - np.cumsum(n_of) + n_of, n_of) + np.arange(n_of.sum())]
+        yield pd.DataFrame({"id": doc[m], "key": key[m], "lo": start[m] + np.repeat(first, n_of), "hi": start[m] + np.repeat(last, n_of) + length})
+
+
 def ranges(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK) -> DataFrame:
     """(id, key, lo, hi): byte ranges to remove, of rows (id long, key long, text)."""
+    if not GRAM <= length <= MOST_LENGTH:
+        raise ValueError(f"length must be from {GRAM} to {MOST_LENGTH}")
     n = partitions(docs.sparkSession)
 
     def travel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -344,46 +415,16 @@ def ranges(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK) -> DataFra
                     yield pd.DataFrame(rows, columns=["shard", "block", "known"])
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = []
+        got: list[bytes] = []
         for b in batches:
             for block, known in zip(b["block"], b["known"], strict=True):
                 if known is not None:
                     i, k, lo, hi = np.frombuffer(known, dtype="<i8").reshape(4, -1)
                     yield pd.DataFrame({"id": i, "key": k, "lo": lo, "hi": hi})
                 if block is not None:
-                    got.append(unpack(block))
-        if not got:
-            return
-        doc, key, start, size, off, text = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
-        at = np.cumsum(size) - size
-        words = np.lib.stride_tricks.as_strided(text, shape=(len(text) - 7, 8), strides=(1, 1)).view("<u8")
-        h = _gram_hash_of(words[at + off, 0], words[at + off + 8, 0])
-        # anchors of one document only are put aside
-        order = np.lexsort((doc, h))
-        cut = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
-        size_of = np.diff(np.append(cut, len(h)))
-        shared = np.repeat(doc[order[cut]] != doc[order[cut + size_of - 1]], size_of)
-        order = order[shared]
-        if not len(order):
-            return
-        # of equal contexts, those of the least document and those of all others are one string each
-        content = _content_hash(text, at[order], size[order])
-        order = order[np.lexsort((start[order], key[order], doc[order], content, h[order]))]
-        content = _content_hash(text, at[order], size[order])
-        new = np.append(True, (content[1:] != content[:-1]) | (h[order][1:] != h[order][:-1]))
-        head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        later = doc[order] > doc[order[head]]
-        new |= np.append(False, later[1:] & ~later[:-1])
-        one = order[new]
-        by_doc = np.lexsort((doc[one], h[one]))
-        reps = one[by_doc]
-        members = np.append(np.flatnonzero(new), len(order))
-        for r, first, last in repeated(h[reps], doc[reps], at[reps], size[reps], text, length):
-            g = by_doc[r]
-            n_of = members[g + 1] - members[g]
-            m = order[np.repeat(members[g] - np.cumsum(n_of) + n_of, n_of) + np.arange(n_of.sum())]
-            yield pd.DataFrame({"id": doc[m], "key": key[m], "lo": start[m] + np.repeat(first, n_of), "hi": start[m] + np.repeat(last, n_of) + length})
+                    got.append(block)
+        for sub in range(SUBS if got else 0):
+            yield from _matches([_part(x, sub) for x in got], length)
 
     sent = docs.select("id", "key", "text").mapInPandas(travel, "shard int, block binary, known binary")
     return sent.repartitionById(n, "shard").mapInPandas(meet, "id long, key long, lo long, hi long")
@@ -409,7 +450,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: i
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = d.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("key", F.xxhash64("doc_id", "text"))
     found = materialize(ranges(d, length), "suffix-ranges")
-    by_row = found.groupBy("id", "key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    # rows that repeat bring the same ranges: one of each; a table, so that the join can split rows that repeat often
+    each = found.groupBy("id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
+    by_row = materialize(each.select("id", "key", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi")), "suffix-rows")
+    discard(found)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

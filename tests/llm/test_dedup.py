@@ -202,9 +202,37 @@ def _flat(runs):
     return [(int(r), int(a), int(b)) for rows, first, last in runs for r, a, b in zip(rows, first, last, strict=True)]
 
 
+@pytest.mark.parametrize("length", [16, 49, 130, 200, 300, 900])
+def test_lengths_against_brute_force(spark, length):
+    """Contexts longer than a byte can count, and a passage as long as the string looked for."""
+    r = random.Random(11)
+    passage = words(r, 260)[:900]
+    rows = [(i, words(r, 8) + (passage if i % 3 else passage[i : i + 350]) + words(r, 20)) for i in range(9)]
+    d = docs(spark, rows).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("key"), "text")
+    found = suf.ranges(d, length).collect()
+    want = {i: (removed, runs) for i, _, removed, runs, _ in brute_cut(rows, length)}
+    for i, t in rows:
+        mine = [(x["lo"], x["hi"]) for x in found if x["id"] == i]
+        assert suf.cut(t.encode(), np.array([m[0] for m in mine], int), np.array([m[1] for m in mine], int))[1:] == want[i]
+    assert any(n for n, _ in want.values())
+
+
+def test_equal_hashes_are_compared_by_bytes():
+    data = np.frombuffer(b"aaaabbbbaaaaccccbbbb", np.uint8)
+    at, size = np.arange(0, 20, 4), np.full(5, 4)
+    new = suf._equal_runs(data, at, size, np.array([True, False, False, False, False]))
+    assert list(new) == [True, True, True, True, True] or list(new) == [True, True, False, True, True]
+    assert list(suf._equal_runs(data, at[[0, 2]], size[:2], np.array([True, False]))) == [True, False]
+    with pytest.raises(ValueError, match="length"):
+        suf.ranges(None, 8)
+
+
 def test_repeated_ids_and_empty_table(spark):
     t = hashlib.sha256(b"x").hexdigest()
     rows = [(1, t), (1, t), (2, "  " + t)]
     got = sorted((x["doc_id"], x["n_removed"]) for x in suf.dedup(docs(spark, rows)).collect())
     assert got == [(1, 0), (1, 0), (2, 64)]
+    many = [(4, "  " + t)] * 300 + [(1, t), (None, t), (None, "")]
+    got = sorted(repr((x["doc_id"], x["n_removed"])) for x in suf.dedup(docs(spark, many)).collect())
+    assert got == sorted(map(repr, [(4, 64)] * 300 + [(1, 0), (None, 64), (None, 0)]))
     assert suf.dedup(docs(spark, rows).where("doc_id > 5")).count() == 0
