@@ -319,6 +319,17 @@ def _chunks(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], length: int,
         yield out
 
 
+def _runs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of documents with those that overlap or touch made one."""
+    wide = int(hi.max()) + 2
+    order = np.lexsort((lo, doc))
+    a, b = (doc * wide + lo)[order], (doc * wide + hi)[order]
+    reach = np.maximum.accumulate(b)
+    first = np.flatnonzero(np.append(True, a[1:] > reach[:-1]))
+    last = np.append(first[1:], len(a)) - 1
+    return doc[order[first]], a[first] % wide, reach[last] % wide
+
+
 def _ship(chunk: list, shards: int, length: int):
     """(shard, block) rows of a chunk's contexts, and (doc, key, lo, hi) ranges that the chunk itself decides."""
     ids, keys, bases = (np.array([c[k] for c in chunk], dtype=np.int64) for k in range(3))
@@ -339,7 +350,8 @@ def _ship(chunk: list, shards: int, length: int):
     offset = bases[doc] + first - starts[doc]
     known = None
     if late.any():
-        known = (ids[doc[late]], keys[doc[late]], offset[late], offset[late] + size[late])
+        of, lo, hi = _runs(doc[late], offset[late], offset[late] + size[late])
+        known = (ids[of], keys[of], lo, hi)
     go = np.flatnonzero(~late)
     shard = (h[go] >> np.uint64(7)) % np.uint64(shards)
     go = go[np.lexsort((h[go], shard))]
