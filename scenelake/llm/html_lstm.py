@@ -32,6 +32,10 @@ PATH_DIM, WORD_DIM, MEASURES = 192, 32, 7
 INPUT = PATH_DIM + WORD_DIM + MEASURES
 HIDDEN = 16
 TRAIN_PAGES = 640
+#: Blocks, padding included, that are labelled together; a longer page is read in strips of as many.
+CELLS = 8192
+#: Characters of html whose pages are labelled together.
+GROUP_CHARS = 4_000_000
 #: Elements that start and end a block, elements without content, and elements whose content is never shown as text.
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 "
@@ -149,9 +153,12 @@ class Inputs:
             self.paths[key] = v
         return v
 
-    def page(self, page: list) -> np.ndarray:
-        x = np.zeros((len(page), INPUT), dtype=np.float32)
-        for k, (text, path, linked) in enumerate(page):
+    def page(self, page: list, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """The inputs of the page's blocks lo .. hi - 1."""
+        some = page[lo:hi]
+        x = np.zeros((len(some), INPUT), dtype=np.float32)
+        for k, (text, path, linked) in enumerate(some):
+            at_page = lo + k
             x[k, :PATH_DIM] = self.path(path)
             words = text.lower().split()
             for w in words:
@@ -164,7 +171,7 @@ class Inputs:
             x[k, PATH_DIM : PATH_DIM + WORD_DIM] *= 0.25 / max(n, 1) ** 0.5
             dots = text.count(".") + text.count("!") + text.count("?")
             x[k, -MEASURES:] = (
-                min(np.log1p(len(text)) / 8, 1.5), min(linked, 1.0), k / len(page), 1.0 / (1 + k), n < 4,
+                min(np.log1p(len(text)) / 8, 1.5), min(linked, 1.0), at_page / len(page), 1.0 / (1 + at_page), n < 4,
                 min(dots / max(n, 1), 1.0), "©" in text,
             )
         return x
@@ -234,14 +241,47 @@ class BiLSTM:
             out[f"x{d}"], out[f"b{d}"] = seq.reshape(-1, INPUT).T @ flat, flat.sum(axis=0)
         return out
 
-    def label(self, pages: list[np.ndarray], group: int = 64) -> list[np.ndarray]:
-        """Probability of main text for each block of each page; pages of like length go together."""
+    def _walk(self, x: np.ndarray, mask: np.ndarray, d: str, state: tuple[np.ndarray, np.ndarray]):
+        """(share of the output, state) of one direction, each step's only; x: (time, batch, input) in that direction's order."""
+        pre = x @ self.w[f"x{d}"] + self.w[f"b{d}"]
+        weight = self.w["o"][:HIDDEN] if d == "f" else self.w["o"][HIDDEN:]
+        (h, c), out = state, np.zeros(mask.shape, np.float32)
+        for t in range(len(pre)):
+            z = pre[t] + h @ self.w[f"h{d}"]
+            g = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
+            m = mask[t][:, None]
+            c = (g[:, HIDDEN : 2 * HIDDEN] * c + g[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])) * m
+            h = g[:, 2 * HIDDEN :] * np.tanh(c) * m
+            out[t] = h @ weight
+        return out, (h, c)
+
+    def label(self, pages: list, inputs: Inputs | None = None, cells: int = CELLS) -> list[np.ndarray]:
+        """Probability of main text for each block of each page; with inputs, pages are lists of blocks, else arrays.
+
+        Pages of like length go together, at most ``cells`` padded blocks at once; a longer page passes in strips, twice
+        (forward and backward), with the state handed on. No states are kept, so memory does not grow with a page's blocks
+        but for one number each.
+        """
+        part = lambda k, lo, hi: pages[k][lo:hi] if inputs is None else inputs.page(pages[k], lo, hi)
+        rest = lambda n: (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = [k for k in sorted(range(len(pages)), key=lambda k: len(pages[k])) if len(pages[k])]
-        for lo in range(0, len(order), group):
-            some = order[lo : lo + group]
-            x, mask = padded([pages[k] for k in some])
-            p = self.forward(x, mask)[0]
+        while order:
+            n = 1
+            while n < len(order) and (n + 1) * len(pages[order[n]]) <= cells:
+                n += 1
+            some, order = order[:n], order[n:]
+            longest = len(pages[some[-1]])
+            strips = [(lo, min(lo + cells, longest)) for lo in range(0, longest, cells)]
+            total = np.zeros((longest, n), np.float32)
+            whole = padded([part(k, 0, None) for k in some]) if len(strips) == 1 else None
+            for d, way in (("f", 1), ("b", -1)):
+                state = rest(n)
+                for lo, hi in strips[::way]:
+                    x, mask = whole or padded([part(k, lo, hi) for k in some])
+                    got, state = self._walk(x[::way], mask[::way], d, state)
+                    total[lo:hi] += got[::way]
+            p = 1 / (1 + np.exp(-(total + self.w["c"])))
             for j, k in enumerate(some):
                 out[k] = p[: len(pages[k]), j]
         return out
@@ -393,10 +433,20 @@ def fitted() -> BiLSTM:
 
 def main_text(net: BiLSTM, inputs: Inputs, pages: list[str | None]) -> list[str]:
     cut = [blocks(h) for h in pages]
-    labels = net.label([inputs.page(p) if p else np.zeros((0, INPUT), np.float32) for p in cut])
+    labels = net.label(cut, inputs)
     return ["\n\n".join(t for (t, _, _), q in zip(p, y, strict=True) if q >= 0.5) for p, y in zip(cut, labels, strict=True)]
 
 
+def _groups(b: pd.DataFrame, most: int, chars: int = GROUP_CHARS) -> Iterator[pd.DataFrame]:
+    """Consecutive rows, at most ``most`` and about ``chars`` characters of html together."""
+    size = b["html"].str.len().fillna(0).to_numpy(dtype=np.int64)
+    ends, lo = np.cumsum(size), 0
+    while lo < len(b):
+        hi = max(lo + 1, min(lo + most, int(np.searchsorted(ends, ends[lo] - size[lo] + chars, side="right"))))
+        yield b.iloc[lo:hi]
+        lo = hi
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", group: int = 256) -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of pages."""
     weights = pages.sparkSession.sparkContext.broadcast(fitted().w)
@@ -404,8 +454,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net, inputs = BiLSTM(weights.value), Inputs()
         for b in batches:
-            for lo in range(0, len(b), group):
-                some = b.iloc[lo : lo + group]
+            for some in _groups(b, group):
                 text = main_text(net, inputs, list(some["html"]))
                 yield pd.DataFrame({"page_id": some["page_id"], "url": some["url"], "text": text, "n_chars": pd.array([len(t) for t in text], dtype="int64")})
 

@@ -5,10 +5,12 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,6 +306,39 @@ def test_labeller_on_unseen_layouts():
     assert wrong <= 0.02 * sum(map(len, ys))
 
 
+def test_labels_do_not_depend_on_groups_and_strips():
+    net, r = html_lstm.BiLSTM.fresh(2), np.random.default_rng(1)
+    pages = [r.standard_normal((n, html_lstm.INPUT)).astype(np.float32) for n in (3, 90, 0, 11, 40)]
+    for cells in (7, 50, 8192):
+        for p, got in zip(pages, net.label(pages, cells=cells), strict=True):
+            if len(p):
+                assert got == pytest.approx(net.forward(p[:, None], np.ones((len(p), 1), np.float32))[0][:, 0], abs=1e-5)
+
+
+def test_a_page_of_many_blocks():
+    """20,000 blocks beside small pages: whole, and in bounded memory."""
+    html = "<article>" + "".join(f"<p>Some words of block {k} stand here.</p>" for k in range(20_000)) + "</article>"
+    small = "<nav><ul><li><a href=/x>Menu</a></li></ul></nav><article><h1>A heading</h1><p>Some words of the article are here.</p></article>"
+    tracemalloc.start()
+    try:
+        text = html_lstm.main_text(html_lstm.fitted(), html_lstm.Inputs(), [small, html, small])
+        assert tracemalloc.get_traced_memory()[1] < 80e6
+    finally:
+        tracemalloc.stop()
+    assert text[0] == text[2] == "A heading\n\nSome words of the article are here."
+    assert text[1].count("\n\n") == 19_999
+
+
+def test_quality_on_the_pages_table():
+    """Against the pages' own markup: the blocks of the article element, nothing of menus, adverts and footers."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pandas()
+    net, inputs = html_lstm.fitted(), html_lstm.Inputs()
+    got = html_lstm.main_text(net, inputs, list(pages["html"]))
+    for page_id, h, text in zip(pages["page_id"], pages["html"], got, strict=True):
+        want = [t for t, path, _ in html_lstm.blocks(h) if any(tag == "article" for tag, _ in path) and not any("ad" in names for _, names in path)]
+        assert text == "\n\n".join(want), page_id
+
+
 def test_gradient():
     net, r = html_lstm.BiLSTM.fresh(1), np.random.default_rng(0)
     x, mask = html_lstm.padded([r.standard_normal((n, html_lstm.INPUT)).astype(np.float32) for n in (3, 5)])
