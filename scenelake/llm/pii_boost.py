@@ -3,9 +3,10 @@
 Base spans come from four fixed patterns with checks and always stay. High-recall generators propose further, possibly
 overlapping candidates (spelled-out e-mail addresses, national phone numbers, account and identity numbers, IPv6,
 secrets); boosted trees score format and context features, and one threshold per generator, calibrated by isotonic
-regression on held-out candidates, selects. The trees are fitted on the driver on a fixed number of made-up examples
-(TRAIN_TEXTS), whose features are computed by the same expressions, and run as CASE expressions inside the scan's stage:
-no shuffle, no Python.
+regression on held-out candidates, selects. Features are of format (characters, groups, turns between digits and letters, different characters,
+checksums) and of context (cue words before, what follows). The trees are fitted on the driver on a fixed number of
+made-up examples (TRAIN_TEXTS of each template), whose features are computed by the same expressions, and run as CASE
+expressions inside the scan's stage: no shuffle, no Python. Candidates may be of any length.
 
 Positions: regexp_extract_all gives the matches and split the text between them, in the same order; running lengths
 give code-point offsets. Patterns are written with possessive loops, so long runs neither recurse nor backtrack.
@@ -38,18 +39,19 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 GENERATORS: dict[str, tuple[str, str, str]] = {
     "spelled": (
         "email",
-        r"(?<![A-Za-z0-9])[A-Za-z0-9._-]{2,40}(?: ?[(\[]at[)\]] ?| at )[A-Za-z0-9-]{2,40}"
-        r"(?:(?: ?[(\[]dot[)\]] ?| dot )[A-Za-z]{2,12}){1,3}(?![A-Za-z0-9])",
+        r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+(?: ?[(\[]at[)\]] ?| at )[A-Za-z0-9-]{2,}+"
+        r"(?:(?: ?[(\[]dot[)\]] ?| dot )[A-Za-z]{2,}+)++",
         r"[( \[]dot[) \]]",
     ),
-    "number": ("phone", r"(?<![A-Za-z0-9.+])\(?[0-9](?:[ ()./-]{0,2}[0-9]){6,21}(?![A-Za-z0-9])", "[0-9]"),
+    "number": ("phone", r"(?<![A-Za-z0-9.+])\(?[0-9](?:[ ()./-]{0,2}[0-9]){6,}+", "[0-9]"),
     "account": ("id", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z][0-9]"),
     "ipv6": ("ip", r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9:])", "[0-9A-Fa-f]:[0-9A-Fa-f]"),
-    "key": ("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,128}(?![A-Za-z0-9_-])", "[0-9]"),
+    "key": ("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+", "[0-9]"),
 }
 CONTEXT = 32
 FEATURES = (
     "len", "digits", "letters", "seps", "opens", "gen_no", "groups", "c_phone", "c_mail", "c_id", "c_secret", "c_noise", "quoted", "ssn",
+    "distinct", "spread", "turns", "upper", "luhn", "mod97", "runs_on", "date",
 )
 #: Words before a candidate that speak for or against a kind.
 CUES = {
@@ -59,6 +61,8 @@ CUES = {
     "c_secret": "token|key|secret|passw|pwd|api|auth|credential",
     "c_noise": "isbn|order|invoice|page|version|serial|part|total|build|commit|sha|id ",
 }
+#: Characters of a candidate that the spread and the turns are taken over (they level off far below).
+SPREAD = 64
 #: Made-up examples per class and generator that the trees are fitted on.
 TRAIN_TEXTS = 60
 
@@ -99,6 +103,15 @@ def _luhn(m: Column) -> Column:
     return total % 10 == 0
 
 
+def _mod97(m: Column) -> Column:
+    """Whether an account number's check digits hold (ISO 7064, as in IBAN)."""
+    c = F.translate(m, " ", "")
+    turned = F.split(F.concat(F.substring(c, F.lit(5), F.length(c)), F.substring(c, 1, 4)), "")
+    code = lambda x: F.ascii(x) - F.when(x <= "9", 48).otherwise(55)
+    rest = F.aggregate(turned, F.lit(0), lambda a, x: F.when(x == "", a).otherwise((a * F.when(x <= "9", 10).otherwise(100) + code(x)) % 97))
+    return rest == 1
+
+
 def base_spans(text: Column) -> Column:
     """Base spans, checked, as array<struct<start, kind_no, end, kind>> in contract order."""
 
@@ -140,12 +153,23 @@ def _featured(s: Column) -> Column:
     number = F.lit(-1)
     for k, (name, (of, _, _)) in enumerate(GENERATORS.items()):
         kind, number = F.when(s["generator"] == name, of).otherwise(kind), F.when(s["generator"] == name, k).otherwise(number)
+    head = F.substring(m, 1, SPREAD)
+    distinct = F.size(F.array_distinct(F.split(head, "")))
     ssn = m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
     kind = F.when(ssn, "id").otherwise(kind)
     values = {
         "len": n, "digits": digits, "letters": n - digits - seps, "seps": seps, "opens": F.length(m) - F.length(F.translate(m, "([", "")),
         "gen_no": number, "groups": F.size(F.split(m, r"[ \-().+/:\[\]]+")), **{c: before.rlike(cue).cast("int") for c, cue in CUES.items()},
         "quoted": before.rlike(r"[\"'=:]\s*$").cast("int"), "ssn": ssn.cast("int"),
+        # structure: how many different characters, in all and against their number; changes between digits and letters
+        "distinct": distinct, "spread": distinct / F.least(n, F.lit(SPREAD)),
+        "turns": F.length(F.regexp_replace(F.regexp_replace(head, "[0-9]+", "0"), "[A-Za-z]+", "a")),
+        "upper": n - F.length(F.translate(m, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
+        # checksums, and whether a letter or digit follows at once
+        "luhn": F.when((s["generator"] == "number") & digits.between(13, 19), _luhn(m).cast("int")).otherwise(-1),
+        "mod97": F.when(s["generator"] == "account", _mod97(m).cast("int")).otherwise(-1),
+        "runs_on": s["after"].rlike("[A-Za-z0-9]").cast("int"),
+        "date": m.rlike(r"^(19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|^[0-9]{1,2}[-./][0-9]{1,2}[-./](19|20)?[0-9]{2}\b").cast("int"),
     }
     return F.struct(
         s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), s["generator"].alias("generator"),
@@ -153,48 +177,65 @@ def _featured(s: Column) -> Column:
     )
 
 
-def _examples() -> list[tuple[int, str]]:
-    """(label, text) made up from templates; a text's candidates all carry its label. A fixed seed: the same every time."""
-    r = random.Random(7)
+#: What stands before a made-up example: people's ways of announcing it, and other uses of numbers and strings.
+BEFORE = {
+    "phone": ("reach me on", "my number is", "ring", "you can call", "Tel.", "phone:", "Handy", "llámame al", "appelez le", "fax", "text me at", "our hotline", ""),
+    "mail": ("write to", "send it to", "I am", "contact", "schreib an", "escribe a", "mail", "drop a line:", ""),
+    "id": ("SSN", "social security no.", "IBAN", "please pay into", "Konto", "my account is", "tax number", "passport", "transfer to", ""),
+    "secret": ("token =", "API_KEY:", "export SECRET=", "password is", "use the key", "Authorization: Bearer", "aws_access", "client_secret=", "credential"),
+    "noise": ("ISBN", "order", "invoice no.", "page", "version", "serial", "part", "total of", "build", "commit", "sha256", "item", "in the year", "on", "see", "id", ""),
+}
+
+
+def _examples(seed: int = 7, n: int = TRAIN_TEXTS, before: dict[str, tuple[str, ...]] = BEFORE) -> list[tuple[int, str, str]]:
+    """(label, what it is, text) made up from templates; a text's candidates all carry its label. The same for a seed."""
+    r = random.Random(seed)
     digit = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice(["an", "er", "th", "ou", "le", "ion", "st"]) for _ in range(r.randint(1, 3)))
     hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
     mixed = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
     upper = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
     fill = lambda: " ".join(word() for _ in range(r.randint(2, 6)))
-    cue = lambda name: r.choice(CUES[name].split("|")).strip()
+    said = lambda name: r.choice(before[name])
+
+    def iban() -> str:
+        land, body = r.choice(["DE", "FR", "ES", "GB", "NL"]), digit(r.choice([14, 18, 20]))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + land + "00")) % 97
+        t = f"{land}{check:02d}{body}"
+        return t if r.random() < 0.5 else " ".join(t[k : k + 4] for k in range(0, len(t), 4))
+
     good = [
-        lambda: f"{r.choice(['', cue('c_mail') + ' '])}{word()}.{word()} at {word()}{word()} dot com",
-        lambda: f"{word()}{digit(2)} (at) {word()}mail [dot] {r.choice(['org', 'net', 'de'])}",
-        lambda: f"{cue('c_phone')} {r.choice(['(' + digit(3) + ') ' + digit(3) + '-' + digit(4), '0' + digit(3) + '/' + digit(7), digit(3) + '-' + digit(3) + '-' + digit(4)])}",
-        lambda: f"({digit(3)}) {digit(3)}-{digit(4)}",
-        lambda: f"{r.choice(['', cue('c_id') + ' '])}{digit(3)}-{digit(2)}-{digit(4)}",
-        lambda: f"{cue('c_id')} {r.choice(['DE', 'FR', 'ES', 'GB'])}{digit(2)} {digit(4)} {digit(4)} {digit(4)} {digit(4)} {digit(2)}",
-        lambda: ":".join(hexes(4) for _ in range(8)),
-        lambda: f'{cue("c_secret")} = "{r.choice([hexes, mixed])(r.choice([32, 40, 64]))}"',
-        lambda: f"{cue('c_secret')}: {mixed(r.randint(20, 40))}",
+        ("email", lambda: f"{said('mail')} {word()}.{word()} at {word()}{word()} dot {r.choice(['com', 'org', 'co dot uk', 'info'])}"),
+        ("email", lambda: f"{said('mail')} {word()}{digit(2)} (at) {word()}mail [dot] {r.choice(['org', 'net', 'de'])}"),
+        ("phone", lambda: f"{said('phone')} {r.choice(['(' + digit(3) + ') ' + digit(3) + '-' + digit(4), '0' + digit(3) + '/' + digit(7), digit(3) + '-' + digit(3) + '-' + digit(4)])}"),
+        ("phone", lambda: f"{r.choice([b for b in before['phone'] if b])} {r.choice(['0' + digit(2) + ' ' + digit(4) + ' ' + digit(4), digit(3) + '.' + digit(3) + '.' + digit(4)])}"),
+        ("id", lambda: f"{said('id')} {digit(3)}-{digit(2)}-{digit(4)}"),
+        ("id", lambda: f"{said('id')} {iban()}"),
+        ("ip", lambda: ":".join(hexes(r.choice([3, 4])) for _ in range(8))),
+        ("secret", lambda: f'{said("secret")} "{r.choice([hexes, mixed])(r.choice([24, 32, 40, 64, 160]))}"'),
+        ("secret", lambda: f"{said('secret')} {r.choice(['', 'sk_', 'ghp_', 'AKIA'])}{mixed(r.randint(20, 40))}"),
     ]
     bad = [
-        lambda: f"{word()} at {word()} dot {word()} {word()} {word()}" if r.random() < 0.3 else f"{word()}{word()}",
-        lambda: f"{cue('c_noise')} {digit(r.randint(7, 22))}",
-        lambda: digit(r.randint(7, 22)),
-        lambda: f"{digit(4)}-{digit(2)}-{digit(2)}",
-        lambda: f"{digit(2)}.{digit(2)}.{digit(4)} {digit(2)}.{digit(2)}",
-        lambda: f"{digit(4)} - {digit(4)}",
-        lambda: f"{upper(2)}{digit(2)} {upper(4)} {upper(4)}",
-        lambda: "".join(word() for _ in range(12))[:60].ljust(20, "e"),
-        lambda: f"{cue('c_noise')} {hexes(40)}",
-        lambda: f"{word()}-{word()}{word()}-{digit(4)}{word()}{word()}{word()}",
-        lambda: ":".join(digit(2) for _ in range(4)),
+        ("words", lambda: f"{word()} at {word()} dot {word()} {word()} {word()}" if r.random() < 0.3 else f"{word()}{word()}"),
+        ("number", lambda: f"{said('noise')} {digit(r.randint(7, 24))}"),
+        ("number", lambda: digit(r.randint(7, 40))),
+        ("date", lambda: f"{said('noise')} {r.choice(['19', '20'])}{digit(2)}-{digit(2)}-{digit(2)}"),
+        ("date", lambda: f"{digit(2)}.{digit(2)}.{digit(4)} {digit(2)}.{digit(2)}"),
+        ("range", lambda: f"{digit(4)} - {digit(4)}"),
+        ("code", lambda: f"{upper(2)}{digit(2)} {upper(4)} {upper(4)}"),
+        ("word", lambda: "".join(word() for _ in range(12))[:60].ljust(20, "e")),
+        ("hash", lambda: f"{r.choice(['commit', 'sha', 'sha256', 'build', 'version'])} {hexes(40)}"),
+        ("slug", lambda: f"{word()}-{word()}{word()}-{digit(4)}{word()}{word()}{word()}"),
+        ("time", lambda: ":".join(digit(2) for _ in range(4))),
     ]
-    return [(label, f"{fill()} {make()} {fill()}") for label, kinds in ((1, good), (0, bad)) for make in kinds for _ in range(TRAIN_TEXTS)]
+    return [(label, kind, f"{fill()} {make()} {fill()}") for label, kinds in ((1, good), (0, bad)) for kind, make in kinds for _ in range(n)]
 
 
 _FITTED: list[tuple[boosting.Boosted, dict[str, float]]] = []
 
 
 def _fit(spark: SparkSession) -> tuple[boosting.Boosted, dict[str, float]]:
-    doc = json.dumps([{"label": y, "text": t, "fold": k % 3} for k, (y, t) in enumerate(_examples())])
+    doc = json.dumps([{"label": y, "text": t, "fold": k % 3} for k, (y, _, t) in enumerate(_examples())])
     rows = spark.range(1).select(F.inline(F.from_json(F.lit(doc), "array<struct<label: int, text: string, fold: int>>")))
     got = rows.select("label", "fold", F.explode(candidates(F.col("text"))).alias("c")).select("label", "fold", "c.generator", *[f"c.{f}" for f in FEATURES])
     data = [tuple(x) for x in got.collect()]  # at most a few candidates for each made-up text

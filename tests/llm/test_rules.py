@@ -214,6 +214,44 @@ def test_added_spans_and_redaction(spark):
     assert pii_boost.find(d.where("doc_id < 0")).count() == 0
 
 
+def test_added_spans_on_examples_not_learned_from(spark):
+    """Recall by kind and precision on other draws under other announcements than those of the fit."""
+    before = {
+        "phone": ("give me a ring:", "mobile", "telephone", "meine Nummer:", "mon portable:"), "mail": ("email me:", "kontakt", "questions?", "find me:"),
+        "id": ("account", "bank details:", "my social is", "NIF"), "secret": ("auth token", "secret:", "passwd=", "apikey ="),
+        "noise": ("batch", "reference", "chapter", "sample", "figure", "about"),
+    }
+    rows = pii_boost._examples(99, 60, before)
+    got = {x["doc_id"]: x["spans"] for x in pii_boost.find(docs(spark, [t for _, _, t in rows])).collect()}
+    found, of, false = {}, {}, []
+    for k, (label, kind, text) in enumerate(rows):
+        if label:
+            of[kind] = of.get(kind, 0) + 1
+            found[kind] = found.get(kind, 0) + any(s.startswith(kind + ":") for s in got[k].split(","))
+        elif got[k]:
+            false.append((kind, text, got[k]))
+    recall = {k: found[k] / n for k, n in of.items()}
+    print("recall", recall, "texts without personal data that got a span", len(false), "of", sum(not r[0] for r in rows))
+    assert all(v >= 0.8 for v in recall.values()), recall
+    assert len(false) <= 0.06 * sum(not r[0] for r in rows), false[:5]
+
+
+def test_candidates_of_any_length(spark):
+    texts = ["my secret key = " + "aB3dE6fG8h" * n for n in (2, 13, 16, 40)] + ["9 " * 50_000 + "x", "a." * 50_000 + " at b dot c", "A1" * 50_000]
+    got = {x["doc_id"]: x["spans"] for x in pii_boost.find(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(4)] == [f"secret:16:{16 + 10 * n}" for n in (2, 13, 16, 40)]
+
+
+def test_equal_candidates_tie(spark):
+    """Overlapping candidates and repeated spans: one result for equal texts, no overlap between added spans."""
+    text = "tel 030/1234567 tel 030/1234567 token = abcdef0123456789abcdef0123456789"
+    got = [x["spans"] for x in pii_boost.find(docs(spark, [text] * 3)).collect()]
+    assert len(set(got)) == 1
+    ends = [tuple(map(int, s.split(":")[1:])) for s in got[0].split(",")]
+    assert len(ends) == 3
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+
+
 # -- URLs --------------------------------------------------------------------------------------------------------------
 
 
