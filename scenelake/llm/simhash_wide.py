@@ -176,6 +176,7 @@ def near_duplicates(rows: DataFrame, text: str = "text", words: int = WORDS, sim
     far = judged.where("not close").groupBy("first").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n_far"))
     n_close = judged.where("close").groupBy("first").agg(F.count("*").alias("n"))
     far = far.join(n_close, "first", "left").select("first", "n_far", F.ceil((F.coalesce("n", F.lit(0)) + 1) / chunk).cast("int").alias("n_close"))
+    far = materialize(far, "wide-far")  # a group may hold very many nodes: the join below reads two tables, so it can be split
     side = judged.select("node", "close").unionByName(cand.where("node = first").select("node", F.lit(True).alias("close")))
     some = cand.join(far, "first").join(side, "node")
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
