@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .ids import category_ids, dense_ids
+from .ids import dense_ids
 
 
 def images(views: DataFrame, scene: str, camera: str, resolution: int) -> DataFrame:
@@ -24,18 +24,18 @@ def metadata(shape: Column, target_size: Column, mode: Column, layer: Column, ca
 
 
 def annotations(objects: DataFrame, image_table: DataFrame, categories: DataFrame, keys: list[str], obj: str, sku: str = "sku") -> DataFrame:
-    """objects (keys, obj, sku, bbox, area, counts, ...) that are seen, with image, category and own ids from 0."""
+    """objects (keys, obj, sku, bbox, area, counts, ...) that are seen, with image, category and own ids from 0.
+
+    A product that has no category raises.
+    """
     seen = objects.where(F.col("area") > 0)
     d = seen.join(image_table.select(*keys, F.col("id").alias("image_id")), keys)
-    d = d.join(categories.select(F.col("name").alias(sku), F.col("id").alias("category_id")), sku)
+    d = d.join(categories.select(F.col("name").alias(sku), F.col("id").alias("category_id")), sku, "left")
+    unknown = F.raise_error(F.concat(F.lit("product without a category: "), F.coalesce(F.col(sku).cast("string"), F.lit("null"))))
+    d = d.withColumn("category_id", F.coalesce("category_id", unknown.cast("int")))
     return dense_ids(d, "image_id", [obj], "id").withColumn("iscrowd", F.lit(0))
 
 
-def unknown_categories(objects: DataFrame, categories: DataFrame, sku: str = "sku") -> DataFrame:
-    """Objects whose product has no category: must be empty."""
-    return objects.join(categories.select(F.col("name").alias(sku)), sku, "left_anti")
-
-
 def flat(image_table: DataFrame, annotation_table: DataFrame, categories: DataFrame) -> DataFrame:
     """(file_name, annotation_id, category, bbox): images without annotations stay, with nulls."""
     a = annotation_table.select(F.col("id").alias("annotation_id"), "image_id", "category_id", "bbox")
@@ -48,11 +48,26 @@ def label_anchor(bbox: Column) -> tuple[Column, Column]:
     return bbox[0], bbox[1] - 5
 
 
+#: Keys of an annotation that are left out where they are null; nulls within them are written.
+OPTIONAL = ("amodal_segmentation", "metadata")
+
+
+def _json(df: DataFrame) -> Column:
+    """A row as a JSON object, without those optional keys that are null."""
+    full = {"ignoreNullFields": "false"}
+    head = F.to_json(F.struct(*[c for c in df.columns if c not in OPTIONAL]), full)
+    more = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f',"{c}":'), F.to_json(c, full))).otherwise("") for c in OPTIONAL if c in df.columns]
+    return F.concat(F.left(head, F.length(head) - 1), *more, F.lit("}"))
+
+
 def document(image_table: DataFrame, annotation_table: DataFrame, categories: DataFrame) -> DataFrame:
     """One row, one JSON string: images, annotations, categories by id. For datasets that fit one file; tables are the main form."""
-    rows = lambda df, name, null=True: df.agg(F.sort_array(F.collect_list(F.struct(F.col("id"), F.struct(*df.columns).alias("r")))).alias(name)).select(F.transform(name, lambda x: x["r"]).alias(name))
-    one = rows(image_table, "images").crossJoin(rows(annotation_table, "annotations")).crossJoin(rows(categories, "categories"))
-    return one.select(F.to_json(F.struct("images", "annotations", "categories"), {"ignoreNullFields": "false"}).alias("value"))
+    whole = None
+    for name, df in (("images", image_table), ("annotations", annotation_table), ("categories", categories)):
+        rows = df.select("id", _json(df).alias("r")).agg(F.sort_array(F.collect_list(F.struct("id", "r"))).alias(name))
+        text_ = rows.select(F.concat(F.lit(f'"{name}":['), F.array_join(F.col(f"{name}.r"), ","), F.lit("]")).alias(name))
+        whole = text_ if whole is None else whole.crossJoin(text_)  # one row each
+    return whole.select(F.concat(F.lit("{"), F.concat_ws(",", "images", "annotations", "categories"), F.lit("}")).alias("value"))
 
 
-__all__ = ["annotations", "category_ids", "document", "flat", "images", "label_anchor", "metadata", "unknown_categories"]
+__all__ = ["annotations", "document", "flat", "images", "label_anchor", "metadata"]

@@ -13,7 +13,7 @@ def with_sidecars(assets: DataFrame, manifests: DataFrame) -> DataFrame:
 
     An ordinary outer join: Spark broadcasts the sidecars while they are below its threshold.
     """
-    return assets.join(manifests, "dir", "left")
+    return assets.join(manifests.drop("path"), "dir", "left")
 
 
 def resolve(df: DataFrame) -> DataFrame:

@@ -38,6 +38,27 @@ def any_overlap(scenes: DataFrame, pairs: DataFrame, scene: list[str]) -> DataFr
     return scenes.join(bad, scene, "left").withColumn("has_overlap", F.coalesce("has_overlap", F.lit(False)))
 
 
+def scenes_with_overlap(objects: DataFrame, scene: list[str], index: str, lo: str, hi: str, tolerance: float = TOLERANCE_M3, stack: str | None = None) -> DataFrame:
+    """Each scene with has_overlap, as any_overlap over overlapping_pairs: one grouping, no join.
+
+    A scene's boxes, a handful by its configuration, meet in one array whose pairs are asked until one overlaps.
+    """
+    flag = F.col(stack) if stack else F.lit(False)
+    box = F.struct(F.col(index).alias("i"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), flag.alias("stack"))
+
+    def clash(a: Column, b: Column) -> Column:
+        return (a["i"] < b["i"]) & ~(a["stack"] & b["stack"]) & (geometry.overlap_volume((a["lo"], a["hi"]), (b["lo"], b["hi"])) > tolerance)
+
+    boxes = objects.groupBy(*scene).agg(F.collect_list(box).alias("__boxes"))
+    found = F.exists("__boxes", lambda a: F.exists("__boxes", lambda b: clash(a, b)))
+    return boxes.select(*scene, F.coalesce(found, F.lit(False)).alias("has_overlap"))
+
+
+def success_counts(first: DataFrame, attempt: str = "attempt") -> DataFrame:
+    """One row: scenes that had an attempt that did not fail, and all scenes; of first_passing's result."""
+    return first.agg(F.count(attempt).alias("n_success"), F.count("*").alias("n_total"))
+
+
 def first_passing(tried: DataFrame, scene: list[str], attempt: str = "attempt", failed: Column | str = "has_overlap") -> DataFrame:
     """(scene, attempt): the first attempt that did not fail; null where all did."""
     bad = F.col(failed) if isinstance(failed, str) else failed

@@ -75,8 +75,7 @@ def accept(simulated: DataFrame) -> DataFrame:
     """Objects of the first attempt of each scene in which no two boxes overlap. rows: (scene_idx, attempt, pass_index, lo, hi, stack_layer, ...)."""
     scene = ["scene_idx", "attempt"]
     d = simulated.withColumn("__stack", F.col("stack_layer").isNotNull())
-    pairs = overlap.overlapping_pairs(d, scene, "pass_index", "lo", "hi", stack="__stack")
-    tried = overlap.any_overlap(d.select(*scene).distinct(), pairs, scene)
+    tried = overlap.scenes_with_overlap(d, scene, "pass_index", "lo", "hi", stack="__stack")
     good = overlap.first_passing(tried, ["scene_idx"]).where("attempt is not null")
     return d.join(good, scene).drop("__stack")
 

@@ -189,8 +189,8 @@ def prompt_text(spark, d):
 # -- assets ------------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH a AS (SELECT p_partkey, 'd' || (p_partkey % 50)::VARCHAR AS dir, 'p' || p_partkey::VARCHAR AS stem FROM part),
-m AS (SELECT 'd' || s_suppkey::VARCHAR AS dir, s_suppkey FROM supplier WHERE s_suppkey < 40)
+@query("""WITH a AS (SELECT p_partkey, 'd' || (p_partkey // 16)::VARCHAR AS dir, 'p' || p_partkey::VARCHAR AS stem FROM part),
+m AS (SELECT 'd' || s_suppkey::VARCHAR AS dir, s_suppkey FROM supplier)
 SELECT p_partkey, CASE WHEN s_suppkey IS NULL OR s_suppkey % 4 = 0 THEN a.dir WHEN s_suppkey % 4 = 1 THEN 'sku' || s_suppkey::VARCHAR ELSE stem END AS sku,
  CASE WHEN s_suppkey % 4 IN (1, 2) THEN 'box' END AS shape, s_suppkey IS NOT NULL AS has_sidecar FROM a LEFT JOIN m USING (dir)""")
 def sidecar_resolution(spark, d):
@@ -202,17 +202,17 @@ def _asset_rows(spark: SparkSession, d: str) -> DataFrame:
     """Parts as assets, suppliers as sidecars: empty objects, complete ones, ones without sku, ones without shape."""
     from .sources import manifests
 
-    part = _t(spark, d, "part").select("p_partkey", F.concat(F.lit("/r/d"), F.col("p_partkey") % 50, F.lit("/p"), F.col("p_partkey"), F.lit(".glb")).alias("path"))
+    part = _t(spark, d, "part").select("p_partkey", F.concat(F.lit("/r/d"), F.expr("p_partkey div 16"), F.lit("/p"), F.col("p_partkey"), F.lit(".glb")).alias("path"))
     part = part.select("p_partkey", text.parent_path(F.col("path")).alias("dir"), text.file_stem(F.col("path")).alias("stem"))
     k = F.col("s_suppkey")
     raw = F.when(k % 4 == 0, "{}").when(k % 4 == 1, F.format_string('{"sku": "sku%d", "shape": "box", "target_size_m_estimated": 0.25}', k)).when(
         k % 4 == 2, '{"sku": "", "shape": "box"}').otherwise('{"title": "t"}')
-    side = manifests.parse(_t(spark, d, "supplier").where("s_suppkey < 40").select(F.concat(F.lit("/r/d"), k, F.lit("/manifest_entry.json")).alias("path"), raw.alias("raw")))
+    side = manifests.parse(_t(spark, d, "supplier").select(F.concat(F.lit("/r/d"), k, F.lit("/manifest_entry.json")).alias("path"), raw.alias("raw")))
     return assets.resolve(assets.with_sidecars(part, side))
 
 
-@query("""WITH a AS (SELECT p_partkey, 'd' || (p_partkey % 50)::VARCHAR AS dir, 'p' || p_partkey::VARCHAR AS stem FROM part),
-m AS (SELECT 'd' || s_suppkey::VARCHAR AS dir, s_suppkey FROM supplier WHERE s_suppkey < 40),
+@query("""WITH a AS (SELECT p_partkey, 'd' || (p_partkey // 16)::VARCHAR AS dir, 'p' || p_partkey::VARCHAR AS stem FROM part),
+m AS (SELECT 'd' || s_suppkey::VARCHAR AS dir, s_suppkey FROM supplier),
 r AS (SELECT CASE WHEN s_suppkey IS NULL OR s_suppkey % 4 = 0 THEN a.dir WHEN s_suppkey % 4 = 1 THEN 'sku' || s_suppkey::VARCHAR ELSE stem END AS sku,
  CASE WHEN s_suppkey % 4 IN (1, 2) THEN 'box' END AS shape, s_suppkey FROM a LEFT JOIN m USING (dir))
 SELECT count(*) AS n_assets, count(s_suppkey) AS n_sidecars, count(*) FILTER (shape = 'box') AS n_stackable, count(DISTINCT sku) AS n_products FROM r""")
@@ -242,11 +242,12 @@ def left_join_default(spark, d):
 
 # -- placement ---------------------------------------------------------------------------------------------------------
 
-_TOP = f"(SELECT p_brand, p_partkey, p_size, p_retailprice, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY md5(concat_ws('|', '{SEED}', p_partkey)), p_partkey) - 1 AS o FROM part QUALIFY o < 6)"
+#: All parts in scenes of six: the scene's name takes the brand's column.
+_TOP = "(SELECT (p_partkey // 6)::VARCHAR AS p_brand, p_partkey, p_size, p_retailprice, p_type, p_partkey % 6 AS o FROM part)"
 
 
 def _top(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.top_k_by_hash(_t(spark, d, "part"), ["p_brand"], "p_partkey", 6, SEED).withColumn("o", F.col("rn") - 1)
+    return _t(spark, d, "part").withColumns({"p_brand": F.expr("cast(p_partkey div 6 as string)"), "o": F.col("p_partkey") % 6})
 
 
 def _xyz(df: DataFrame, *more: str) -> DataFrame:
@@ -370,8 +371,7 @@ def _tried(spark: SparkSession, d: str) -> DataFrame:
     x, y = placement.zone_xy(zone, SEED, [F.col("s"), F.col("attempt"), F.col("i")])
     o = placement.attempts(o).withColumns({"x": x, "y": y})
     o = o.select("s", "i", "attempt", geometry.vec(F.col("x"), F.col("y"), F.lit(0.0)).alias("lo"), geometry.vec(F.col("x") + 0.5, F.col("y") + 0.5, F.lit(0.5)).alias("hi"))
-    pairs = overlap.overlapping_pairs(o, ["s", "attempt"], "i", "lo", "hi")
-    return overlap.any_overlap(o.select("s", "attempt").distinct(), pairs, ["s", "attempt"])
+    return overlap.scenes_with_overlap(o, ["s", "attempt"], "i", "lo", "hi")
 
 
 @query(f"""SELECT t.s, coalesce(min(CASE WHEN h.s IS NULL THEN t.attempt END), -1)::INTEGER AS attempt FROM (SELECT DISTINCT s, attempt FROM {_TRY}) t LEFT JOIN {_HIT} h ON t.s = h.s AND t.attempt = h.attempt GROUP BY 1""")
@@ -379,6 +379,11 @@ def first_passing_attempt(spark, d):
     return overlap.first_passing(_tried(spark, d), ["s"]).select("s", F.coalesce("attempt", F.lit(-1)).alias("attempt"))
 
 
+@query(f"""SELECT count(attempt) AS n_success, count(*) AS n_total FROM (SELECT t.s, min(CASE WHEN h.s IS NULL THEN t.attempt END) AS attempt FROM (SELECT DISTINCT s, attempt FROM {_TRY}) t LEFT JOIN {_HIT} h ON t.s = h.s AND t.attempt = h.attempt GROUP BY 1)""")
+def scene_success_counts(spark, d):
+    return overlap.success_counts(overlap.first_passing(_tried(spark, d), ["s"]))
+
+
 @query(f"""WITH f AS (SELECT t.s, min(CASE WHEN h.s IS NULL THEN t.attempt END)::INTEGER AS attempt FROM (SELECT DISTINCT s, attempt FROM {_TRY}) t LEFT JOIN {_HIT} h ON t.s = h.s AND t.attempt = h.attempt GROUP BY 1),
 v AS (SELECT s, attempt, cam, row_number() OVER (ORDER BY s, cam) - 1 AS id FROM f, (VALUES (0), (1)) c(cam) WHERE attempt IS NOT NULL)
 SELECT id, s, attempt, printf('images/%04d_%02d.png', s, cam) AS file_name FROM v""")
@@ -446,12 +451,12 @@ def world_boxes(spark, d):
 
 # -- masks and ids -----------------------------------------------------------------------------------------------------
 
-_PIX = "(SELECT DISTINCT l_suppkey % 20 AS image, (l_partkey % 24)::INTEGER AS x, (l_orderkey % 16)::INTEGER AS y, l_linenumber AS v FROM lineitem WHERE l_quantity < 20)"
+_PIX = "(SELECT DISTINCT l_suppkey AS image, (l_partkey % 24)::INTEGER AS x, (l_orderkey % 16)::INTEGER AS y, l_linenumber AS v FROM lineitem)"
 
 
 def _pixels(spark: SparkSession, d: str) -> DataFrame:
-    p = _t(spark, d, "lineitem").where("l_quantity < 20").select(
-        (F.col("l_suppkey") % 20).alias("image"), (F.col("l_partkey") % 24).cast("int").alias("x"), (F.col("l_orderkey") % 16).cast("int").alias("y"), F.col("l_linenumber").alias("v"))
+    p = _t(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("image"), (F.col("l_partkey") % 24).cast("int").alias("x"), (F.col("l_orderkey") % 16).cast("int").alias("y"), F.col("l_linenumber").alias("v"))
     return p.distinct().withColumns({"height": F.lit(16), "width": F.lit(24)})
 
 
@@ -526,21 +531,22 @@ def coco_tables(spark, d):
     return f.select("file_name", F.coalesce("annotation_id", none).alias("annotation_id"), "category", F.coalesce(x, none).alias("x"), F.coalesce(y, none).alias("label_y"))
 
 
-@query(_COCO + """SELECT (SELECT count(*) FROM img WHERE id < 50) AS n_images, (SELECT count(*) FROM an WHERE image_id < 50) AS n_annotations, (SELECT count(*) FROM cat) AS n_categories""")
+@query(_COCO + """SELECT an.id, image_id, category_id, qty AS area, obj AS x, (SELECT count(*) FROM img) AS n_images, (SELECT count(*) FROM cat) AS n_categories,
+ (SELECT string_agg(name, ',' ORDER BY cid) FROM cat) AS names, (SELECT md5(string_agg(id::VARCHAR || ':' || file_name, ',' ORDER BY id)) FROM img) AS images_md5 FROM an""")
 def coco_document(spark, d):
+    """The document of all images and annotations, read again from its JSON."""
     img, an, cats = _coco(spark, d)
-    doc = ann.document(img.where("id < 50").drop("o_orderkey", "cam"), an.where("image_id < 50").select("id", "image_id", "category_id", "bbox", "area"), cats)
-    n = lambda c: F.json_array_length(F.get_json_object("value", f"$.{c}")).cast("long").alias(f"n_{c}")
-    return doc.select(n("images"), n("annotations"), n("categories"))
-
-
-@query(_COCO + "SELECT (SELECT count(*) FROM img) AS n_images, (SELECT count(*) FROM an) AS n_annotations, (SELECT count(*) FROM cat) AS n_categories")
-def coco_document_whole(spark, d):
-    """coco_document over all images and annotations."""
-    img, an, cats = _coco(spark, d)
-    doc = ann.document(img.drop("o_orderkey", "cam"), an.select("id", "image_id", "category_id", "bbox", "area"), cats)
-    n = lambda c: F.json_array_length(F.get_json_object("value", f"$.{c}")).cast("long").alias(f"n_{c}")
-    return doc.select(n("images"), n("annotations"), n("categories"))
+    an = an.select("id", "image_id", "category_id", "bbox", "area").withColumn("metadata", F.lit(None).cast("struct<shape:string>"))
+    doc = ann.document(img.drop("o_orderkey", "cam"), an, cats)
+    kinds = "images array<struct<id: long, file_name: string>>, annotations array<struct<id: long, image_id: long, category_id: int, bbox: array<int>, area: int>>, categories array<struct<id: int, name: string>>"
+    r = doc.select(F.inline(F.array(F.from_json("value", kinds))))  # parsed once
+    listed = F.transform("images", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["file_name"]))
+    r = r.select(
+        F.size("images").cast("long").alias("n_images"), F.size("categories").cast("long").alias("n_categories"), F.array_join("categories.name", ",").alias("names"),
+        F.md5(F.array_join(listed, ",")).alias("images_md5"), "annotations",
+    )
+    r = r.select("n_images", "n_categories", "names", "images_md5", F.inline("annotations"))
+    return r.select("id", "image_id", "category_id", "area", F.col("bbox")[0].alias("x"), "n_images", "n_categories", "names", "images_md5")
 
 
 @query("SELECT l_linenumber AS v, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1")

@@ -6,16 +6,17 @@ listed too, which recursive file sources skip.
 
 from __future__ import annotations
 
+import re
 from fnmatch import fnmatchcase
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 
 
 def walk(spark: SparkSession, root: str, pattern: str, recursive: bool = True) -> list[str]:
-    """Paths under root whose name matches, sorted by components."""
+    """Paths under root whose name matches, sorted by components; with scheme and store, but for local files."""
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -27,10 +28,15 @@ def walk(spark: SparkSession, root: str, pattern: str, recursive: bool = True) -
             if status.isDirectory():
                 todo += [status.getPath()] if recursive else []
             elif fnmatchcase(status.getPath().getName(), pattern):
-                found.append(status.getPath().toUri().getPath())
+                found.append(re.sub("^file:/+", "/", status.getPath().toString()))
     return sorted(found, key=lambda p: p.split("/"))
 
 
+def plain_path(uri: Column) -> Column:
+    """A reader's file URI as walk() writes paths: percent signs decoded (a plus stays one), no scheme for local files."""
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+
+
 def listing(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, dir, stem, ordinal) in the given order."""
     df = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, ordinal long")

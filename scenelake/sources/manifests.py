@@ -6,23 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .files import walk
+from .files import plain_path, walk
 
 NAME = "manifest_entry.json"
+SIZE = "$.target_size_m_estimated"
 SCHEMA = "sku string, title string, shape string, target_size_m_estimated string"
 
 
 def parse(raw: DataFrame) -> DataFrame:
     """(dir, raw, m_sku, title, m_shape, m_size) of rows (path, raw). A file that is no JSON object raises.
 
-    m_size is the size key as a number: a JSON true counts as 1 and false as 0, strings do not count.
+    m_size is the object's own size key as a number (keys of objects within it do not count): a JSON true counts as 1
+    and false as 0, strings do not count.
     """
     ok = F.json_object_keys("raw").isNotNull()
     checked = raw.withColumn("raw", F.when(ok, F.col("raw")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.col("path")))))
     e = F.from_json("raw", SCHEMA)
-    token = F.regexp_extract("raw", r'"target_size_m_estimated"\s*:\s*(?:(true)|(false)|([-+0-9.eE]+))\s*[,}]', 0)
-    value = F.regexp_extract(token, r":\s*([^,}\s]+)", 1)
-    size = F.when(value == "true", 1.0).when(value == "false", 0.0).otherwise(F.nullif(value, F.lit("")).try_cast("double"))
+    whole = F.try_parse_json("raw")
+    kind = F.schema_of_variant(F.try_variant_get(whole, SIZE, "variant"))
+    size = F.when(kind == "BOOLEAN", F.try_variant_get(whole, SIZE, "boolean").cast("double")).when(kind != "STRING", F.try_variant_get(whole, SIZE, "double"))
     return checked.select(
         text.parent_path(F.col("path")).alias("dir"), "path", "raw", e["sku"].alias("m_sku"), e["title"].alias("title"),
         e["shape"].alias("m_shape"), size.alias("m_size"),
@@ -35,4 +37,4 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     if not paths:
         raise FileNotFoundError(f"no {NAME} in {root}")
     df = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("raw"))
-    return parse(df.select(F.regexp_replace(F.url_decode("uri"), "^[a-z]+:/+", "/").alias("path"), "raw"))
+    return parse(df.select(plain_path(F.col("uri")).alias("path"), "raw"))

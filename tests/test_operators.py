@@ -235,3 +235,73 @@ def test_sized_stream(spark, tmp_path):
     q = sized_replies(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("sized").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r["path"], r["status"], r["size_m"]) for r in spark.table("sized").collect()} == {("p", "done", 0.12), ("q", "fail", None)}
+
+
+def test_sidecar_paths_and_sizes(spark, tmp_path):
+    """Directories with a plus, a space and a percent sign; a size key inside another object does not count."""
+    names = ["a+b", "a b", "100%", "_hidden"]
+    for k, n in enumerate(names):
+        (tmp_path / n).mkdir()
+        (tmp_path / n / "x.glb").write_bytes(b"")
+        own = ["", ', "target_size_m_estimated": 0.25', ', "target_size_m_estimated": true', ', "target_size_m_estimated": "0.5"'][k]
+        (tmp_path / n / manifests.NAME).write_text('{"sku": "s%d", "extra": {"target_size_m_estimated": 0.9}%s}' % (k, own))
+    side = manifests.read(spark, str(tmp_path))
+    assert sorted(r["dir"].split("/")[-1] for r in side.collect()) == sorted(names)
+    both = assets.with_sidecars(files.assets(spark, str(tmp_path)), side)
+    got = {r["dir"].split("/")[-1]: (r["m_sku"], r["m_size"], r["path"][-5:]) for r in both.collect()}
+    assert got == {"a+b": ("s0", None, "x.glb"), "a b": ("s1", 0.25, "x.glb"), "100%": ("s2", 1.0, "x.glb"), "_hidden": ("s3", None, "x.glb")}
+    assert both.select("path").count() == 4
+    uri = spark.range(1).select(files.plain_path(F.lit("hdfs://nn:8020/data/a+b%20c/x")).alias("a"), files.plain_path(F.lit("s3a://box/a%25")).alias("b"), files.plain_path(F.lit("file:///r/x")).alias("c")).first()
+    assert tuple(uri) == ("hdfs://nn:8020/data/a+b c/x", "s3a://box/a%", "/r/x")
+
+
+def test_backgrounds_environments_and_images(spark, tmp_path):
+    for n in ("b.jpg", "a.jpg", "c.png", "d.jpeg", "e.gif"):
+        (tmp_path / n).write_bytes(n.encode())
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "f.jpg").write_bytes(b"f")
+    found = files.backgrounds(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert [r["stem"] for r in found] == ["a", "b", "c", "d"]
+    assert files.backgrounds(spark, str(tmp_path / "none")).count() == 0
+    env = files.environments(spark.range(50).withColumnRenamed("id", "scene"), "/h.hdr", 3, "scene").collect()
+    assert {r["hdri_path"] for r in env} == {"/h.hdr"}
+    assert all(0.7 <= r["hdri_strength"] <= 1.3 for r in env)
+    assert len({r["hdri_strength"] for r in env}) > 40
+    images = {r["path"].split("/")[-1]: bytes(r["content"]) for r in datasets.read_images(spark, str(tmp_path)).collect()}
+    assert images["a.jpg"] == b"a.jpg"
+    assert images["f.jpg"] == b"f"
+
+
+def test_product_without_category_raises(spark):
+    image = spark.createDataFrame([(0, 1)], "id long, scene long")
+    seen = spark.createDataFrame([(1, 1, "known", 5), (1, 2, "new", 5), (1, 3, "new", 0)], "scene long, obj int, sku string, area int")
+    cats = spark.createDataFrame([(1, "known")], "id int, name string")
+    assert annotations.annotations(seen.where("obj <> 2"), image, cats, ["scene"], "obj").count() == 1
+    with pytest.raises(Exception, match="product without a category: new"):
+        annotations.annotations(seen, image, cats, ["scene"], "obj").collect()
+
+
+def test_document_leaves_absent_keys_out(spark):
+    schema = "id long, amodal_segmentation struct<size:array<int>,counts:string>, metadata struct<shape:string,layer:int>"
+    an = spark.createDataFrame([(1, None, None), (0, ([2, 3], "12"), (None, 4))], schema)
+    one = spark.createDataFrame([(1, "x")], "id int, name string")
+    doc = json.loads(annotations.document(one, an, one.where("false")).first()["value"])
+    assert doc == {
+        "images": [{"id": 1, "name": "x"}],
+        "annotations": [{"id": 0, "amodal_segmentation": {"size": [2, 3], "counts": "12"}, "metadata": {"shape": None, "layer": 4}}, {"id": 1}],
+        "categories": [],
+    }
+
+
+def test_scenes_with_overlap_is_as_by_pairs(spark):
+    r = np.random.default_rng(5)
+    rows = [(int(s), i, *[[float(x) for x in lo], [float(x) for x in lo + 0.5]], bool(i % 3 == 0)) for s in range(60) for i, lo in enumerate(r.uniform(-0.9, 0.9, (4, 3)))]
+    d = spark.createDataFrame(rows, "s long, i int, lo array<double>, hi array<double>, st boolean")
+    for tolerance in (0.0, 0.05):
+        pairs = overlap.overlapping_pairs(d, ["s"], "i", "lo", "hi", tolerance, "st")
+        want = overlap.any_overlap(d.select("s").distinct(), pairs, ["s"]).collect()
+        got = overlap.scenes_with_overlap(d, ["s"], "i", "lo", "hi", tolerance, "st").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+        assert len({x[1] for x in got}) == 2
+    first = overlap.first_passing(spark.createDataFrame([(1, 0, True), (1, 1, False), (2, 0, True)], "s int, attempt int, has_overlap boolean"), ["s"])
+    assert tuple(overlap.success_counts(first).first()) == (1, 2)
