@@ -137,31 +137,39 @@ def _equal_runs(data: np.ndarray, at: np.ndarray, size: np.ndarray, new: np.ndar
         new[todo[~same]] = True
 
 
-def pack(ids: np.ndarray, keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, lens: np.ndarray, offs: np.ndarray, text: np.ndarray) -> bytes:
-    """Contexts as one compressed block: id, key, first window in the document, length, anchor's offset, bytes."""
+def pack(ids: np.ndarray, keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, lens: np.ndarray, offs: np.ndarray, text: np.ndarray, cuts: np.ndarray) -> bytes:
+    """Contexts as one compressed block: id, key, first window in the document, length, anchor's offset, bytes.
+
+    cuts: the rows at which each of the SUBS ranges of anchors begins, and the number of rows.
+    """
     import zstandard
 
     used, which = np.unique(docs, return_inverse=True)
     wide = "<u1" if not len(lens) or lens.max() < 256 else "<u4"
-    head = np.array([len(docs), len(used), np.dtype(wide).itemsize], dtype="<i8").tobytes()
+    head = np.array([len(docs), len(used), np.dtype(wide).itemsize, *cuts], dtype="<i8").tobytes()
     small = which.astype("<u2" if len(used) < 65536 else "<u4")
     body = ids[used].astype("<i8").tobytes() + keys[used].astype("<i8").tobytes() + small.tobytes() + starts.astype("<u4").tobytes() + lens.astype(wide).tobytes() + offs.astype(wide).tobytes()
     return head + zstandard.ZstdCompressor(level=3).compress(body + text.tobytes())
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+def unpack(blob: bytes, sub: int) -> tuple[np.ndarray, ...]:
+    """(id, key, start, length, anchor's offset, bytes) of a block's contexts in one range of anchors."""
     import zstandard
 
-    n, m, width = map(int, np.frombuffer(blob, dtype="<i8", count=3))
-    body = zstandard.ZstdDecompressor().decompress(memoryview(blob)[24:])
-    wide = f"<u{width}"
+    n, m, width, *cuts = map(int, np.frombuffer(blob, dtype="<i8", count=4 + SUBS))
+    body = zstandard.ZstdDecompressor().decompress(memoryview(blob)[8 * (4 + SUBS) :])
+    wide, lo, hi = f"<u{width}", cuts[sub], cuts[sub + 1]
     at = 0
     out = []
     for kind, count in (("<i8", m), ("<i8", m), ("<u2" if m < 65536 else "<u4", n), ("<u4", n), (wide, n), (wide, n)):
         out.append(np.frombuffer(body, dtype=kind, count=count, offset=at))
         at += out[-1].nbytes
     ids, keys, which, starts, lens, offs = out
-    return ids[which], keys[which], starts.astype(np.int64), lens.astype(np.int64), offs.astype(np.int64), np.frombuffer(body, dtype=np.uint8, offset=at)
+    at += int(lens[:lo].sum(dtype=np.int64))
+    text = np.frombuffer(body, dtype=np.uint8, count=int(lens[lo:hi].sum(dtype=np.int64)), offset=at)
+    rows = slice(lo, hi)
+    # a copy of the bytes: a view would keep the whole block
+    return ids[which[rows]], keys[which[rows]], starts[rows].astype(np.int64), lens[rows].astype(np.int64), offs[rows].astype(np.int64), text.copy()
 
 
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -353,25 +361,26 @@ def _ship(chunk: list, shards: int, length: int):
         of, lo, hi = _runs(doc[late], offset[late], offset[late] + size[late])
         known = (ids[of], keys[of], lo, hi)
     go = np.flatnonzero(~late)
-    shard = (h[go] >> np.uint64(7)) % np.uint64(shards)
-    go = go[np.lexsort((h[go], shard))]
-    shard = (h[go] >> np.uint64(7)) % np.uint64(shards)
+    shard, sub = (h[go] >> np.uint64(7)) % np.uint64(shards), (h[go] >> np.uint64(40)) % np.uint64(SUBS)
+    by = np.lexsort((h[go], sub, shard))
+    go, shard, sub = go[by], shard[by], sub[by]
     cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
     blocks = []
     for lo, hi in zip(cut, np.append(cut[1:], len(go)), strict=True):
         r = go[lo:hi]
-        blocks.append((int(shard[lo]), pack(ids, keys, doc[r], offset[r], size[r], anchor[r] - first[r], _gather(data, first[r], size[r]))))
+        cuts = np.searchsorted(sub[lo:hi], np.arange(SUBS + 1, dtype=np.uint64))
+        blocks.append((int(shard[lo]), pack(ids, keys, doc[r], offset[r], size[r], anchor[r] - first[r], _gather(data, first[r], size[r]), cuts)))
     return blocks, known
 
 
 def _part(blob: bytes, sub: int) -> tuple[np.ndarray, ...]:
     """(doc, key, start, size, anchor hash, bytes) of a block's contexts in one range of anchors."""
-    doc, key, start, size, off, text = unpack(blob)
-    at = np.cumsum(size) - size
+    doc, key, start, size, off, text = unpack(blob, sub)
+    if not len(doc):
+        return doc, key, start, size, np.zeros(0, dtype=np.uint64), text
+    at = np.cumsum(size) - size + off
     words = np.lib.stride_tricks.as_strided(text, shape=(len(text) - 7, 8), strides=(1, 1)).view("<u8")
-    h = _gram_hash_of(words[at + off, 0], words[at + off + 8, 0])
-    mine = np.flatnonzero((h >> np.uint64(40)) % np.uint64(SUBS) == sub)
-    return doc[mine], key[mine], start[mine], size[mine], h[mine], _gather(text, at[mine], size[mine])
+    return doc, key, start, size, _gram_hash_of(words[at, 0], words[at + 8, 0]), text
 
 
 def _matches(parts: list[tuple[np.ndarray, ...]], length: int) -> Iterator[pd.DataFrame]:
