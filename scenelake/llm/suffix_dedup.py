@@ -11,7 +11,7 @@ A byte goes if it is covered by a LENGTH-byte string that also starts in a docum
    anchor occurs in one document only are put aside; of equal ones (hashes agree and then the bytes are compared), the least
    document's and all later documents' stay as one string each, so thousands of copies cost two. A shard is PIECE bytes
    of these strings: they are suffix-sorted by their first 8 bytes, then by Larsson and Sadakane's refinement (groups
-   that are not yet single are sorted by the rank of the suffix h further on, h doubling) until the order is fixed.
+   that are not yet single are sorted by the ranks of the suffixes h and 2h further on, h trebling) until the order is fixed.
    Kasai's inequality gives the common prefixes of neighbours in text order; a run of prefixes of LENGTH or more is one
    set of equal windows.
 3. Merging. Shards are cut in the order (anchor, document), so windows can be equal across shards only for the anchor at
@@ -173,7 +173,11 @@ def unpack(blob: bytes, sub: int) -> tuple[np.ndarray, ...]:
 
 
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, rank) by Larsson and Sadakane's refinement, the first step on 8 bytes."""
+    """(suffix array, rank) by Larsson and Sadakane's refinement, the first step on 8 bytes.
+
+    Groups that are not yet single are sorted by the ranks of the suffixes h and 2h further on, so h trebles; suffixes
+    of single groups are not looked at again.
+    """
     n = len(data)
     key = _words(np.concatenate([data, np.zeros(8, dtype=np.uint8)]))[:n].byteswap()
     sa = np.argsort(key).astype(np.int32)
@@ -191,23 +195,22 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             sa[lo:hi], short = sa[lo:hi][by], short[by]
             new[lo + 1 : hi] |= short[1:] != short[:-1]
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
-    h = 8
-    while True:
-        edge = np.append(np.flatnonzero(new), n)
-        size = np.diff(edge)
-        if (size == 1).all():
-            return sa, rank[:n]
-        wide = size > 1
-        slots = np.repeat(edge[:-1][wide] - np.cumsum(size[wide]) + size[wide], size[wide]) + np.arange(size[wide].sum())
-        suffix = sa[slots]
-        both = rank[suffix].astype(np.int64) * (n + 1) + rank[np.minimum(suffix + h, n)] + 1
-        order = np.argsort(both)
-        sa[slots], both = suffix[order], both[order]
+    h, many = 8, 3 if n < 2_000_000 else 2  # as many ranks as one number holds
+    slots = np.flatnonzero(~(new & np.append(new[1:], True)))
+    while len(slots):
+        suffix = sa[slots].astype(np.int64)
+        key = rank[suffix].astype(np.int64)
+        for k in range(1, many):
+            key = key * (n + 1) + (rank[np.minimum(suffix + k * h, n)] + 1)
+        order = np.argsort(key)
+        suffix, key = suffix[order], key[order]
+        sa[slots] = suffix
         fresh = np.ones(len(slots), dtype=bool)
-        fresh[1:] = both[1:] != both[:-1]
-        new[slots] = fresh
-        rank[sa[slots]] = np.maximum.accumulate(np.where(fresh, slots, 0))
-        h *= 2
+        fresh[1:] = key[1:] != key[:-1]
+        rank[suffix] = np.maximum.accumulate(np.where(fresh, slots, 0))
+        slots = slots[~(fresh & np.append(fresh[1:], True))]
+        h *= many
+    return sa, rank[:n]
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray, starts: np.ndarray, counts: np.ndarray, most: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
