@@ -350,13 +350,14 @@ def _ship(chunk: list, shards: int, length: int):
     size = last - first + length
     if not len(doc):
         return [], None
-    # equal contexts: those of the least document travel; chunks are in the order of doc ids, so it stands first
+    # equal contexts, which have equal anchors too: those of the least document travel
     content = _content_hash(data, first, size)
-    order = np.lexsort((np.arange(len(doc)), content, h))
-    new = np.append(True, (content[order][1:] != content[order][:-1]) | (h[order][1:] != h[order][:-1]))
-    new = _equal_runs(data, first[order], size[order], new)
+    order = np.argsort(content)
+    content = content[order]
+    new = _equal_runs(data, first[order], size[order], np.append(True, content[1:] != content[:-1]))
     least = np.empty(len(doc), dtype=np.int64)
-    least[order] = ids[doc[order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]]]
+    runs = np.flatnonzero(new)
+    least[order] = np.repeat(np.minimum.reduceat(ids[doc[order]], runs), np.diff(np.append(runs, len(order))))
     late = ids[doc] > least
     offset = bases[doc] + first - starts[doc]
     known = None
@@ -365,7 +366,9 @@ def _ship(chunk: list, shards: int, length: int):
         known = (ids[of], keys[of], lo, hi)
     go = np.flatnonzero(~late)
     shard, sub = (h[go] >> np.uint64(7)) % np.uint64(shards), (h[go] >> np.uint64(40)) % np.uint64(SUBS)
-    by = np.lexsort((h[go], sub, shard))
+    # by shard, range and anchor as one number, the anchor's last bits left out
+    wide = np.uint64((shards * SUBS - 1).bit_length())
+    by = np.argsort(((shard * np.uint64(SUBS) + sub) << (np.uint64(64) - wide)) | (h[go] >> wide))
     go, shard, sub = go[by], shard[by], sub[by]
     cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
     blocks = []
@@ -394,19 +397,18 @@ def _matches(parts: list[tuple[np.ndarray, ...]], length: int) -> Iterator[pd.Da
         return
     at = np.cumsum(size) - size
     # anchors of one document only are put aside
-    order = np.lexsort((doc, h))
+    order = np.argsort(h)
     cut = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
-    size_of = np.diff(np.append(cut, len(h)))
-    shared = np.repeat(doc[order[cut]] != doc[order[cut + size_of - 1]], size_of)
+    by_anchor = doc[order]
+    shared = np.repeat(np.minimum.reduceat(by_anchor, cut) != np.maximum.reduceat(by_anchor, cut), np.diff(np.append(cut, len(h))))
     order = order[shared]
     if not len(order):
         return
     # of equal contexts, those of the least document and those of all others are one string each
     content = _content_hash(text, at[order], size[order])
-    order = order[np.lexsort((start[order], key[order], doc[order], content, h[order]))]
-    content = _content_hash(text, at[order], size[order])
-    new = np.append(True, (content[1:] != content[:-1]) | (h[order][1:] != h[order][:-1]))
-    new = _equal_runs(text, at[order], size[order], new)
+    by_content = np.lexsort((doc[order], content))
+    order, content = order[by_content], content[by_content]
+    new = _equal_runs(text, at[order], size[order], np.append(True, content[1:] != content[:-1]))
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     later = doc[order] > doc[order[head]]
     new |= np.append(False, later[1:] & ~later[:-1])
