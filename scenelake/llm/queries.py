@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, decontam_pigeonhole, entropy_mix, html_lstm, pii_boost, quality_ledger, simhash_bktree, suffix_dedup, toxicity_gbt, url_pagerank
+from . import bitslice_negatives, block_norm_kmeans, bpe_count, bpe_replay, decontam_pigeonhole, entropy_mix, html_lstm, pii_boost, quality_ledger, simhash_bktree, suffix_dedup, toxicity_gbt, url_pagerank
 from .common import table
 
 
@@ -55,6 +55,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_pagerank.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe_replay.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    out = bpe_replay.decode(ids, path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bitslice_negatives.mine(table(spark, sf_dir, "embeddings"))
+    return out.select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_norm_kmeans.digest(*block_norm_kmeans.cluster(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -66,6 +84,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_html_extraction": op9_html_extraction,
     "op10_url_filter": op10_url_filter,
+    "op11_bpe_round_trip": op11_bpe_round_trip,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 _QUALITY_SQL = r"""
@@ -157,7 +178,50 @@ SELECT doc_id, size, source_size, target, (size * (base + CASE WHEN more THEN 1
 FROM e LEFT JOIN g USING (row_id)
 """
 
+_WHOLE = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)"
+_GIVEN = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+_NEGATIVES_SQL = f"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_GIVEN}),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """The rounds one after the other."""
+    squares = "list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = [
+        f"e AS MATERIALIZED (SELECT row_number() OVER () AS row_id, vec_id, {_WHOLE} AS v FROM embeddings WHERE len(embedding) = 64 AND {_GIVEN})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), v) - 1 AS c, v FROM e QUALIFY c < {k})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT e.row_id, e.vec_id, e.v, min({{'d': {squares}, 'c': c.c}}) AS n FROM e, c{r} c GROUP BY 1, 2, 3)")
+        if r < rounds:
+            steps.append(
+                f"m{r} AS (SELECT n.c AS c, i, floor(sum(v[i]) / count(*))::BIGINT AS x FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2),"
+                f"c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(w.v, c{r}.v) AS v FROM c{r} LEFT JOIN (SELECT c, list(x ORDER BY i) AS v FROM m{r} GROUP BY 1) w USING (c))"
+            )
+    return "WITH " + ",".join(steps) + f"""
+SELECT vec_id, n.c::INTEGER AS cluster, n.d AS distance, (sum(n.d) OVER (PARTITION BY n.c))::BIGINT AS cluster_inertia, (sum(n.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.n.c"""
+
+
 ORACLE_SQL = {
+    "op12_hard_negatives": _NEGATIVES_SQL,
+    "op13_centroid_clusters": _clusters_sql(),
     "op5_quality_rules": _QUALITY_SQL,
     "op7_mix_sources": _MIX_SQL,
 }
