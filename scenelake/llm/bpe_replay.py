@@ -20,19 +20,22 @@ empty table gives an empty result; of further columns encode() keeps none, decod
 from __future__ import annotations
 
 import base64
+from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_count import SPACE
 from .vectors import column
 
-#: Bytes of pieces and their tokens that a task remembers, and characters of text whose new pieces are encoded together.
-MOST_BYTES, CORPUS_CHARS = 64_000_000, 32_000_000
+#: Bytes of pieces and their tokens that a task remembers, and of text whose new pieces are encoded together.
+MOST_BYTES, CORPUS_BYTES = 64_000_000, 8_000_000
 #: What one remembered piece takes besides its bytes, about.
 _ENTRY = 200
 #: No rank is as high; a rank takes fewer bits.
@@ -185,49 +188,54 @@ def replay(pieces: list[bytes], words: Vocabulary) -> tuple[np.ndarray, np.ndarr
 
 
 class Encoder:
-    """Texts to the bytes of their ids; pieces met before are remembered."""
+    """Texts to their ids. A piece has a number; the ids of all pieces stand one after the other, by number."""
 
     def __init__(self, words: Vocabulary, pattern: str, most: int = MOST_BYTES) -> None:
         import regex
 
         self.words, self.find, self.most = words, regex.compile(spelled(pattern)).findall, most
-        self.known: dict[str, bytes] = {}
-        self.held = 0
-
-    def learn(self, pieces: set[str]) -> None:
-        new = list(pieces)
-        ids, count = replay([p.encode("utf-8", "replace") for p in new], self.words)
-        ids, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(count)
-        for p, lo, hi in zip(new, (ends - 4 * count).tolist(), ends.tolist(), strict=True):
-            self.known[p] = ids[lo:hi]
-            self.held += _ENTRY + 4 * len(p) + hi - lo
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts that are one corpus: what is new in them is encoded together."""
-        cut = [self.find(t) for t in texts]
-        if self.held > self.most:
-            self.known.clear()
-            self.held = 0
-        new = set().union(*cut).difference(self.known) if cut else set()
-        if new:
-            self.learn(new)
-        known = self.known.__getitem__
-        return [b"".join(map(known, pieces)) for pieces in cut]
-
+        self.forget()
 
-def _corpora(texts: list[str], most: int) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        if part and size + len(t) > most:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield part
+    def forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.ids, self.ends, self.held = np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
 
+    def learn(self) -> None:
+        """Encode the pieces that have a number but no ids yet: one corpus."""
+        new = [p.encode("utf-8", "replace") for p in islice(self.number, len(self.ends) - 1, None)]
+        if new:
+            ids, n = replay(new, self.words)
+            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+            self.held += sum(map(len, new)) + 4 * len(ids) + _ENTRY * len(new)
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text", corpus: int = CORPUS_CHARS) -> DataFrame:
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, the number of each text's); what is new in the texts is encoded together."""
+        if self.held > self.most:
+            self.forget()
+        number = self.number.__getitem__
+        pieces = [np.fromiter(map(number, cut), np.int32, len(cut)) for cut in map(self.find, texts)]
+        self.learn()
+        n_pieces = np.array([len(p) for p in pieces], np.int64)
+        at = np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
+        size = (self.ends[at + 1] - self.ends[at]).astype(np.int32)
+        ends = np.cumsum(size, dtype=np.int64)
+        index = np.repeat(self.ends[at] - (ends - size), size)
+        index += np.arange(len(index))
+        total = np.append(0, ends)[np.cumsum(n_pieces)] if len(texts) else np.zeros(0, np.int64)
+        return self.ids[index], np.diff(total, prepend=0)
+
+
+def _parts(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive rows of about ``most`` bytes; a longer row is a part of its own."""
+    ends, lo = np.cumsum(size, dtype=np.int64), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text", corpus: int = CORPUS_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids), one row per row of docs; ids: little-endian unsigned 32-bit numbers one after the other.
 
     path: a file of base64 tokens and ranks; pattern: what cuts a text into pieces.
@@ -238,12 +246,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(words.value, pattern)
         for b in batches:
-            at = 0
-            for part in _corpora(column(b, "text").to_pylist(), corpus):
-                ids = encoder(part)
-                n = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([column(b, "doc_id").slice(at, len(part)), n, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
-                at += len(part)
+            size = pc.binary_length(column(b, "text")).to_numpy()
+            for lo, hi in _parts(size, corpus):
+                ids, n = encoder(column(b, "text").slice(lo, hi - lo).to_pylist())
+                at = pa.py_buffer(np.append(0, 4 * np.cumsum(n)).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), len(n), [None, at, pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([column(b, "doc_id").slice(lo, hi - lo), pa.array(n), packed], ["doc_id", "n_tokens", "ids"])
 
     return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, n_tokens long, ids binary")
 
@@ -256,7 +264,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = tokens.value
         for b in batches:
-            out = [b"".join(map(token.__getitem__, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in column(b, ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
+            size = pc.binary_length(column(b, ids)).fill_null(0).to_numpy()
+            for lo, hi in _parts(size, CORPUS_BYTES):
+                part = b.slice(lo, hi - lo)
+                out = [b"".join(map(token.__getitem__, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in column(part, ids).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in encoded.columns) + ", decoded binary")
