@@ -14,7 +14,7 @@ tile are open a plane is one product of matrices; once few are, the planes that
 the interval is the score itself.
 
 At scale: the anchors are a stated query set against all rows, in blocks. Anchors are dealt by hash into blocks of about
-BLOCK; rows are dealt into as many buckets as keep all tasks busy; a cell (anchor block, bucket) holds its anchors once and
+BLOCK; rows are dealt into as many buckets as keep all tasks busy, of LEAST rows or more; a cell (anchor block, bucket) holds its anchors once and
 streams its rows past them, keeping a few best scores per anchor, so a task's memory is a block of anchors and one tile.
 Cells come to their tasks by one shuffle; the best of the cells meet in a ranked window over a few rows per anchor and
 cell. Rows are sent once for each anchor block. Nothing is collected; nothing but the counts is known
@@ -48,6 +48,8 @@ LOW, HIGH = 50, 95
 SHIFT_EVERY, LABELS = 7, 10
 #: Anchors in a block, on the average, and those multiplied at a time; rows in a tile.
 BLOCK, TILE_ANCHORS, TILE = 4096, 512, 2048
+#: Rows in a bucket, at least, on the average.
+LEAST = 512
 #: Share of a tile's pairs that are open, from which on planes are taken pair by pair.
 SPARSE = 0.05
 _NO_ID = np.iinfo(np.int64).max
@@ -232,7 +234,7 @@ def _cells(rows: DataFrame, anchors: DataFrame, task: type) -> DataFrame:
     """The task's output over all cells; anchors hold the rows' columns and what the task needs besides."""
     n = partitions(rows.sparkSession)
     blocks = max(1, -(-anchors.count() // BLOCK))
-    buckets = max(1, -(-2 * n // blocks))
+    buckets = max(1, min(-(-2 * n // blocks), -(-rows.count() // LEAST)))
     by = ["block", "bucket"]
     more = [c for c in anchors.columns if c not in rows.columns]
     nothing = [F.lit(None).cast(dict(anchors.dtypes)[c]).alias(c) for c in more]
