@@ -121,6 +121,35 @@ def look_at_basis(location: Column, target: Column) -> Column:
     return let(back, lambda b: let(F.sqrt(b[0] * b[0] + b[1] * b[1]), lambda flat: axes(b, flat)))
 
 
+def euler_basis(angles: Column) -> Column:
+    """Right, up and backward axes of a camera turned about x, then y, then z by angles in radians: array of nine, as
+    look_at_basis; an unturned camera looks down with y up."""
+
+    def axes(c: Column, s: Column) -> Column:
+        return F.array(
+            c[1] * c[2], c[1] * s[2], -s[1],
+            s[0] * s[1] * c[2] - c[0] * s[2], s[0] * s[1] * s[2] + c[0] * c[2], s[0] * c[1],
+            c[0] * s[1] * c[2] + s[0] * s[2], c[0] * s[1] * s[2] - s[0] * c[2], c[0] * c[1],
+        )
+
+    cos, sin = F.transform(angles, lambda a: F.cos(a)), F.transform(angles, lambda a: F.sin(a))
+    return let(cos, lambda c: let(sin, lambda s: axes(c, s)))
+
+
+def basis_euler(basis: Column) -> Column:
+    """The angles about x, y and z, in radians, whose euler_basis is the basis; y lies within a quarter turn.
+
+    Where the right axis points straight up or down only the sum of the other two is fixed, and z is 0.
+    """
+
+    def angles(b: Column, flat: Column) -> Column:
+        fixed = flat < 1e-6
+        x = F.when(fixed, F.atan2(-b[7], b[4])).otherwise(F.atan2(b[5], b[8]))
+        return F.array(x, F.atan2(-b[2], flat), F.when(fixed, 0.0).otherwise(F.atan2(b[1], b[0])))
+
+    return let(basis, lambda b: let(F.sqrt(b[0] * b[0] + b[1] * b[1]), lambda flat: angles(b, flat)))
+
+
 def quantise(x: Column, places: int = 6) -> Column:
     """Rounded by floor(x + 1/2), the same in every SQL engine."""
     f = 10.0**places

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def _key(seed: int, keys: tuple) -> Column:
-    cols = [F.lit(str(seed)), *[(k.cast("string") if isinstance(k, Column) else F.lit(str(k))) for k in keys]]
+    # a null key is a key of its own: concat_ws would leave it out
+    cols = [F.lit(str(seed)), *[(F.coalesce(k.cast("string"), F.lit("\x00null")) if isinstance(k, Column) else F.lit(str(k))) for k in keys]]
     return F.md5(F.concat_ws("|", *cols))
 
 

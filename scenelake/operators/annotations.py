@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..scratch import written
 from .ids import dense_ids
 
 
@@ -60,8 +63,25 @@ def _json(df: DataFrame) -> Column:
     return F.concat(F.left(head, F.length(head) - 1), *more, F.lit("}"))
 
 
+def document_lines(image_table: DataFrame, annotation_table: DataFrame, categories: DataFrame) -> DataFrame:
+    """(section, rank, id, value): the lines of one JSON document in that order, one for each object; ids are distinct.
+
+    The line breaks are white space to a JSON reader. Which object is its section's first, and so has no comma before it,
+    is one number for each section.
+    """
+    head = image_table.sparkSession.createDataFrame(
+        [(0, 0, None, '{"images":['), (1, 0, None, '],"annotations":['), (2, 0, None, '],"categories":['), (3, 0, None, "]}")], "section int, rank int, id long, value string",
+    )
+    each = [df.select(F.lit(k).alias("section"), F.lit(1).alias("rank"), F.col("id").cast("long").alias("id"), _json(df).alias("value")) for k, df in enumerate((image_table, annotation_table, categories))]
+    rows = written(reduce(DataFrame.unionByName, each), "document-rows")
+    first = rows.groupBy(F.col("section").alias("__s")).agg(F.min("id").alias("__first"))  # three rows
+    rows = rows.join(F.broadcast(first), F.col("section") == F.col("__s"))
+    comma = F.when(F.col("id") > F.col("__first"), ",").otherwise("")
+    return head.unionByName(rows.select("section", "rank", "id", F.concat(comma, "value").alias("value")))
+
+
 def document(image_table: DataFrame, annotation_table: DataFrame, categories: DataFrame) -> DataFrame:
-    """One row, one JSON string: images, annotations, categories by id. For datasets that fit one file; tables are the main form."""
+    """One row, one JSON string: images, annotations, categories by id. For datasets that fit one row; see document_lines."""
     whole = None
     for name, df in (("images", image_table), ("annotations", annotation_table), ("categories", categories)):
         rows = df.select("id", _json(df).alias("r")).agg(F.sort_array(F.collect_list(F.struct("id", "r"))).alias(name))
@@ -70,4 +90,4 @@ def document(image_table: DataFrame, annotation_table: DataFrame, categories: Da
     return whole.select(F.concat(F.lit("{"), F.concat_ws(",", "images", "annotations", "categories"), F.lit("}")).alias("value"))
 
 
-__all__ = ["annotations", "document", "flat", "images", "label_anchor", "metadata"]
+__all__ = ["annotations", "document", "document_lines", "flat", "images", "label_anchor", "metadata"]

@@ -5,20 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
 
-def dense_ids(df: DataFrame, major: str, minor: list[str | Column], name: str = "id", start: int = 0, block: int = 4096) -> DataFrame:
-    """df with ids in the order (major, minor), from start on. major: a whole number, not null.
+#: monotonically_increasing_id: the partition's number above these bits, the row's place in it below.
+_PLACE_BITS = 33
 
-    Rows are numbered within blocks of major keys; a block's offset is a running sum over the per-block counts, of
-    which there are a block's fraction of the keys. Only that count table meets in one task.
+
+def dense_ids(df: DataFrame, major: str | Column, minor: list[str | Column], name: str = "id", start: int = 0) -> DataFrame:
+    """df with ids in the order (major, minor), from start on.
+
+    df is planned once: its rows are sorted by range and written with their partition and place in it. An id is the
+    place plus the rows of all partitions before, a running sum over one count per partition, which is broadcast. Ranges
+    are cut between rows, so a major key that holds a third of all rows is many partitions. Rows that tie in the order
+    get ids in the order in which they were written, which no later read changes.
     """
-    d = df.withColumn("__block", F.floor(F.col(major) / block))
-    counts = d.groupBy("__block").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("__block").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    within = F.row_number().over(Window.partitionBy("__block").orderBy(F.col(major), *minor))
-    out = d.join(offsets, F.col("__block") == F.col("__b"))
-    return out.withColumn(name, (F.col("__offset") + within + (start - 1)).cast("long")).drop("__block", "__b", "__offset")
+    ordered = df.repartitionByRange(major, *minor).sortWithinPartitions(major, *minor)
+    table = written(ordered.withColumn("__at", F.monotonically_increasing_id()), "dense-ids")
+    part = F.shiftright("__at", _PLACE_BITS)
+    counts = table.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    numbered = table.join(F.broadcast(offsets), part == F.col("__part"))  # a row for each partition
+    place = F.col("__at").bitwiseAND((1 << _PLACE_BITS) - 1)
+    return numbered.withColumn(name, F.col("__offset") + place + F.lit(start).cast("long")).drop("__at", "__part", "__offset")
 
 
 def category_ids(names: DataFrame, column: str) -> DataFrame:

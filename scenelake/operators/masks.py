@@ -78,6 +78,47 @@ def packed(counts: Column) -> Column:
     return F.array_join(F.transform(delta, code), "")
 
 
+#: A count of a packed mask: characters with the bit that more follow, and a last one without. Fixed values.
+_WORD = "([P-o]*[0-O])"
+
+
+def packed_counts(text: Column) -> Column:
+    """The signed differences of a packed string, in order (inverse of packed, but for the differences). A string that
+    holds anything else raises."""
+
+    def value(word: Column) -> Column:
+        groups = F.transform(F.split(word, ""), lambda c: F.ascii(c) - 48)
+        bits = F.aggregate(
+            groups, F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).alias("shift")),
+            lambda a, g: F.struct((a["x"] + F.call_function("shiftleft", g.bitwiseAND(31).cast("long"), a["shift"])).alias("x"), (a["shift"] + 5).alias("shift")),
+        )
+        negative = F.element_at(groups, -1).bitwiseAND(16) != 0
+        return let(bits, lambda b: b["x"] - F.when(negative & (b["shift"] < 64), F.call_function("shiftleft", F.lit(1).cast("long"), b["shift"])).otherwise(0))
+
+    words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(1))
+    bad = F.raise_error(F.concat(F.lit("not packed counts: "), text)).cast("array<string>")
+    return F.transform(F.when(F.length(F.array_join(words, "")) == F.length(text), words).otherwise(F.when(text.isNotNull(), bad)), value)
+
+
+def unpacked_runs(df: DataFrame, by: list[str], text: str) -> DataFrame:
+    """(by, run, start, n): the runs of packed masks, numbered from 0, with the places they begin at; by tells masks apart.
+
+    From the fourth run on a count is a difference to the run two before: a running sum over the runs of one parity, the
+    first of all left out. A run of an odd number is one of the mask.
+    """
+    d = df.select(*by, F.posexplode(packed_counts(F.col(text))).alias("run", "d"))
+    chain = Window.partitionBy(*by, "__chain").orderBy("run").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__chain", F.when(F.col("run") == 0, 2).otherwise(F.col("run") % 2)).withColumn("n", F.sum("d").over(chain))
+    before = Window.partitionBy(*by).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    return d.select(*by, "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), "n")
+
+
+def run_pixels(runs: DataFrame, by: list[str], height: Column) -> DataFrame:
+    """(by, x, y): the pixels of masks given as column-major runs; the inverse of mask_runs."""
+    inside = runs.where("run % 2 = 1 and n > 0").select(*by, height.alias("__h"), F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("__at"))
+    return inside.select(*by, F.expr("cast(__at div __h as int)").alias("x"), F.expr("cast(__at % __h as int)").alias("y"))
+
+
 def unpacked(text: str) -> list[int]:
     """The counts of a packed string; for readers and tests."""
     out: list[int] = []

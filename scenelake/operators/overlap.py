@@ -24,6 +24,41 @@ def overlapping_pairs(objects: DataFrame, scene: list[str], index: str, lo: str,
     return pairs.withColumn("volume", volume).where(F.col("volume") > tolerance).select(*scene, "i", "j", "volume")
 
 
+def crowded_pairs(objects: DataFrame, scene: list[str], index: str, lo: str, hi: str, tolerance: float = TOLERANCE_M3, stack: str | None = None) -> DataFrame:
+    """As overlapping_pairs, for scenes of very many objects: boxes meet in the cells of a grid, not in their scene.
+
+    A box whose volume is not above the tolerance has no such pair. Any other is of the level whose cells, cubes with a
+    side of 2 ** level, are the smallest that are as wide as it, so it lies in eight cells of its level at most. It is
+    sent to these as one that lives there, and to those it lies in on each higher level of its scene as one that asks. So
+    a pair meets in the cells of the larger box; the one cell that holds the lower corner of what they share returns it.
+    A scene of n boxes of like size costs some eight rows a box; a large box does not multiply.
+    """
+    cols = [F.col(c) for c in scene]
+    flag = F.coalesce(F.col(stack), F.lit(False)) if stack else F.lit(False)
+    side = F.zip_with(F.col(hi), F.col(lo), lambda h, l: h - l)  # noqa: E741
+    boxes = objects.select(*cols, F.col(index).alias("i"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), flag.alias("stack"), side.alias("side"))
+    boxes = boxes.where((F.array_min("side") > 0) & (F.col("side")[0] * F.col("side")[1] * F.col("side")[2] > tolerance))
+    boxes = boxes.withColumn("level", F.ceil(F.log2(F.array_max("side"))).cast("int")).drop("side")
+    levels = boxes.groupBy(*scene).agg(F.sort_array(F.collect_set("level")).alias("levels"))  # a few for each scene
+    d = boxes.join(levels, scene).select("*", F.explode(F.filter("levels", lambda x: x >= F.col("level"))).alias("of")).drop("levels")
+    width = F.pow(F.lit(2.0), F.col("of"))
+    first = lambda c: F.transform(c, lambda x: F.floor(x / width).cast("long"))
+    d = d.withColumns({"a": first(F.col("lo")), "b": first(F.col("hi"))})
+    for k, name in enumerate("xyz"):
+        d = d.withColumn(name, F.explode(F.sequence(F.col("a")[k], F.col("b")[k])))
+    cell = [*scene, "of", "x", "y", "z"]
+    lives = d.where("of = level").select(*cell, F.col("i").alias("j"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.col("stack").alias("b_stack"))
+    asks = d.select(*cell, "i", F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.col("stack").alias("a_stack"), (F.col("level") == F.col("of")).alias("same"))
+    pairs = asks.join(lives, cell)
+    # boxes of one level both live here: the smaller index asks
+    pairs = pairs.where(((~F.col("same")) | (F.col("i") < F.col("j"))) & (F.col("i") != F.col("j")) & ~(F.col("a_stack") & F.col("b_stack")))
+    corner = F.transform(F.zip_with("a_lo", "b_lo", lambda x, y: F.greatest(x, y)), lambda x: F.floor(x / width).cast("long"))
+    pairs = pairs.where(corner == F.array("x", "y", "z"))
+    volume = geometry.overlap_volume((F.col("a_lo"), F.col("a_hi")), (F.col("b_lo"), F.col("b_hi")))
+    pairs = pairs.withColumn("volume", volume).where(F.col("volume") > tolerance)
+    return pairs.select(*scene, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "volume")
+
+
 def without_pairs(pairs: DataFrame, ignored: DataFrame, scene: list[str]) -> DataFrame:
     """pairs less those listed in either order."""
     sides = ignored.select(*scene, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()

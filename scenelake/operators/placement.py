@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, rng, sizing
+from ..scratch import written
 
 
 def attempts(scenes: DataFrame, most: int = 3) -> DataFrame:
@@ -15,6 +18,29 @@ def attempts(scenes: DataFrame, most: int = 3) -> DataFrame:
     return scenes.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
 
 
+def retried(objects: DataFrame, scene: list[str], judge: Callable[[DataFrame], DataFrame], most: int = 3, attempt: str = "attempt") -> DataFrame:
+    """(scene, attempt): each scene's first good attempt, null where none of ``most`` was good.
+
+    judge(objects with their attempt) gives (scene, attempt, has_overlap). Only the scenes whose last attempt failed are
+    placed again, and the loop ends when there is none: the work falls with the share of good attempts. What is carried from
+    one attempt to the next is a table of scene keys; draws are named by the attempt, so the result is the same as if all
+    attempts of all scenes had been placed.
+    """
+    done, left, again = [], objects, None
+    for k in range(most):
+        tried = written(judge(left.withColumn(attempt, F.lit(k))).select(*scene, F.col("has_overlap").alias("__bad")), "retried")
+        failed = tried.where("__bad").select(*scene)
+        if last := k == most - 1 or failed.isEmpty():
+            done.append(tried.select(*scene, F.when(~F.col("__bad"), k).alias(attempt)))
+        else:
+            done.append(tried.where(~F.col("__bad")).select(*scene, F.lit(k).alias(attempt)))
+            again = failed
+        if last:
+            break
+        left = objects.join(again, scene, "left_semi")
+    return reduce(DataFrame.unionByName, done)
+
+
 def zone_xy(zone: Column, seed: int, keys: list, scale: float = 1.0) -> tuple[Column, Column]:
     x = rng.uniform(zone[0] * scale, zone[1] * scale, rng.draw(seed, *keys, "x"))
     y = rng.uniform(zone[2] * scale, zone[3] * scale, rng.draw(seed, *keys, "y"))
@@ -91,7 +117,3 @@ def stack_boxes(df: DataFrame, scene: list, layer: str, zone: Column, seed: int)
     k = [*scene, F.col(layer), "box"]
     jx, jy = (rng.uniform(-0.01, 0.01, rng.draw(seed, *k, n)) for n in ("jx", "jy"))
     return df.withColumns({"x": x + jx, "y": y + jy, "rotation": geometry.upright(F.col("dx"), F.col("dy"), F.col("dz"), rng.draw(seed, *k, "yaw"))})
-
-
-def drop_zone(bounds: Column | None, mode: Column) -> Column:
-    return sizing.zone(bounds, mode)

@@ -16,12 +16,12 @@ def wants_size(manifests: DataFrame, redo: bool = False) -> Column:
 
 
 def size_status(df: DataFrame, reply: Column, wanted: Column | None = None) -> DataFrame:
-    """df with cm, size_m (3 places) and status: skip, fail or done. The order matters: skip comes before any reading."""
+    """df with cm, size_m (3 places, rounded as Python does) and status: skip, fail or done. The order matters: skip comes before any reading."""
     wanted = F.lit(True) if wanted is None else wanted
     out = df.withColumn("cm", F.when(wanted, text.parse_cm(reply)))
     ok = sizing.writable(F.col("cm") / 100)
     status = F.when(~wanted, "skip").when(F.col("cm").isNull(), "fail").when(~ok, "fail").otherwise("done")
-    return out.withColumn("status", status).withColumn("size_m", F.when(F.col("status") == "done", sizing.round3(F.col("cm") / 100)))
+    return out.withColumn("status", status).withColumn("size_m", F.when(F.col("status") == "done", sizing.python_round3(F.col("cm") / 100)))
 
 
 def status_counts(df: DataFrame) -> DataFrame:

@@ -168,22 +168,49 @@ def size_status_counts(spark, d):
     return sized.status_counts(sized.size_status(docs, F.col("text"), F.col("lang") != "de"))
 
 
-@query("""SELECT o_orderkey, floor(o_custkey / 100e0 * 1000 + 0.5e0) / 1000 AS size_m FROM orders WHERE o_custkey / 100e0 BETWEEN 0.03e0 AND 1.2e0""")
+@query("""SELECT o_orderkey, printf('%.3f', o_custkey / 100e0)::DOUBLE AS size_m FROM orders WHERE o_custkey / 100e0 BETWEEN 0.03e0 AND 1.2e0""")
 def rounded_sizes(spark, d):
     o = sized.size_status(_t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("reply")), F.col("reply"))
     return o.where("status = 'done'").select("o_orderkey", "size_m")
 
 
+@query("""SELECT l_orderkey, l_linenumber, printf('%.3f', x)::DOUBLE AS three, printf('%.3f', -x / 7)::DOUBLE + 0e0 AS below
+ FROM (SELECT l_orderkey, l_linenumber, (l_partkey * 8 + l_linenumber) / 2e3 + l_extendedprice * 1e-9 * (l_linenumber % 2) AS x FROM lineitem)""")
+def places_as_printed(spark, d):
+    """Rounding to three places: exact ties in binary, decimal near-ties and others."""
+    li = _t(spark, d, "lineitem")
+    x = (F.col("l_partkey") * 8 + F.col("l_linenumber")) / 2e3 + F.col("l_extendedprice") * 1e-9 * (F.col("l_linenumber") % 2)
+    return li.select("l_orderkey", "l_linenumber", sizing.python_round3(x).alias("three"), (sizing.python_round3(-x / 7) + 0.0).alias("below"))
+
+
+_SKIPS = """SELECT s_suppkey, title IS NOT NULL AND shape <> '' AND NOT has_key AS first_time, title IS NOT NULL AND shape <> '' AS again FROM
+ (SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 THEN s_name END AS title, CASE s_suppkey % 3 WHEN 0 THEN '' ELSE 'box' END AS shape, s_suppkey % 4 IN (0, 1) AS has_key FROM supplier)"""
+
+
+@query(_SKIPS)
+def sizes_wanted(spark, d):
+    """Which sidecars are asked about: a title, a shape, and no size key yet (a null one counts) unless all are done again."""
+    from .sources import manifests
+
+    k = F.col("s_suppkey")
+    title = F.when(k % 5 != 0, F.concat(F.lit('"title": "'), F.col("s_name"), F.lit('", '))).otherwise("")
+    size = F.when(k % 4 == 0, ', "target_size_m_estimated": null').when(k % 4 == 1, ', "target_size_m_estimated": 0.2').otherwise(', "more": {"target_size_m_estimated": 1}')
+    raw = F.concat(F.lit("{"), title, F.lit('"shape": "'), F.when(k % 3 == 0, "").otherwise("box"), F.lit('"'), size, F.lit("}"))
+    side = manifests.parse(_t(spark, d, "supplier").select(k, F.concat(F.lit("/r/"), k, F.lit("/m.json")).alias("path"), raw.alias("raw")))
+    side = side.select(F.regexp_extract("dir", "([0-9]+)$", 1).cast("long").alias("s_suppkey"), F.col("m_shape").alias("shape"), "title", "raw")
+    return side.select("s_suppkey", sized.wants_size(side).alias("first_time"), sized.wants_size(side, redo=True).alias("again"))
+
+
 @query("""SELECT page_id, regexp_matches(lower(html), '503|429|unavailable|exhausted') AS transient, (5 * 2 ** (page_id % 3))::BIGINT AS wait FROM pages""")
 def transient_error_class(spark, d):
     return _t(spark, d, "pages").select("page_id", text.is_transient(F.col("html")).alias("transient"), text.backoff_seconds(F.col("page_id") % 3).alias("wait"))
 
 
-@query("""SELECT s_suppkey, 'Product title: "' || s_name || '"' AS head, substr(s_name, 1, 50) AS short FROM supplier""")
+@query("""SELECT s_suppkey, 'Product title: "' || s_name || '"' || chr(10) || 'Shape category: box' || chr(10) || chr(10) ||
+ 'How long is the longest side of this retail product in centimetres? Use amounts in the title to scale. Answer with one number only.' AS prompt, substr(s_name, 1, 50) AS short FROM supplier""")
 def prompt_text(spark, d):
     s = _t(spark, d, "supplier")
-    prompt = text.size_prompt(F.col("s_name"), F.lit("box"))
-    return s.select("s_suppkey", F.get(F.split(prompt, "\n"), 0).alias("head"), text.log_title(F.col("s_name")).alias("short"))
+    return s.select("s_suppkey", text.size_prompt(F.col("s_name"), F.lit("box")).alias("prompt"), text.log_title(F.col("s_name")).alias("short"))
 
 
 # -- assets ------------------------------------------------------------------------------------------------------------
@@ -364,33 +391,37 @@ _HIT = f"""(SELECT DISTINCT a.s, a.attempt FROM {_TRY} a JOIN {_TRY} b ON a.s =
  WHERE greatest(0e0, least(a.x + 0.5e0, b.x + 0.5e0) - greatest(a.x, b.x)) * greatest(0e0, least(a.y + 0.5e0, b.y + 0.5e0) - greatest(a.y, b.y)) * greatest(0e0, least(0.5e0, 0.5e0) - greatest(0e0, 0e0)) > 0.05e0)"""
 
 
-def _tried(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of an order as objects, placed afresh in each of three attempts."""
+def _retried(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of an order as objects, placed in up to three attempts: (s, attempt)."""
     o = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("s"), F.col("l_linenumber").alias("i")).distinct()
-    zone = F.array(*map(F.lit, (-0.6, 0.6, -0.6, 0.6)))
-    x, y = placement.zone_xy(zone, SEED, [F.col("s"), F.col("attempt"), F.col("i")])
-    o = placement.attempts(o).withColumns({"x": x, "y": y})
-    o = o.select("s", "i", "attempt", geometry.vec(F.col("x"), F.col("y"), F.lit(0.0)).alias("lo"), geometry.vec(F.col("x") + 0.5, F.col("y") + 0.5, F.lit(0.5)).alias("hi"))
-    return overlap.scenes_with_overlap(o, ["s", "attempt"], "i", "lo", "hi")
+
+    def judge(objects: DataFrame) -> DataFrame:
+        zone = F.array(*map(F.lit, (-0.6, 0.6, -0.6, 0.6)))
+        x, y = placement.zone_xy(zone, SEED, [F.col("s"), F.col("attempt"), F.col("i")])
+        p = objects.withColumns({"x": x, "y": y})
+        p = p.select("s", "i", "attempt", geometry.vec(F.col("x"), F.col("y"), F.lit(0.0)).alias("lo"), geometry.vec(F.col("x") + 0.5, F.col("y") + 0.5, F.lit(0.5)).alias("hi"))
+        return overlap.scenes_with_overlap(p, ["s", "attempt"], "i", "lo", "hi")
+
+    return placement.retried(o, ["s"], judge)
 
 
 @query(f"""SELECT t.s, coalesce(min(CASE WHEN h.s IS NULL THEN t.attempt END), -1)::INTEGER AS attempt FROM (SELECT DISTINCT s, attempt FROM {_TRY}) t LEFT JOIN {_HIT} h ON t.s = h.s AND t.attempt = h.attempt GROUP BY 1""")
 def first_passing_attempt(spark, d):
-    return overlap.first_passing(_tried(spark, d), ["s"]).select("s", F.coalesce("attempt", F.lit(-1)).alias("attempt"))
+    return _retried(spark, d).select("s", F.coalesce("attempt", F.lit(-1)).alias("attempt"))
 
 
 @query(f"""SELECT count(attempt) AS n_success, count(*) AS n_total FROM (SELECT t.s, min(CASE WHEN h.s IS NULL THEN t.attempt END) AS attempt FROM (SELECT DISTINCT s, attempt FROM {_TRY}) t LEFT JOIN {_HIT} h ON t.s = h.s AND t.attempt = h.attempt GROUP BY 1)""")
 def scene_success_counts(spark, d):
-    return overlap.success_counts(overlap.first_passing(_tried(spark, d), ["s"]))
+    return overlap.success_counts(_retried(spark, d))
 
 
 @query(f"""WITH f AS (SELECT t.s, min(CASE WHEN h.s IS NULL THEN t.attempt END)::INTEGER AS attempt FROM (SELECT DISTINCT s, attempt FROM {_TRY}) t LEFT JOIN {_HIT} h ON t.s = h.s AND t.attempt = h.attempt GROUP BY 1),
 v AS (SELECT s, attempt, cam, row_number() OVER (ORDER BY s, cam) - 1 AS id FROM f, (VALUES (0), (1)) c(cam) WHERE attempt IS NOT NULL)
 SELECT id, s, attempt, printf('images/%04d_%02d.png', s, cam) AS file_name FROM v""")
 def accepted_scenes(spark, d):
-    """The flagship: placements in three attempts, overlap by pairs, the first good attempt, views, dense image ids."""
-    good = overlap.first_passing(_tried(spark, d), ["s"]).where("attempt is not null")
-    v = good.crossJoin(F.broadcast(spark.range(2).select(F.col("id").cast("int").alias("cam"))))
+    """The flagship: placements in up to three attempts, overlap, the first good attempt, views, dense image ids."""
+    good = _retried(spark, d).where("attempt is not null")
+    v = good.withColumn("cam", F.explode(F.array(F.lit(0), F.lit(1))))
     v = ids.dense_ids(v, "s", ["cam"], "id")
     return v.select("id", "s", "attempt", text.image_name(F.col("s"), F.col("cam")).alias("file_name"))
 
@@ -435,6 +466,30 @@ def camera_pose(spark, d):
     return v.select("o_orderkey", *[q(F.col("location")[i]).alias(n) for i, n in enumerate("xyz")], q(F.col("camera_distance_m")).alias("distance"), q(F.col("basis")[0]).alias("right_x"), q(F.col("basis")[5]).alias("up_z"))
 
 
+_GIVEN = """(SELECT o_orderkey, o_orderkey % 2 = 0 AS looks, 1.5e0 + o_custkey % 7 AS lx, 0.25e0 * (o_custkey % 5) - 0.5e0 AS ly, 1.25e0 AS lz,
+ radians(((o_custkey * 7) % 170 - 85)::DOUBLE) AS ax, radians(((o_custkey * 13) % 170 - 85)::DOUBLE) AS ay, radians(((o_custkey * 29) % 350 - 175)::DOUBLE) AS az FROM orders)"""
+
+
+@query(f"""SELECT o_orderkey, {_q("CASE WHEN looks THEN -ly / flat ELSE cos(ay) * cos(az) END")} AS right_x, {_q("CASE WHEN looks THEN lx / flat ELSE cos(ay) * sin(az) END")} AS right_y,
+ {_q("CASE WHEN looks THEN 0e0 ELSE -sin(ay) END")} AS right_z, {_q("CASE WHEN looks THEN flat / n ELSE sin(ax) * cos(ay) END")} AS up_z, {_q("CASE WHEN looks THEN lx / n ELSE cos(ax) * sin(ay) * cos(az) + sin(ax) * sin(az) END")} AS back_x,
+ {_q("CASE WHEN looks THEN lz / n ELSE cos(ax) * cos(ay) END")} AS back_z, {_q("CASE WHEN looks THEN acos(lz / n) ELSE ax END")} AS euler_x, {_q("CASE WHEN looks THEN 0e0 ELSE ay END")} AS euler_y,
+ {_q("CASE WHEN looks THEN atan2(lx, -ly) ELSE az END")} AS euler_z, {_q("n")} AS distance FROM (SELECT *, sqrt(lx * lx + ly * ly) AS flat, sqrt(lx * lx + ly * ly + lz * lz) AS n FROM {_GIVEN})""")
+def given_camera_pose(spark, d):
+    """Cameras with a place: half of them look at the origin, the others have angles; both give a basis and angles."""
+    deg = lambda m, w, h: ((F.col("o_custkey") * m) % w - h).cast("double")
+    looks = F.col("o_orderkey") % 2 == 0
+    c = _t(spark, d, "orders").select(
+        "o_orderkey", geometry.vec(F.lit(1.5) + F.col("o_custkey") % 7, F.col("o_custkey") % 5 * 0.25 - 0.5, F.lit(1.25)).alias("location"),
+        F.when(looks, geometry.vec(0, 0, 0)).alias("look_at"), F.when(~looks, F.array(deg(7, 170, 85), deg(13, 170, 85), deg(29, 350, 175))).alias("rotation_euler_deg"))
+    v = views.pose(c, geometry.vec(0, 0, 0), F.lit(1.0), SEED, F.col("o_orderkey"))
+    # angles go to a basis and back
+    v = v.withColumn("euler", geometry.basis_euler(F.col("basis")))
+    b, e, q = F.col("basis"), F.col("euler"), geometry.quantise
+    return v.select(
+        "o_orderkey", *[q(b[k]).alias(n) for k, n in ((0, "right_x"), (1, "right_y"), (2, "right_z"), (5, "up_z"), (6, "back_x"), (8, "back_z"))],
+        *[q(e[k]).alias(n) for k, n in enumerate(("euler_x", "euler_y", "euler_z"))], q(F.col("camera_distance_m")).alias("distance"))
+
+
 @query(f"""SELECT o_orderkey, {_q("least(-c * 1e0 - s * 2e0, c * 1e0 - s * 2e0, -c * 1e0 + s * 2e0, c * 1e0 + s * 2e0) + 3")} AS x0, {_q("greatest(-c * 1e0 - s * 2e0, c * 1e0 - s * 2e0, -c * 1e0 + s * 2e0, c * 1e0 + s * 2e0) + 3")} AS x1,
  1e0 AS dz, 1e0 AS front_z, {_q("-s")} AS top_x FROM (SELECT o_orderkey, cos(a) AS c, sin(a) AS s FROM (SELECT o_orderkey, {_between("0e0", "2 * pi()", "o_orderkey", "'yaw'")} AS a FROM orders))""")
 def world_boxes(spark, d):
@@ -474,6 +529,31 @@ def mask_runs(spark, d):
     return m.select("image", "v", F.array_join(F.transform("counts", lambda c: c.cast("string")), ",").alias("counts"), masks.area_of(F.col("counts")).alias("area"))
 
 
+_DIFF = """SELECT image, v, list_transform(range(1, len(c) + 1), lambda i: CASE WHEN i > 3 THEN c[i] - c[i - 2] ELSE c[i] END) AS d FROM r"""
+_CHARS = """list_transform(range(0, 13), lambda k: chr((48 + (floor(x / 32 ** k)::BIGINT % 32 + 32) % 32 + CASE WHEN k < n THEN 32 ELSE 0 END)::INTEGER))"""
+
+
+@query(f"""WITH z AS (SELECT image, v, min(p) AS a, count(*) AS n FROM (SELECT image, v, x * 16 + y AS p, x * 16 + y - row_number() OVER (PARTITION BY image, v ORDER BY x * 16 + y) AS g FROM {_PIX}) GROUP BY image, v, g),
+y AS (SELECT *, a - coalesce(lag(a + n) OVER (PARTITION BY image, v ORDER BY a), 0) AS zero FROM z),
+r AS (SELECT image, v, flatten(list([zero, n] ORDER BY a)) || CASE WHEN max(a + n) < 384 THEN [384 - max(a + n)] ELSE [] END AS c FROM y GROUP BY 1, 2),
+w AS (SELECT image, v, unnest(d) AS x, unnest(range(len(d))) AS i FROM ({_DIFF})),
+t AS (SELECT *, CASE WHEN x BETWEEN -16 AND 15 THEN 0 WHEN x BETWEEN -512 AND 511 THEN 1 ELSE 2 END AS n FROM w)
+SELECT image, v, string_agg(array_to_string(list_slice({_CHARS}, 1, n + 1), ''), '' ORDER BY i) AS packed FROM t GROUP BY 1, 2""")
+def packed_masks(spark, d):
+    m = masks.mask_runs(_pixels(spark, d), ["image"], "height", "width")
+    return m.select("image", "v", masks.packed(F.col("counts")).alias("packed"))
+
+
+@query(f"""SELECT image, v, x, y, count(*) OVER (PARTITION BY image, v) AS area FROM {_PIX}""")
+def mask_pixels(spark, d):
+    """Pixels to packed masks and back to pixels."""
+    from pyspark.sql import Window
+
+    packed = packed_masks(spark, d)
+    p = masks.run_pixels(masks.unpacked_runs(packed, ["image", "v"], "packed"), ["image", "v"], F.lit(16))
+    return p.withColumn("area", F.count("*").over(Window.partitionBy("image", "v")))
+
+
 @query("""WITH e AS (SELECT user_id, event_id, (event_type = 'error')::INTEGER AS bit FROM events), n AS (SELECT *, CASE WHEN bit = lag(bit) OVER w THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM n) SELECT user_id, run::BIGINT AS run, bit, count(*) AS n FROM r GROUP BY 1, 2, 3""")
 def run_lengths(spark, d):
@@ -549,6 +629,37 @@ def coco_document(spark, d):
     return r.select("id", "image_id", "category_id", "area", F.col("bbox")[0].alias("x"), "n_images", "n_categories", "names", "images_md5")
 
 
+@query(_COCO + "SELECT an.id, file_name, category, qty AS area, obj AS x FROM an JOIN img ON img.id = image_id")
+def coco_document_file(spark, d):
+    """The document as one file, written by many tasks, and read again by many tasks in ranges of bytes."""
+    import os
+    import uuid
+
+    from .scratch import shared_dir
+    from .sinks.datasets import write_document
+    from .sources import documents
+
+    img, an, cats = _coco(spark, d)
+    folder = shared_dir(spark).removeprefix("file:")
+    path = f"{folder}/document-{uuid.uuid4().hex}.json"
+    os.makedirs(folder, exist_ok=True)
+    write_document(path, img.drop("o_orderkey", "cam"), an.select("id", "image_id", "category_id", "bbox", "area"), cats)
+    kinds = {"images": "struct<id: long, file_name: string>", "annotations": "struct<id: long, image_id: long, category_id: int, bbox: array<int>, area: int>", "categories": "struct<id: int, name: string>"}
+    t = documents.arrays(spark, path, kinds, range_=1 << 20)
+    out = t["annotations"].join(t["images"].withColumnRenamed("id", "image_id"), "image_id").join(t["categories"].withColumnRenamed("id", "category_id"), "category_id")
+    return out.select("id", "file_name", F.col("name").alias("category"), "area", F.col("bbox")[0].alias("x"))
+
+
+@query(f"""SELECT s, i, j, {_q("volume")} AS volume FROM (SELECT a.s, a.i, b.i AS j, {_VOL} AS volume FROM (SELECT (s // 5000) AS s, s * 10 + i AS i, x * 20 AS x, (s % 97) / 2e0 AS y, (s % 89) / 2e0 AS z FROM {_BOX}) a
+ JOIN (SELECT (s // 5000) AS s, s * 10 + i AS i, x * 20 AS x, (s % 97) / 2e0 AS y, (s % 89) / 2e0 AS z FROM {_BOX}) b ON a.s = b.s AND a.i < b.i AND a.y - b.y < 0.5e0 AND b.y - a.y < 0.5e0) WHERE volume > 0.05e0""")
+def crowded_pair_overlap(spark, d):
+    """All lines of a few thousand orders are one scene: pairs by cells of a grid."""
+    b = _boxes(spark, d).select(F.expr("s div 5000").alias("s"), (F.col("s") * 10 + F.col("i")).alias("i"), (F.col("lo")[0] * 20).alias("x"), (F.col("s") % 97 / 2).alias("y"), (F.col("s") % 89 / 2).alias("z"))
+    b = b.select("s", "i", geometry.vec(F.col("x"), F.col("y"), F.col("z")).alias("lo"), geometry.vec(F.col("x") + 0.5, F.col("y") + 0.5, F.col("z") + 0.5).alias("hi"))
+    p = overlap.crowded_pairs(b, ["s"], "i", "lo", "hi")
+    return p.select("s", "i", "j", geometry.quantise(F.col("volume")).alias("volume"))
+
+
 @query("SELECT l_linenumber AS v, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1")
 def nonempty_areas(spark, d):
     li = _t(spark, d, "lineitem").withColumn("area", F.when(F.col("l_quantity") > 10, 1).otherwise(0))

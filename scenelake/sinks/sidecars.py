@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .inplace import replace_files
+
 
 def rewritten(manifests: DataFrame, size: str = "size_m") -> DataFrame:
     """(path, value): each sidecar's text with its size, indented by 2. Rows without a size are left out.
@@ -29,5 +31,10 @@ def rewritten(manifests: DataFrame, size: str = "size_m") -> DataFrame:
 
 
 def write(texts: DataFrame, root: str) -> None:
-    """As Parquet (path, value), to be put in place by whoever owns the files."""
+    """As Parquet (path, value), beside the files."""
     texts.write.mode("overwrite").parquet(root)
+
+
+def write_in_place(texts: DataFrame) -> int:
+    """Each sidecar replaced where it lies, all or none; the number of files. See inplace.replace_files."""
+    return replace_files(texts)

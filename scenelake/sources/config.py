@@ -46,7 +46,7 @@ class SceneConfig:
 
 @dataclass(frozen=True)
 class SizingConfig:
-    bundle: str = "./approved_bundle"
+    bundle: str
     redo: bool = False
     api_key: str | None = None
 

@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from . import documents
 
 IMAGE = "struct<id: bigint, file_name: string, width: int, height: int>"
 SEGMENT = "struct<counts: string, size: array<int>>"
@@ -20,13 +21,11 @@ ANNOTATION = (
     f"amodal_segmentation: {SEGMENT}, metadata: {META}>"
 )
 CATEGORY = "struct<id: int, name: string, supercategory: string>"
-SCHEMA = f"images array<{IMAGE}>, annotations array<{ANNOTATION}>, categories array<{CATEGORY}>"
 
 
 def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(images, annotations, categories) of a dataset document."""
-    doc = spark.read.schema(SCHEMA).json(path, multiLine=True, mode="FAILFAST")
-    return tuple(doc.select(F.inline(c)) for c in ("images", "annotations", "categories"))
+    """(images, annotations, categories) of a dataset document, which many tasks read in ranges of bytes."""
+    return tuple(documents.arrays(spark, path, {"images": IMAGE, "annotations": ANNOTATION, "categories": CATEGORY}).values())
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
@@ -44,10 +43,10 @@ def index_pixels(buffers: DataFrame, decode: Callable[[bytes], np.ndarray], keys
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for _, row in b.iterrows():
-                a = decode(row[content])
+            for data, *key in zip(b[content], *(b[k] for k in keys), strict=True):
+                a = decode(data)
                 ys, xs = np.nonzero(a)
-                out = pd.DataFrame({k: [row[k]] * len(xs) for k in keys})
+                out = pd.DataFrame({k: [x] * len(xs) for k, x in zip(keys, key, strict=True)})
                 yield out.assign(x=xs.astype("int32"), y=ys.astype("int32"), v=a[ys, xs].astype("int32"), height=a.shape[0], width=a.shape[1])
 
     return buffers.select(*keys, content).mapInPandas(run, schema)

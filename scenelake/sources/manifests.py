@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .files import plain_path, walk
+from .files import walk, with_text
 
 NAME = "manifest_entry.json"
 SIZE = "$.target_size_m_estimated"
@@ -32,9 +32,8 @@ def parse(raw: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
-    """All sidecars under root, each file read once. Raises if there is none."""
-    paths = walk(spark, root, NAME)
-    if not paths:
+    """All sidecars under root, each file read once, where its name is listed. Raises if there is none."""
+    found = walk(spark, root, NAME).select("path")
+    if found.isEmpty():
         raise FileNotFoundError(f"no {NAME} in {root}")
-    df = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("raw"))
-    return parse(df.select(plain_path(F.col("uri")).alias("path"), "raw"))
+    return parse(with_text(found, "raw"))
