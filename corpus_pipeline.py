@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, near-dedup, benchmark decontamination, personal data, mixing.
 
 Each stage gets the documents its predecessor kept, decides over all of them and hands on the columns of documents;
-the last returns the mix. ``run`` writes each stage's result as Parquet in the shared folder and reads it again, so a
+the last returns the documents with the mix's copies. ``run`` writes each stage's result as Parquet in the shared folder and reads it again, so a
 lost executor costs at most the stage that is running. Parts of the training-data subpackage do the work.
 """
 
@@ -40,8 +40,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each document."""
-    return entropy_mix.mix(docs)
+    """All documents, with their size, their source's size and target, and how often and how many words the mix takes."""
+    return entropy_mix.mix_documents(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
