@@ -16,7 +16,9 @@ Copies: lambda is rounded to 9 decimals and the rate to RATE_UNITS, so that the
 document gives floor(r) copies; one more goes to documents in the order of (u - rest of r), u a hash draw, so that about
 a share r - floor(r) of equal documents gets it, until the source's target is reached to within half a document. The cut in
 that order is found by a histogram, then by one of the bin where the cut lies, and so on (LEVELS x DIGIT bits): no
-source is sorted, nor gathered in one task. Documents that tie in all bits (rows that repeat) are numbered within blocks.
+source is sorted, nor gathered in one task. Draws are the first 52 bits of a hash of id and text, scaled; documents that
+tie at the cut go by the whole hash and then the id, so which of them is taken depends on the documents alone. Only rows
+equal in all of that are told apart by where they lie, and they give equal rows.
 
 Edge cases: null or empty texts have size 0 and are never taken; a null source is a source of its own, the last; rows
 that repeat are documents of their own; if all sizes are 0 the targets are 0; an empty table gives an empty result;
@@ -117,37 +119,60 @@ def rate_of(cap: int = CAP) -> F.Column:
     return F.coalesce(F.round(F.least(raw, F.lit(float(cap))) * RATE_UNITS).cast("long"), F.lit(cap * RATE_UNITS))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies, taken), one row per row of docs."""
+def _sized(docs: DataFrame, id_col: str, text: str, source: str, *more: F.Column) -> DataFrame:
+    """(doc_id, source, size, key, u, more): key is the hash that draws are made of, u the draw."""
     t = text_or_empty(f"`{text}`")
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.md5(t)))
-    return mix_sizes(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), n_words_of(t).alias("size"), key.alias("key")))
-
-
-def mix_sizes(d: DataFrame) -> DataFrame:
-    """As mix, of rows (doc_id, source, size, key): key is the hexadecimal hash that draws are made of."""
-    draw = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % RATE_UNITS
-    d = materialize(d.select("doc_id", "source", "size", draw.alias("u")), "mix-sizes")
-    counts = materialize(d.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
-    targets = source_targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))
-    dual = newton(counts, targets)
-    dual = dual.select(F.col("source").alias("s_source"), "source_size", "target", "mean_size", "lambda")
-    d = d.join(dual, F.col("source").eqNullSafe(F.col("s_source"))).withColumn("units", rate_of())
-    d = d.withColumn("base", F.expr(f"units div {RATE_UNITS}")).withColumn("order", F.col("u") - F.col("units") % RATE_UNITS + RATE_UNITS)
-    # the part and number of a row among those of its block, for rows that tie in all else
-    d = d.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()})
-    d = materialize(d.select("doc_id", "source", "size", "source_size", "target", "units", "base", "order", "part", "row"), "mix-rates")
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), n_words_of(t).alias("size"), key.alias("key"), *more)
+    draw = F.floor(F.conv(F.substring("key", 1, 13), 16, 10).cast("double") * float(RATE_UNITS) / 2.0**52)
+    return d.withColumn("u", draw.cast("long"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, source, size, source_size, target, rate, copies, taken), one row per row of docs."""
+    sizes = materialize(_sized(docs, id_col, text, source), "mix-sizes")
+    return _decided(sizes, *_solved(sizes)).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs with size, source_size, target, rate, copies and taken; columns of these names are replaced.
+
+    The rates and cuts come from the sizes alone; every document is then decided where it is read, so no text is shuffled.
+    """
+    sizes = materialize(_sized(docs, id_col, text, source).select("source", "size", "u"), "mix-sizes")
+    dual, cuts = _solved(sizes)
+    discard(sizes)
+    new = ("size", "source_size", "target", "rate", "copies", "taken")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in new]).alias("__doc")
+    return _decided(_sized(docs, id_col, text, source, whole), dual, cuts).select("__doc.*", *new)
+
+
+def _rated(d: DataFrame, dual: DataFrame) -> DataFrame:
+    """d with its source's numbers, the rate in units, the copies that are sure and the place in the order of one more."""
+    d = d.join(dual.withColumnRenamed("source", "s_source"), F.col("source").eqNullSafe(F.col("s_source"))).withColumn("units", rate_of())
+    return d.withColumns({"base": F.expr(f"units div {RATE_UNITS}"), "order": F.col("u") - F.col("units") % RATE_UNITS + RATE_UNITS}).drop("s_source", "mean_size", "lambda")
+
+
+def _solved(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sources with their lambda, sources with the place of their cut), of a table (source, size, u)."""
+    counts = materialize(sizes.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
+    dual = newton(counts, source_targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))))
     discard(counts)
-    out = d.join(_cuts(d), F.col("source").eqNullSafe(F.col("x_source")), "left")
+    return dual, _cuts(_rated(sizes, dual))
+
+
+def _decided(d: DataFrame, dual: DataFrame, cuts: DataFrame) -> DataFrame:
+    """d with rate, copies and taken."""
+    out = _rated(d, dual).join(cuts, F.col("source").eqNullSafe(F.col("x_source")), "left")
     open_ = (F.col("size") > 0) & (F.col("base") < CAP)
     tie = F.coalesce(open_ & (F.col("order") == F.col("x_order")), F.lit(False))
-    tied = _tied(out.where(tie))
+    # rows at the cut are written with a part and a place in it, which tell equal rows apart
+    at_cut = materialize(out.where(tie).withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "mix-ties")
     sure = F.coalesce(open_ & (F.col("order") < F.col("x_order")), F.lit(False))
-    out = out.where(~tie).withColumn("more", sure).select(tied.columns).unionByName(tied)
-    out = out.withColumn("copies", F.col("base") + F.col("more").cast("long"))
-    return out.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("units") / RATE_UNITS).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    out = out.where(~tie).withColumn("more", sure).drop("x_source", "x_order", "x_left")
+    out = out.unionByName(_tied(at_cut).select(out.columns))
+    out = out.withColumns({"copies": F.col("base") + F.col("more").cast("long"), "rate": F.col("units") / RATE_UNITS})
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def _cuts(d: DataFrame) -> DataFrame:
@@ -176,12 +201,21 @@ def _cuts(d: DataFrame) -> DataFrame:
 def _tied(at_cut: DataFrame) -> DataFrame:
     """The rows at their source's cut with ``more``: one more copy until the rest is reached to within half a document.
 
-    Rows are in the order of (part, row); only the sums of parts meet in one window a source.
+    They go by their hash and id. The different ones of a source meet in a window, a row for each: as many documents as tie
+    in a draw. Equal rows are counted first, and numbered within their parts, whose counts alone meet.
     """
-    parts = at_cut.groupBy("source", "part").agg(F.sum("size").alias("p_words"))
-    parts = parts.withColumn("p_before", F.sum("p_words").over(Window.partitionBy("source").orderBy("part")) - F.col("p_words"))
-    parts = parts.select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), "p_before")
-    rows = at_cut.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part")))
-    before = F.col("p_before") + F.sum("size").over(Window.partitionBy("source", "part").orderBy("row")) - F.col("size")
-    rows = rows.withColumn("more", 2 * before + F.col("size") <= 2 * F.col("x_left"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "units", "base", "more")
+    same = ["source", "key", "doc_id"]
+    parts = at_cut.groupBy(*same, "part").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("x_left").alias("x_left"))
+    groups = parts.groupBy(*same).agg(F.sum("n").alias("g_n"), F.first("size").alias("size"), F.first("x_left").alias("x_left"))
+    upto = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("g_n") * F.col("size")).over(upto), F.lit(0))
+    # the j-th of equal rows is taken if 2 (before + j size) + size <= 2 x_left
+    take = F.floor((2 * F.col("x_left") - 2 * F.col("before") - F.col("size")) / (2 * F.col("size"))) + 1
+    groups = groups.withColumn("before", before).select(*same, F.greatest(F.lit(0).cast("long"), F.least("g_n", take)).alias("take"))
+    by_part = Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*same, "part", F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("p_before"))
+    equal = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.key") == F.col(f"{b}.key")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
+    known = parts.alias("p").join(groups.alias("g"), equal("p", "g")).select("p.*", "g.take")
+    rows = at_cut.alias("r").join(known.alias("k"), equal("r", "k") & (F.col("r.part") == F.col("k.part"))).select("r.*", "k.p_before", "k.take")
+    number = F.col("p_before") + F.row_number().over(Window.partitionBy(*same, "part").orderBy("row")) - 1
+    return rows.withColumn("more", number < F.col("take"))

@@ -125,7 +125,8 @@ FROM f
 _MIX_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS row_id, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || left(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 8))::BIGINT % 1000000000 AS u
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key,
+         floor((('0x' || left(key, 13))::BIGINT)::DOUBLE * 1000000000::DOUBLE / 4503599627370496::DOUBLE)::BIGINT AS u
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size) AS stop,
@@ -158,7 +159,7 @@ b AS (
          k + 1
   FROM b WHERE k < 90),
 r AS (
-  SELECT d.row_id, d.doc_id, d.source, d.size, d.u, z.source_size, z.target,
+  SELECT d.row_id, d.doc_id, d.source, d.size, d.u, d.key, z.source_size, z.target,
          coalesce(round(least(exp(least(round((b.lo + b.hi) / 2, 9) * (d.size / z.mean_size), 3.0::DOUBLE)), 3.0::DOUBLE) * 1000000000)::BIGINT, 3000000000) AS units
   FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source
   LEFT JOIN b ON b.k = 90 AND d.source IS NOT DISTINCT FROM b.source),
@@ -168,7 +169,7 @@ e AS (
   FROM r),
 f AS (
   SELECT row_id, rest, size, place,
-         sum(size) OVER (PARTITION BY source ORDER BY place, row_id ROWS UNBOUNDED PRECEDING) - size AS cum,
+         sum(size) OVER (PARTITION BY source ORDER BY place, key, doc_id, row_id ROWS UNBOUNDED PRECEDING) - size AS cum,
          sum(size) OVER (PARTITION BY source ORDER BY place RANGE UNBOUNDED PRECEDING) - sum(size) OVER (PARTITION BY source, place) AS begins, source
   FROM e WHERE size > 0 AND base < 3 AND rest > 0),
 g AS (

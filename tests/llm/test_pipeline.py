@@ -36,8 +36,10 @@ def test_stages_one_by_one(spark):
     assert set(clean) == set(got)
     assert all(r["n_chars"] == len(r["text"]) for r in d.collect())
     assert all(not base_by_hand(t) for t in clean.values())
-    mix = p.mix_sources(spark, d, SF).collect()
-    assert {r["doc_id"] for r in mix} == set(got)
+    out = p.mix_sources(spark, d, SF)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    mix = out.collect()
+    assert {r["doc_id"]: r["text"] for r in mix} == clean
     assert all(r["taken"] == r["copies"] * r["size"] <= 3 * r["size"] for r in mix)
 
 
