@@ -35,7 +35,7 @@ from .bpe_count import SPACE
 from .vectors import column
 
 #: Bytes of pieces and their tokens that a task remembers, and of text whose new pieces are encoded together.
-MOST_BYTES, CORPUS_BYTES = 64_000_000, 8_000_000
+MOST_BYTES, CORPUS_BYTES = 32_000_000, 4_000_000
 #: What one remembered piece takes besides its bytes, about.
 _ENTRY = 200
 #: No rank is as high; a rank takes fewer bits.
