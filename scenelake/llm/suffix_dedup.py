@@ -6,8 +6,9 @@ A byte goes if it is covered by a LENGTH-byte string that also starts in a docum
    that depends on the window's bytes alone, so equal windows have equal anchors. A run of windows with one anchor and
    the bytes they cover are a context (about 70 bytes for every 18 of text). Of equal contexts in one chunk of
    documents only those of the least document travel; the others are removed there and then.
-2. Partitions and shards. Contexts go, packed and compressed, to the partition of their anchor's hash, which is worked
-   off in SUBS ranges of that hash, so that a task holds its packed contexts and the bytes of one range. Contexts whose
+2. Partitions and shards. Contexts go, packed and compressed by partition and range, to the partition of their anchor's
+   hash. There they are sorted by SUBS ranges of that hash and streamed: a task holds the contexts of one range at a time,
+   and every block is unpacked once. Contexts whose
    anchor occurs in one document only are put aside; of equal ones (hashes agree and then the bytes are compared), the least
    document's and all later documents' stay as one string each, so thousands of copies cost two. A shard is PIECE bytes
    of these strings: they are suffix-sorted by their first 8 bytes, then by Larsson and Sadakane's refinement (groups
@@ -137,39 +138,32 @@ def _equal_runs(data: np.ndarray, at: np.ndarray, size: np.ndarray, new: np.ndar
         new[todo[~same]] = True
 
 
-def pack(ids: np.ndarray, keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, lens: np.ndarray, offs: np.ndarray, text: np.ndarray, cuts: np.ndarray) -> bytes:
-    """Contexts as one compressed block: id, key, first window in the document, length, anchor's offset, bytes.
-
-    cuts: the rows at which each of the SUBS ranges of anchors begins, and the number of rows.
-    """
+def pack(ids: np.ndarray, keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, lens: np.ndarray, offs: np.ndarray, text: np.ndarray) -> bytes:
+    """Contexts as one compressed block: id, key, first window in the document, length, anchor's offset, bytes."""
     import zstandard
 
     used, which = np.unique(docs, return_inverse=True)
     wide = "<u1" if not len(lens) or lens.max() < 256 else "<u4"
-    head = np.array([len(docs), len(used), np.dtype(wide).itemsize, *cuts], dtype="<i8").tobytes()
+    head = np.array([len(docs), len(used), np.dtype(wide).itemsize], dtype="<i4").tobytes()
     small = which.astype("<u2" if len(used) < 65536 else "<u4")
     body = ids[used].astype("<i8").tobytes() + keys[used].astype("<i8").tobytes() + small.tobytes() + starts.astype("<u4").tobytes() + lens.astype(wide).tobytes() + offs.astype(wide).tobytes()
     return head + zstandard.ZstdCompressor(level=3).compress(body + text.tobytes())
 
 
-def unpack(blob: bytes, sub: int) -> tuple[np.ndarray, ...]:
-    """(id, key, start, length, anchor's offset, bytes) of a block's contexts in one range of anchors."""
+def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(id, key, start, length, anchor's offset, bytes) of a block's contexts."""
     import zstandard
 
-    n, m, width, *cuts = map(int, np.frombuffer(blob, dtype="<i8", count=4 + SUBS))
-    body = zstandard.ZstdDecompressor().decompress(memoryview(blob)[8 * (4 + SUBS) :])
-    wide, lo, hi = f"<u{width}", cuts[sub], cuts[sub + 1]
-    at = 0
+    n, m, width = map(int, np.frombuffer(blob, dtype="<i4", count=3))
+    body = zstandard.ZstdDecompressor().decompress(memoryview(blob)[12:])
+    wide, at = f"<u{width}", 0
     out = []
     for kind, count in (("<i8", m), ("<i8", m), ("<u2" if m < 65536 else "<u4", n), ("<u4", n), (wide, n), (wide, n)):
         out.append(np.frombuffer(body, dtype=kind, count=count, offset=at))
         at += out[-1].nbytes
     ids, keys, which, starts, lens, offs = out
-    at += int(lens[:lo].sum(dtype=np.int64))
-    text = np.frombuffer(body, dtype=np.uint8, count=int(lens[lo:hi].sum(dtype=np.int64)), offset=at)
-    rows = slice(lo, hi)
-    # a copy of the bytes: a view would keep the whole block
-    return ids[which[rows]], keys[which[rows]], starts[rows].astype(np.int64), lens[rows].astype(np.int64), offs[rows].astype(np.int64), text.copy()
+    text = np.frombuffer(body, dtype=np.uint8, offset=at)
+    return ids[which], keys[which], starts.astype(np.int64), lens.astype(np.int64), offs.astype(np.int64), text
 
 
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -342,7 +336,7 @@ def _runs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
 
 
 def _ship(chunk: list, shards: int, length: int):
-    """(shard, block) rows of a chunk's contexts, and (doc, key, lo, hi) ranges that the chunk itself decides."""
+    """(shard, sub, block) rows of a chunk's contexts, and (doc, key, lo, hi) ranges that the chunk itself decides."""
     ids, keys, bases = (np.array([c[k] for c in chunk], dtype=np.int64) for k in range(3))
     data = np.frombuffer(b"".join(c[3] for c in chunk), dtype=np.uint8)
     starts = np.concatenate([[0], np.cumsum([len(c[3]) for c in chunk])])
@@ -370,20 +364,17 @@ def _ship(chunk: list, shards: int, length: int):
     wide = np.uint64((shards * SUBS - 1).bit_length())
     by = np.argsort(((shard * np.uint64(SUBS) + sub) << (np.uint64(64) - wide)) | (h[go] >> wide))
     go, shard, sub = go[by], shard[by], sub[by]
-    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+    cut = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (sub[1:] != sub[:-1])))
     blocks = []
     for lo, hi in zip(cut, np.append(cut[1:], len(go)), strict=True):
         r = go[lo:hi]
-        cuts = np.searchsorted(sub[lo:hi], np.arange(SUBS + 1, dtype=np.uint64))
-        blocks.append((int(shard[lo]), pack(ids, keys, doc[r], offset[r], size[r], anchor[r] - first[r], _gather(data, first[r], size[r]), cuts)))
+        blocks.append((int(shard[lo]), int(sub[lo]), pack(ids, keys, doc[r], offset[r], size[r], anchor[r] - first[r], _gather(data, first[r], size[r]))))
     return blocks, known
 
 
-def _part(blob: bytes, sub: int) -> tuple[np.ndarray, ...]:
-    """(doc, key, start, size, anchor hash, bytes) of a block's contexts in one range of anchors."""
-    doc, key, start, size, off, text = unpack(blob, sub)
-    if not len(doc):
-        return doc, key, start, size, np.zeros(0, dtype=np.uint64), text
+def _part(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(doc, key, start, size, anchor hash, bytes) of a block's contexts."""
+    doc, key, start, size, off, text = unpack(blob)
     at = np.cumsum(size) - size + off
     words = np.lib.stride_tricks.as_strided(text, shape=(len(text) - 7, 8), strides=(1, 1)).view("<u8")
     return doc, key, start, size, _gram_hash_of(words[at, 0], words[at + 8, 0]), text
@@ -434,26 +425,28 @@ def ranges(docs: DataFrame, length: int = LENGTH, chunk: int = CHUNK) -> DataFra
             texts = [t.encode("utf-8", "replace") for t in b["text"]]
             for part in _chunks(b["id"].to_numpy(), b["key"].to_numpy(), texts, length, chunk):
                 blocks, known = _ship(part, n, length)
-                rows = [(s, x, None) for s, x in blocks]
                 if known is not None:
-                    rows.append((int(part[0][0]) % n, None, np.stack(known).astype("<i8").tobytes()))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["shard", "block", "known"])
+                    blocks.append((int(part[0][0]) % n, -1, np.stack(known).astype("<i8").tobytes()))
+                if blocks:
+                    yield pd.DataFrame(blocks, columns=["shard", "sub", "block"])
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got: list[bytes] = []
+        at, parts = -1, []
         for b in batches:
-            for block, known in zip(b["block"], b["known"], strict=True):
-                if known is not None:
-                    i, k, lo, hi = np.frombuffer(known, dtype="<i8").reshape(4, -1)
+            for sub, block in zip(b["sub"], b["block"], strict=True):
+                if sub < 0:  # ranges that a chunk has decided
+                    i, k, lo, hi = np.frombuffer(block, dtype="<i8").reshape(4, -1)
                     yield pd.DataFrame({"id": i, "key": k, "lo": lo, "hi": hi})
-                if block is not None:
-                    got.append(block)
-        for sub in range(SUBS if got else 0):
-            yield from _matches([_part(x, sub) for x in got], length)
-
-    sent = docs.select("id", "key", "text").mapInPandas(travel, "shard int, block binary, known binary")
-    return sent.repartitionById(n, "shard").mapInPandas(meet, "id long, key long, lo long, hi long")
+                    continue
+                if sub != at and parts:
+                    yield from _matches(parts, length)
+                at = sub
+                parts.append(_part(block))
+        if parts:
+            yield from _matches(parts, length)
+
+    sent = docs.select("id", "key", "text").mapInPandas(travel, "shard int, sub int, block binary")
+    return sent.repartitionById(n, "shard").sortWithinPartitions("sub").mapInPandas(meet, "id long, key long, lo long, hi long")
 
 
 def cut(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int]:
