@@ -6,8 +6,9 @@ links, distrust from hosts with blocked pages against them. Edges are the absolu
 those in scripts, styles and comments) and, always, with a smaller weight, host <-> parent domain. A host is blocked if its distrust is at least ``floor`` over the number of
 hosts and at least ``share`` of its trust and distrust together.
 
-All state is one row per host and one per edge; both are pre-aggregated before they are shuffled, and the scores are
-written to the shared folder every few rounds. Rounds go on until no host's rank can still move by more than 1/100 of
+All state is one row per host and one per edge; both are pre-aggregated before they are shuffled. A hub's edges are dealt
+over SALTS keys and its rank is copied to them. The scores are written to the shared folder every few rounds and before
+they are compared with those of the next round, so no round is planned twice. Rounds go on until no host's rank can still move by more than 1/100 of
 the mean rank, a fiftieth of the floor (see host_scores). Pages meet the scores in an outer join on host, whose hot keys Spark's
 skew join splits.
 
@@ -34,8 +35,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*["']?\s*(?:https?:)?//([^/"'?#\s>]+)"""
 #: Parts of a page whose links do not count.
 UNSEEN = r"(?is)<!--.*?(?:-->|$)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|$)"
-#: Keys that a host's edges are dealt over.
-SALTS = 16
+#: A host of more edges is a hub; keys that its edges are dealt over.
+HUB, SALTS = 10_000, 16
+#: Rounds in one plan.
+TOGETHER = 3
 
 
 def host_of(url: Column) -> Column:
@@ -102,37 +105,53 @@ def host_scores(
     ).unionByName(edges.join(in_w, edges.dst == in_w.host).select(
         F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0.0).alias("p_t"), (F.col("w") / F.col("in_w")).alias("p_d")
     )).groupBy("a", "b").agg(F.sum("p_t").alias("p_t"), F.sum("p_d").alias("p_d"))
-    flow = materialize(flow.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")), "host-flow")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("r_salt")
-    ranks, kept = seeds.select("host", F.col("s_t").alias("t"), F.col("s_d").alias("d")), None
-    k, settled = 0, rounds == 0
-    while not settled:
-        before = ranks
-        dealt = ranks.select("host", "t", "d", copies)
+    flow = materialize(flow, "host-flow-all")
+    # only hosts of very many edges are dealt over SALTS keys, and only their ranks are copied
+    hubs = materialize(flow.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select(F.col("a").alias("hub")), "host-hubs")
+    salt = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).otherwise(0)
+    flow, all_flow = materialize(flow.join(hubs, flow.a == hubs.hub, "left").select("a", "b", "p_t", "p_d", salt.alias("salt")), "host-flow"), flow
+    discard(all_flow)
+    salts = F.when(F.col("hub").isNotNull(), SALTS).otherwise(1).alias("salts")
+    seeds, all_seeds = materialize(seeds.join(hubs, seeds.host == hubs.hub, "left").select("host", "n_hosts", "s_t", "s_d", salts), "host-seeds"), seeds
+    discard(all_seeds)
+    discard(hubs)
+
+    def round_(ranks: DataFrame) -> DataFrame:
+        dealt = ranks.select("host", "t", "d", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("r_salt"))
         come = dealt.join(flow, (dealt.host == flow.a) & (dealt.r_salt == flow.salt)).groupBy(F.col("b").alias("dst_host")).agg(
             F.sum(F.col("t") * F.col("p_t")).alias("in_t"), F.sum(F.col("d") * F.col("p_d")).alias("in_d")
         )
-        ranks = seeds.join(come, seeds.host == come.dst_host, "left").select(
-            "host", "n_hosts",
+        return seeds.join(come, seeds.host == come.dst_host, "left").select(
+            "host", "n_hosts", "salts",
             ((1 - damping) * F.col("s_t") + damping * F.coalesce("in_t", F.lit(0.0))).alias("t"),
             ((1 - damping) * F.col("s_d") + damping * F.coalesce("in_d", F.lit(0.0))).alias("d"),
         )
-        k += 1
-        settled = k == rounds
-        if k % 4 == 0 or settled:
-            if rounds is None:
-                was = before.select(F.col("host").alias("was"), F.col("t").alias("t0"), F.col("d").alias("d0"))
-                ranks = ranks.join(was, ranks.host == was.was).select("host", "n_hosts", "t", "d", "t0", "d0")
-            ranks, old = materialize(ranks, "host-ranks"), kept
-            if old is not None:
-                discard(old)
-            kept = ranks
-            if rounds is None:
-                moved = F.greatest(F.max(F.abs(F.col("t") - F.col("t0"))), F.max(F.abs(F.col("d") - F.col("d0"))))
-                left = ranks.agg((moved * F.max("n_hosts") * (damping / (1 - damping))).alias("left")).first()["left"]
-                settled = left is None or left <= tolerance
+
+    ranks = seeds.select("host", "n_hosts", "salts", F.col("s_t").alias("t"), F.col("s_d").alias("d"))
+    k, kept = 0, None
+    while k != rounds:
+        # a few rounds in one plan, written; where ranks are to converge, one more, which is compared with them
+        for _ in range(TOGETHER if rounds is None else min(TOGETHER, rounds - k)):
+            ranks = round_(ranks)
+            k += 1
+        ranks, old = materialize(ranks, "host-ranks"), kept
+        if old is not None:
+            discard(old)
+        kept = ranks
+        if rounds is None:
+            was = ranks.select(F.col("host").alias("was"), F.col("t").alias("t0"), F.col("d").alias("d0"))
+            new = round_(ranks)
+            new = materialize(new.join(was, new.host == was.was).drop("was"), "host-ranks")
+            moved = F.greatest(F.max(F.abs(F.col("t") - F.col("t0"))), F.max(F.abs(F.col("d") - F.col("d0"))))
+            left = new.agg((moved * F.max("n_hosts") * (damping / (1 - damping))).alias("left")).first()["left"]
+            discard(kept)
+            ranks, kept, k = new.drop("t0", "d0"), new, k + 1
+            if left is None or left <= tolerance:
+                break
     discard(edges)
     discard(flow)
+    if kept is not None:
+        discard(seeds)
     return ranks.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"), "n_hosts")
 
 
