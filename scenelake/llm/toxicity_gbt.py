@@ -2,8 +2,10 @@
 
 Learning uses at most MOST_ROWS labelled rows with crc32(doc_id) mod 5 <> 0, those of the least md5(doc_id), in three
 folds: one gives a lexicon of words and word beginnings that toxic texts use more often, one fits the trees, one fits
-the isotonic curve. Labels, language, source and identifiers are never features. Scoring reads every text once where it
-lies: no shuffle; what is broadcast is the sample's keys and the model, both bounded by parameters.
+the isotonic curve. The sampled texts are found in one scan and written; the folds read that table. An entry of the
+lexicon stands in 3 sampled toxic texts or in one of 200, so the sample bounds how many there are; none is cut off. Labels,
+language, source and identifiers are never features. Scoring reads every text once where it lies: no shuffle; what is
+broadcast is the sample's keys and the model, both bounded by the sample.
 
 Edge cases: null text counts as empty and is scored like any text; without usable labels of both classes every score is
 the base rate; repeated rows are scored each for itself; an empty table gives an empty result; further columns are
@@ -22,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
+from .common import discard, materialize
 
-#: Labelled rows that are learned from at most, and entries of the learned lexicon at most.
+#: Labelled rows that are learned from at most.
 MOST_ROWS = 20_000
-MOST_ENTRIES = 4_000
 #: Width within which equal calibrated scores are ordered by the trees' own.
 TIE = 1e-6
 #: Lengths of the word beginnings that the lexicon may hold besides whole words.
@@ -113,6 +115,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """The lexicon, the trees and the calibration curve."""
     sample = F.broadcast(_sample(labels, id_col, label, most_rows))  # most_rows small rows
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(sample, F.col("doc_id") == F.col("s_id")).select("text", "y", "fold", "h")
+    rows = materialize(rows, "toxic-rows")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -140,8 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
         z = (F.col("d1") - (F.col("d0") + F.col("d1")) * (n1 / (n0 + n1))) / F.sqrt((F.col("d0") + F.col("d1")) * (n1 * n0 / (n0 + n1) ** 2))
         best = table.withColumn("odds", odds).withColumn("z", z).where((F.col("d1") >= max(3, n1 // 200)) & (F.col("odds") > 1.0) & (F.col("z") > 4))
-        best = best.orderBy(F.desc(F.col("odds") * F.col("z")), "h").limit(MOST_ENTRIES).select("h", "odds")
-        lexicon = {r["h"]: r["odds"] for r in best.collect()}
+        lexicon = {r["h"]: r["odds"] for r in best.select("h", "odds").collect()}
     lexicon |= {w: max(lexicon.get(w, 0.0), 2.0) for w in INSULTS}
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,6 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     measured = rows.where("fold >= 5").mapInPandas(measure, "y int, fold int, h string, x array<double>")
     # ids that repeat among the documents multiply the sample's rows: the bound holds for what reaches the driver
     data = measured.orderBy("h", "y", "x").limit(most_rows).toPandas()
+    discard(rows)
     x = np.array(data["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     y, fold = data["y"].to_numpy(), data["fold"].to_numpy()
     order = np.lexsort((*x.T, y, fold))  # the fit does not depend on the order in which rows arrive
