@@ -2,7 +2,7 @@
 
 Base spans come from four fixed patterns with checks and always stay. High-recall generators propose further, possibly
 overlapping candidates (spelled-out e-mail addresses, national phone numbers, account and identity numbers, IPv6,
-secrets); boosted trees score format and context features, and one threshold per generator, calibrated by isotonic
+keys, tokens, key blocks, passwords that are announced); boosted trees score format and context features, and one threshold per generator, calibrated by isotonic
 regression on held-out candidates, selects. Features are of format (characters, groups, turns between digits and letters, different characters,
 checksums) and of context (cue words before, what follows). The trees are fitted on the driver on a fixed number of
 made-up examples (TRAIN_TEXTS of each template), whose features are computed by the same expressions, and run as CASE
@@ -39,19 +39,32 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 GENERATORS: dict[str, tuple[str, str, str]] = {
     "spelled": (
         "email",
-        r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+(?: ?[(\[]at[)\]] ?| at )[A-Za-z0-9-]{2,}+"
-        r"(?:(?: ?[(\[]dot[)\]] ?| dot )[A-Za-z]{2,}+)++",
-        r"[( \[]dot[) \]]",
+        r"(?i)(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+(?: ?[(\[{]at[)\]}] ?| at )[A-Za-z0-9-]{2,}+"
+        r"(?:(?: ?[(\[{]dot[)\]}] ?| dot )[A-Za-z]{2,}+)++",
+        r"(?i)[( \[{]dot[) \]}]",
+    ),
+    "number": ("phone", r"(?<![A-Za-z0-9.+])\(?[0-9](?:[ ()./-]{0,3}[0-9]){6,}+", "[0-9]"),
+    "account": ("id", r"(?i)(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])", "[A-Za-z][0-9]"),
+    "lettered": ("id", r"(?<![A-Za-z0-9-])[0-9]{7,9}-?[A-Za-z](?![A-Za-z0-9])", "[0-9]-?[A-Za-z]"),
+    "ipv6": (
+        "ip",
+        r"(?<![A-Za-z0-9:.])(?:(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}"
+        r"|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![A-Za-z0-9:])",
+        "[0-9A-Fa-f]:[0-9A-Fa-f]|::",
     ),
-    "number": ("phone", r"(?<![A-Za-z0-9.+])\(?[0-9](?:[ ()./-]{0,2}[0-9]){6,}+", "[0-9]"),
-    "account": ("id", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z][0-9]"),
-    "ipv6": ("ip", r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9:])", "[0-9A-Fa-f]:[0-9A-Fa-f]"),
     "key": ("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+", "[0-9]"),
+    "parts": ("secret", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{4,}+)?", "eyJ"),
+    "block": ("secret", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*+-----END [A-Z ]{0,40}PRIVATE KEY-----", "PRIVATE KEY"),
+    "password": (
+        "secret",
+        r"(?i)(?<=(?:password|passwort|passwd|passcode|contraseña|mot de passe|pwd|pass)[\"']?[ ]{0,1}(?:[:=]|is|ist|es|est)[ ]{0,1}[\"']?)[^\s\"',;<>]{5,}+",
+        "(?i)pass|pwd|contrase",
+    ),
 }
 CONTEXT = 32
 FEATURES = (
     "len", "digits", "letters", "seps", "opens", "gen_no", "groups", "c_phone", "c_mail", "c_id", "c_secret", "c_noise", "quoted", "ssn",
-    "distinct", "spread", "turns", "upper", "luhn", "mod97", "runs_on", "date",
+    "distinct", "spread", "turns", "upper", "luhn", "mod97", "runs_on", "date", "check_letter", "in_url", "marks", "sign",
 )
 #: Words before a candidate that speak for or against a kind.
 CUES = {
@@ -61,8 +74,10 @@ CUES = {
     "c_secret": "token|key|secret|passw|pwd|api|auth|credential",
     "c_noise": "isbn|order|invoice|page|version|serial|part|total|build|commit|sha|id ",
 }
-#: Characters of a candidate that the spread and the turns are taken over (they level off far below).
+#: The spread is the number of different characters by the length, or by this where the candidate is longer.
 SPREAD = 64
+#: The letter that follows a number by its rest modulo 23, in Spanish identity numbers: fixed value.
+CHECK_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 #: Made-up examples per class and generator that the trees are fitted on.
 TRAIN_TEXTS = 60
 
@@ -105,7 +120,7 @@ def _luhn(m: Column) -> Column:
 
 def _mod97(m: Column) -> Column:
     """Whether an account number's check digits hold (ISO 7064, as in IBAN)."""
-    c = F.translate(m, " ", "")
+    c = F.upper(F.translate(m, " ", ""))
     turned = F.split(F.concat(F.substring(c, F.lit(5), F.length(c)), F.substring(c, 1, 4)), "")
     code = lambda x: F.ascii(x) - F.when(x <= "9", 48).otherwise(55)
     rest = F.aggregate(turned, F.lit(0), lambda a, x: F.when(x == "", a).otherwise((a * F.when(x <= "9", 10).otherwise(100) + code(x)) % 97))
@@ -153,23 +168,32 @@ def _featured(s: Column) -> Column:
     number = F.lit(-1)
     for k, (name, (of, _, _)) in enumerate(GENERATORS.items()):
         kind, number = F.when(s["generator"] == name, of).otherwise(kind), F.when(s["generator"] == name, k).otherwise(number)
-    head = F.substring(m, 1, SPREAD)
-    distinct = F.size(F.array_distinct(F.split(head, "")))
-    ssn = m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
-    kind = F.when(ssn, "id").otherwise(kind)
+    distinct = F.size(F.array_distinct(F.split(m, "")))
+    ssn = m.rlike(r"^[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}$")
+    # a plain number that is announced as an identity or account number, or has the shape of one, is no phone
+    cue = lambda c: before.rlike(CUES[c])
+    kind = F.when((s["generator"] == "number") & (m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$") | (cue("c_id") & ~cue("c_phone"))), "id").otherwise(kind)
+    lettered = s["generator"] == "lettered"
+    rest = F.regexp_extract(m, "^([0-9]+)", 1).try_cast("long") % 23
+    letter = F.upper(F.right(m, F.lit(1))) == F.substring(F.lit(CHECK_LETTERS), rest.cast("int") + 1, F.lit(1))
     values = {
         "len": n, "digits": digits, "letters": n - digits - seps, "seps": seps, "opens": F.length(m) - F.length(F.translate(m, "([", "")),
         "gen_no": number, "groups": F.size(F.split(m, r"[ \-().+/:\[\]]+")), **{c: before.rlike(cue).cast("int") for c, cue in CUES.items()},
         "quoted": before.rlike(r"[\"'=:]\s*$").cast("int"), "ssn": ssn.cast("int"),
         # structure: how many different characters, in all and against their number; changes between digits and letters
         "distinct": distinct, "spread": distinct / F.least(n, F.lit(SPREAD)),
-        "turns": F.length(F.regexp_replace(F.regexp_replace(head, "[0-9]+", "0"), "[A-Za-z]+", "a")),
+        "turns": F.length(F.regexp_replace(F.regexp_replace(m, "[0-9]+", "0"), "[A-Za-z]+", "a")),
         "upper": n - F.length(F.translate(m, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
         # checksums, and whether a letter or digit follows at once
         "luhn": F.when((s["generator"] == "number") & digits.between(13, 19), _luhn(m).cast("int")).otherwise(-1),
         "mod97": F.when(s["generator"] == "account", _mod97(m).cast("int")).otherwise(-1),
         "runs_on": s["after"].rlike("[A-Za-z0-9]").cast("int"),
         "date": m.rlike(r"^(19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|^[0-9]{1,2}[-./][0-9]{1,2}[-./](19|20)?[0-9]{2}\b").cast("int"),
+        "check_letter": F.when(lettered, F.coalesce(letter, F.lit(False)).cast("int")).otherwise(-1),
+        # within a URL or path, marks besides letters and digits, and a known beginning
+        "in_url": before.rlike(r"(://|www\.|/)[^\s]*$").cast("int"),
+        "marks": n - F.length(F.regexp_replace(m, "[^A-Za-z0-9 -]", "")),
+        "sign": m.rlike("^(AKIA|ASIA|ghp_|gho_|sk[_-]|pk[_-]|xox[bp]-|eyJ|-----BEGIN)").cast("int"),
     }
     return F.struct(
         s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), s["generator"].alias("generator"),
@@ -182,6 +206,7 @@ BEFORE = {
     "phone": ("reach me on", "my number is", "ring", "you can call", "Tel.", "phone:", "Handy", "llámame al", "appelez le", "fax", "text me at", "our hotline", ""),
     "mail": ("write to", "send it to", "I am", "contact", "schreib an", "escribe a", "mail", "drop a line:", ""),
     "id": ("SSN", "social security no.", "IBAN", "please pay into", "Konto", "my account is", "tax number", "passport", "transfer to", ""),
+    "password": ("password:", "Password =", "pwd=", "passwd:", "the password is", "Passwort:", "contraseña:", "mot de passe :", 'password="'),
     "secret": ("token =", "API_KEY:", "export SECRET=", "password is", "use the key", "Authorization: Bearer", "aws_access", "client_secret=", "credential"),
     "noise": ("ISBN", "order", "invoice no.", "page", "version", "serial", "part", "total of", "build", "commit", "sha256", "item", "in the year", "on", "see", "id", ""),
 }
@@ -204,6 +229,17 @@ def _examples(seed: int = 7, n: int = TRAIN_TEXTS, before: dict[str, tuple[str,
         t = f"{land}{check:02d}{body}"
         return t if r.random() < 0.5 else " ".join(t[k : k + 4] for k in range(0, len(t), 4))
 
+    def dni() -> str:
+        body = digit(8)
+        return f"{body}{r.choice(['', '-'])}{CHECK_LETTERS[int(body) % 23]}"
+
+    def made_word() -> str:
+        """As people make passwords: words with digits or marks, capitals within, or letters for digits."""
+        return r.choice([
+            lambda: f"{word()}{word()}{digit(r.randint(1, 4))}", lambda: f"{word().title()}{word()}{digit(2)}{r.choice('!?#$&*')}", lambda: f"{word()}{digit(1)}{word()}{word()}",
+            lambda: f"{word().title()}{digit(1)}{word()}{digit(1)}{word()}{r.choice('&!$')}{digit(1)}", lambda: f"{digit(2)}{word()}{r.choice('_-.')}{word()}{digit(2)}", lambda: mixed(r.randint(8, 15)),
+        ])()
+
     good = [
         ("email", lambda: f"{said('mail')} {word()}.{word()} at {word()}{word()} dot {r.choice(['com', 'org', 'co dot uk', 'info'])}"),
         ("email", lambda: f"{said('mail')} {word()}{digit(2)} (at) {word()}mail [dot] {r.choice(['org', 'net', 'de'])}"),
@@ -211,7 +247,17 @@ def _examples(seed: int = 7, n: int = TRAIN_TEXTS, before: dict[str, tuple[str,
         ("phone", lambda: f"{r.choice([b for b in before['phone'] if b])} {r.choice(['0' + digit(2) + ' ' + digit(4) + ' ' + digit(4), digit(3) + '.' + digit(3) + '.' + digit(4)])}"),
         ("id", lambda: f"{said('id')} {digit(3)}-{digit(2)}-{digit(4)}"),
         ("id", lambda: f"{said('id')} {iban()}"),
+        ("id", lambda: f"{r.choice([b for b in before['id'] if b][:2])} {digit(3)} {digit(2)} {digit(4)}"),
+        ("id", lambda: f"{r.choice(['DNI', 'NIF', 'identidad', 'my id', ''])} {dni()}"),
+        ("id", lambda: f"{said('id')} {iban().lower()}"),
         ("ip", lambda: ":".join(hexes(r.choice([3, 4])) for _ in range(8))),
+        ("ip", lambda: f"{r.choice(['from', 'host', 'via', 'ping', 'address', ''])} {r.choice(['fe80', '2001:db8', '2001:' + hexes(3), 'fd' + hexes(2)])}::{':'.join(hexes(r.choice([1, 3, 4])) for _ in range(r.randint(1, 4)))}"),
+        ("phone", lambda: f"{r.choice([b for b in before['phone'] if b])} 0{digit(2)} / {digit(3)} {digit(2)} {digit(2)}"),
+        ("email", lambda: f"{said('mail')} {word()}{word()} AT {word()}{word()} DOT {r.choice(['com', 'org', 'DE'])}"),
+        ("secret", lambda: f"{said('password')}{r.choice(['', ' '])}{made_word()}"),
+        ("secret", lambda: f"{said('password')}{r.choice(['', ' '])}{made_word()}"),
+        ("secret", lambda: f"{r.choice(['token', 'Bearer', 'jwt =', 'cookie:', ''])} eyJ{mixed(r.randint(17, 40))}.eyJ{mixed(r.randint(20, 80))}.{mixed(43)}"),
+        ("secret", lambda: f"{r.choice(['', 'here is the key', 'cat id_rsa'])} -----BEGIN {r.choice(['', 'RSA ', 'EC '])}PRIVATE KEY-----\n{mixed(64)}\n{mixed(30)}==\n-----END {r.choice(['', 'RSA ', 'EC '])}PRIVATE KEY-----"),
         ("secret", lambda: f'{said("secret")} "{r.choice([hexes, mixed])(r.choice([24, 32, 40, 64, 160]))}"'),
         ("secret", lambda: f"{said('secret')} {r.choice(['', 'sk_', 'ghp_', 'AKIA'])}{mixed(r.randint(20, 40))}"),
     ]
@@ -227,6 +273,12 @@ def _examples(seed: int = 7, n: int = TRAIN_TEXTS, before: dict[str, tuple[str,
         ("hash", lambda: f"{r.choice(['commit', 'sha', 'sha256', 'build', 'version'])} {hexes(40)}"),
         ("slug", lambda: f"{word()}-{word()}{word()}-{digit(4)}{word()}{word()}{word()}"),
         ("time", lambda: ":".join(digit(2) for _ in range(4))),
+        ("scope", lambda: f"{r.choice(['std', 'ab', 'cafe', 'dead', 'face', word()])}::{r.choice(['be', 'add', 'beef', 'fade', 'a', word()])}"),
+        ("colons", lambda: f"{word()} {r.choice(['::', ' :: ', 'x::', '::='])} {word()}"),
+        ("slug", lambda: f"https://{word()}.{word()}/{'-'.join(word() for _ in range(r.randint(3, 7)))}-{digit(4)}-{digit(2)}-{digit(2)}-{word()}"),
+        ("slug", lambda: f"{word()}.com/{word()}/{'_'.join(word() for _ in range(r.randint(4, 8)))}{digit(r.randint(1, 5))}.html"),
+        ("rule", lambda: f"{r.choice(['password', 'Passwort', 'pwd', 'contraseña'])}{r.choice([':', ' is', '='])} {r.choice(['required', 'incorrect', 'wrong', 'needed', 'erforderlich', 'changed', 'expired', 'protected', 'optional', 'hidden', 'forgotten', 'stored', 'string', 'empty', 'false', 'correct.', 'unknown'])}"),
+        ("measure", lambda: f"{digit(r.randint(7, 9))}{r.choice('kmgbsxhdc')}"),
     ]
     return [(label, kind, f"{fill()} {make()} {fill()}") for label, kinds in ((1, good), (0, bad)) for kind, make in kinds for _ in range(n)]
 
@@ -289,7 +341,8 @@ def _tree(tree, k: int, c: Column) -> Column:
 
 
 def _merged(base: Column, extra: Column) -> Column:
-    """Base spans and those extra ones that overlap none of them; of overlapping extra ones the better score stays.
+    """Base spans and those extra ones that overlap none of them; of overlapping extra ones the wider of a kind stays, or
+    else the better score.
 
     Two sweeps over the spans by start: forward against the ends of base spans, backward against their starts.
     """
@@ -316,7 +369,11 @@ def _merged(base: Column, extra: Column) -> Column:
     def greedy(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         clash = ~is_base(x) & F.coalesce(~is_base(last) & (last["s"]["end"] > x["s"]["start"]), F.lit(False))
-        better = F.coalesce(x["score"] > last["score"], F.lit(True))
+        # of one kind the wider stays, else the better score
+        same = x["s"]["kind"] == last["s"]["kind"]
+        inside = F.coalesce(same & (x["s"]["end"] <= last["s"]["end"]) & (x["s"]["start"] > last["s"]["start"]), F.lit(False))
+        wider = F.coalesce(same & (x["s"]["end"] > last["s"]["end"]) & (x["s"]["start"] <= last["s"]["start"]), F.lit(False))
+        better = wider | (~inside & F.coalesce(x["score"] > last["score"], F.lit(True)))
         return F.when(clash & better, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(x))).when(clash, acc).otherwise(F.concat(acc, F.array(x)))
 
     ahead = F.aggregate(F.sort_array(all_), F.struct(F.lit(0).alias("edge"), none.alias("out")), forward, lambda a: a["out"])
