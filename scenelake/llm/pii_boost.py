@@ -173,6 +173,10 @@ def _featured(s: Column) -> Column:
     # a plain number that is announced as an identity or account number, or has the shape of one, is no phone
     cue = lambda c: before.rlike(CUES[c])
     kind = F.when((s["generator"] == "number") & (m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$") | (cue("c_id") & ~cue("c_phone"))), "id").otherwise(kind)
+    # what has the form and the check digits of an account number is one, whoever proposes it
+    account = (s["generator"] == "account") | ((s["generator"] == "key") & m.rlike("(?i)^[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}$"))
+    checked = F.when(account, _mod97(m))
+    kind = F.when((s["generator"] == "key") & F.coalesce(checked, F.lit(False)), "id").otherwise(kind)
     lettered = s["generator"] == "lettered"
     rest = F.regexp_extract(m, "^([0-9]+)", 1).try_cast("long") % 23
     letter = F.upper(F.right(m, F.lit(1))) == F.substring(F.lit(CHECK_LETTERS), rest.cast("int") + 1, F.lit(1))
@@ -186,7 +190,7 @@ def _featured(s: Column) -> Column:
         "upper": n - F.length(F.translate(m, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
         # checksums, and whether a letter or digit follows at once
         "luhn": F.when((s["generator"] == "number") & digits.between(13, 19), _luhn(m).cast("int")).otherwise(-1),
-        "mod97": F.when(s["generator"] == "account", _mod97(m).cast("int")).otherwise(-1),
+        "mod97": F.coalesce(checked.cast("int"), F.lit(-1)),
         "runs_on": s["after"].rlike("[A-Za-z0-9]").cast("int"),
         "date": m.rlike(r"^(19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|^[0-9]{1,2}[-./][0-9]{1,2}[-./](19|20)?[0-9]{2}\b").cast("int"),
         "check_letter": F.when(lettered, F.coalesce(letter, F.lit(False)).cast("int")).otherwise(-1),
@@ -278,6 +282,7 @@ def _examples(seed: int = 7, n: int = TRAIN_TEXTS, before: dict[str, tuple[str,
         ("slug", lambda: f"https://{word()}.{word()}/{'-'.join(word() for _ in range(r.randint(3, 7)))}-{digit(4)}-{digit(2)}-{digit(2)}-{word()}"),
         ("slug", lambda: f"{word()}.com/{word()}/{'_'.join(word() for _ in range(r.randint(4, 8)))}{digit(r.randint(1, 5))}.html"),
         ("rule", lambda: f"{r.choice(['password', 'Passwort', 'pwd', 'contraseña'])}{r.choice([':', ' is', '='])} {r.choice(['required', 'incorrect', 'wrong', 'needed', 'erforderlich', 'changed', 'expired', 'protected', 'optional', 'hidden', 'forgotten', 'stored', 'string', 'empty', 'false', 'correct.', 'unknown'])}"),
+        ("name", lambda: f"{r.choice(['set', 'export', 'the variable', 'in', 'see', 'use'])} {'_'.join(upper(r.randint(2, 7)) for _ in range(r.randint(3, 5)))}{r.choice(['=', ' =', ' first', ''])}"),
         ("measure", lambda: f"{digit(r.randint(7, 9))}{r.choice('kmgbsxhdc')}"),
     ]
     return [(label, kind, f"{fill()} {make()} {fill()}") for label, kinds in ((1, good), (0, bad)) for kind, make in kinds for _ in range(n)]
