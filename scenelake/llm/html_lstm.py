@@ -5,8 +5,8 @@ parent>child pairs, words of class, id and role), its hashed words and a few mea
 punctuation). A bidirectional LSTM in numpy reads the sequence of a page's blocks and labels each main text or not, so
 a block's neighbours and the whole page take part in its label.
 
-The network is fitted on the driver on TRAIN_PAGES made-up pages with known labels (seeded: the same weights every
-time); no row of the input is learned from. Labelling reads each page where it lies: no shuffle; what is broadcast is
+The network is fitted on the driver on TRAIN_PAGES made-up pages with known labels, a third of them in layouts whose tags
+and names tell nothing (seeded: the same weights every time); no row of the input is learned from. Labelling reads each page where it lies: no shuffle; what is broadcast is
 the weights (about 100 kB).
 
 Edge cases: null or empty html, and pages without main text, give an empty text; character references without a
@@ -28,10 +28,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH_DIM, WORD_DIM, MEASURES = 192, 32, 7
+PATH_DIM, WORD_DIM, MEASURES = 192, 32, 11
 INPUT = PATH_DIM + WORD_DIM + MEASURES
 HIDDEN = 16
-TRAIN_PAGES = 640
+TRAIN_PAGES = 900
 #: Blocks, padding included, that are labelled together; a longer page is read in strips of as many.
 CELLS = 8192
 #: Characters of html whose pages are labelled together.
@@ -45,6 +45,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN_TAGS = frozenset("script style template head title noscript iframe object svg canvas audio video select textarea button option".split())
 #: Start tags that leave an open head open; all others, and text, end it.
 HEAD_TAGS = frozenset("html head base link meta script style template title noscript".split())
+#: Words that pages put around their text, in four languages, as beginnings.
+AROUND = (
+    "copyright", "©", "rights", "reserved", "cookie", "subscri", "newsletter", "advert", "sponsor", "login", "log", "sign", "privacy", "terms", "contact", "imprint", "impressum",
+    "datenschutz", "anzeige", "werbung", "anmelden", "abonn", "publicidad", "aviso", "derechos", "suscr", "privacidad", "publicit", "droits", "mentions", "connexion", "share",
+    "comment", "reply", "related", "search", "home", "menu", "skip", "follow",
+)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z0-9]+")
 
@@ -170,9 +176,10 @@ class Inputs:
             n = len(words)
             x[k, PATH_DIM : PATH_DIM + WORD_DIM] *= 0.25 / max(n, 1) ** 0.5
             dots = text.count(".") + text.count("!") + text.count("?")
+            around = sum(w.startswith(AROUND) for w in words)
             x[k, -MEASURES:] = (
                 min(np.log1p(len(text)) / 8, 1.5), min(linked, 1.0), at_page / len(page), 1.0 / (1 + at_page), n < 4,
-                min(dots / max(n, 1), 1.0), "©" in text,
+                min(dots / max(n, 1), 1.0), "©" in text, min(around / max(n, 1) * 4, 1.0), around > 0, n >= 12 and dots > 0 and linked < 0.3, len(page) == 1,
             )
         return x
 
@@ -339,6 +346,9 @@ def made_up_page(r: random.Random) -> tuple[str, list[str]]:
 
     def paragraph() -> str:
         k = r.random()
+        if r.random() < 0.08:  # an article may hold what pages put around theirs
+            main.append(r.choice(["All rights reserved.", "We use cookies.", "Sponsored", "Subscribe", "Home", "Comments", "Advertisement"]) if r.random() < 0.6 else f"{r.choice(['Copyright', 'Contact', 'Share', 'Privacy', 'Terms', 'Related', 'Cookies'])} {say(0, 12)}".strip())
+            return f"<p{noise()}>{main[-1]}</p>"
         if k < 0.55:
             return f"<p{noise()}>{keep(1, 90)}</p>"
         if k < 0.65:
@@ -358,6 +368,9 @@ def made_up_page(r: random.Random) -> tuple[str, list[str]]:
             return f"<div{noise()}><p>{keep(3, 60)}</p></div>"
         return f"<figure><img src=x><figcaption>{keep(2, 12)}</figcaption></figure>"
 
+    if (plain := r.random()) < 0.34:
+        page = _nameless(r, main, say, items, word, plain / 0.34)
+        return f"<!DOCTYPE html><html><head><title>{say(1, 9)}</title></head><body>{page}</body></html>", main
     before = [other(k) for k in ("nav", "header", "ad", "notice", "form", "share") if r.random() < {"nav": 0.8, "header": 0.5, "ad": 0.6}.get(k, 0.25)]
     r.shuffle(before)
     body = []
@@ -382,6 +395,34 @@ def made_up_page(r: random.Random) -> tuple[str, list[str]]:
     return page, main
 
 
+def _nameless(r: random.Random, main: list[str], say, items, word, kind: float) -> str:
+    """The body of a page whose tags and names tell nothing: divisions with numbered classes, tables for layout, bare text."""
+    div = lambda inner: f"<div{r.choice(['', f' class=c{r.randint(1, 9)}', f' class="{word()}"', f' id=x{r.randint(1, 99)}'])}>{inner}</div>"
+    sentences = lambda n: " ".join(say(6, 18).rstrip(".!") + "." for _ in range(n))
+
+    def text(n: int) -> str:
+        main.append(sentences(n))
+        return main[-1]
+
+    around = lambda *w: f"{r.choice(w)} {say(0, 6)}".strip()
+    menu = lambda: r.choice([div, str])("".join(f"<a href=/{word()}>{r.choice(['Home', 'Contact', say(1, 2), say(1, 3)])}</a>{r.choice([' ', ' | ', '<br>'])}" for _ in range(r.randint(2, 8))))
+    foot = lambda: r.choice([f"Copyright {r.randint(1999, 2030)}", f"&copy; {r.randint(1999, 2030)} {say(1, 4)}", around("All rights reserved.", "Privacy", "Terms", "Impressum", "Alle Rechte vorbehalten.", "Todos los derechos reservados.")])
+    extra = lambda: r.choice([lambda: around("Advertisement", "Sponsored", "Anzeige", "Publicidad"), lambda: around("We use cookies", "Cookies", "Subscribe to our newsletter", "Sign up", "Log in"), lambda: f"<ul>{items(r.randint(2, 5), 1.0)}</ul>", lambda: around("Share", "Follow us", "Related", "Search", "Comments")])()
+    if kind < 0.15:  # nothing but text
+        t = text(r.randint(1, 6))
+        return r.choice([t, f"<p>{t}</p>", div(t), div(div(t))])
+    wrap = r.choice([lambda x: f"<p>{x}</p>", div, div])
+    core = "".join(wrap(text(r.randint(1, 5))) for _ in range(r.randint(1, 7)))
+    if kind < 0.45:  # a table for layout: menu and text side by side, rows above and below
+        cells = [f"<td>{menu()}</td>", f"<td>{core}</td>"] + ([f"<td>{extra()}</td>"] if r.random() < 0.4 else [])
+        rows = ([f"<tr><td>{menu()}</td></tr>"] if r.random() < 0.4 else []) + [f"<tr>{''.join(cells)}</tr>"] + ([f"<tr><td>{foot()}</td></tr>"] if r.random() < 0.8 else [])
+        return f"<table>{''.join(rows)}</table>"
+    above = [div(f()) for f in (menu, extra) if r.random() < 0.5]
+    below = [div(f()) for f in (extra, menu, foot) if r.random() < 0.5]
+    inner = r.choice([div, lambda x: div(div(x)), str])(core)
+    return "".join(above) + inner + "".join(below)
+
+
 def training_set(n: int = TRAIN_PAGES, seed: int = 5) -> tuple[list[np.ndarray], list[np.ndarray]]:
     r, inputs, xs, ys = random.Random(seed), Inputs(), [], []
     for _ in range(n):

@@ -423,6 +423,33 @@ def test_labeller_on_unseen_layouts():
     assert wrong <= 0.02 * sum(map(len, ys))
 
 
+#: Layouts written by hand, without telling names: html and the main text.
+PLAIN_PAGES = [
+    ("<html><body><div class=c1><div class=c2>The council met on Tuesday to discuss the new bridge. It will cost four million and open next spring.</div>"
+     "<div class=c2>Residents had asked for it for years. The mayor said that work begins in May, when the river is low.</div></div></body></html>",
+     ["The council met on Tuesday to discuss the new bridge. It will cost four million and open next spring.", "Residents had asked for it for years. The mayor said that work begins in May, when the river is low."]),
+    ("<p>An unmarked single text stands here, with two sentences. It is the whole page.</p>", ["An unmarked single text stands here, with two sentences. It is the whole page."]),
+    ("Only some plain text on a page, nothing else at all.", ["Only some plain text on a page, nothing else at all."]),
+    ("<table><tr><td><a href=/a>Home</a> <a href=/b>News</a> <a href=/c>Sport</a></td><td><p>The river rose by two metres last night. Several roads are closed, and schools stay shut.</p>"
+     "<p>Officials expect the water to fall again on Friday.</p></td></tr><tr><td>Copyright 2020</td></tr></table>",
+     ["The river rose by two metres last night. Several roads are closed, and schools stay shut.", "Officials expect the water to fall again on Friday."]),
+    ("<div id=x1><a href=/>Start</a> | <a href=/b>Archive</a> | <a href=/c>About</a></div><div id=x2><div>Bees sleep between five and eight hours a day. Some do it in flowers, holding each other's feet.</div>"
+     "<div>Researchers filmed them for a month and counted every pause they made.</div></div><div id=x3>&copy; 2019 Bee Journal. All rights reserved.</div>",
+     ["Bees sleep between five and eight hours a day. Some do it in flowers, holding each other's feet.", "Researchers filmed them for a month and counted every pause they made."]),
+    ("<center><table><tr><td>Advertisement</td></tr><tr><td><p>He walked along the shore until the light was gone. Then he turned and went home.</p></td></tr></table></center>",
+     ["He walked along the shore until the light was gone. Then he turned and went home."]),
+]
+
+
+def test_layouts_without_names():
+    net = html_lstm.fitted()
+    got = [t.split("\n\n") for t in html_lstm.main_text(net, html_lstm.Inputs(), [h for h, _ in PLAIN_PAGES])]
+    right = [g == want for g, (_, want) in zip(got, PLAIN_PAGES, strict=True)]
+    print("by hand:", sum(right), "of", len(right), [g for g, ok in zip(got, right, strict=True) if not ok])
+    assert all(right[:4])
+    assert sum(right) >= 5
+
+
 def test_labels_do_not_depend_on_groups_and_strips():
     net, r = html_lstm.BiLSTM.fresh(2), np.random.default_rng(1)
     pages = [r.standard_normal((n, html_lstm.INPUT)).astype(np.float32) for n in (3, 90, 0, 11, 40)]
