@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import discard, materialize, partitions
 from .simhash_bktree import _LOWER, _WORD, BKTree, Union, _groups, components, numbered, survivors
 
 WORDS = 5
@@ -157,8 +157,8 @@ def near_duplicates(rows: DataFrame, text: str = "text", words: int = WORDS, sim
     # the same components by fewer edges: a node and its firsts all lead to the least of these
     stars = stars.distinct().withColumn("m", F.min("b").over(Window.partitionBy("a")))
     stars = materialize(stars, "wide-stars")
-    cand = components(stars.select("a", F.col("m").alias("b")).unionByName(stars.select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
-    cand = materialize(cand.join(slim, cand.node == slim.row).select("node", F.col("component").alias("first"), "text"), "wide-candidates")
+    grouped = components(stars.select("a", F.col("m").alias("b")).unionByName(stars.select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+    cand = materialize(grouped.join(slim, grouped.node == slim.row).select("node", F.col("component").alias("first"), "text"), "wide-candidates")
 
     def to_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut, at, s = Shingles(words), None, None
@@ -205,7 +205,11 @@ def near_duplicates(rows: DataFrame, text: str = "text", words: int = WORDS, sim
     edges = found.unionByName(judged.where("close").select(F.col("node").alias("a"), F.col("first").alias("b")))
     comp = components(edges)
     of_set = nodes.join(comp, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
-    return signed.select(F.col("row").alias("__row"), "same").join(of_set, "same").select("__row", "component_id")
+    of_set = materialize(of_set, "wide-of-set")  # equal texts are many rows: the join reads two tables, so it can be split
+    out = materialize(signed.select(F.col("row").alias("__row"), "same").join(of_set, "same").select("__row", "component_id"), "wide-rows")
+    for done in (signed, nodes, least, stars, grouped, cand, judged, far, comp, of_set):
+        discard(done)
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
