@@ -6,13 +6,18 @@ bits of two fingerprints differ with probability 0.15, so links lie some 10 bits
 standard deviations). No choice of whole bit blocks holds such pairs (a key of 24 bits agrees in 2 % of them), so the
 shards of the search are made from the texts' shingles: the minima of 128 hashes, cut in BANDS bands; texts that agree in
 a band are of one shard. A pair of similarity s is in no shard together with probability (1 - s^4)^32: 5e-8 at 0.8, less
-above; this and the radius are the only chance in it, and both are seeded.
+above; this, the radius and the signatures' bound are the only chance in it, and all are seeded.
 
 Texts with equal sets are one node from the start. Overlapping shards are joined to candidate groups. Each node is
 compared with its group's least node first; only what is not near it (far nodes) goes on to the search, in cells of at
-most two chunks. A cell is one BK-tree over its fingerprints; far nodes are searched along its edges within the radius,
-and each hit between nodes that are not joined yet is checked by its sets. So a large group of copies costs one
-comparison a node, no pairs of its nodes are made, and components stay whole.
+most two chunks. So a large group of copies costs one comparison a node, no pairs of its nodes are made, and components
+stay whole.
+
+Shards of unlike texts can chain into one large group whose nodes are nearly all far. So a cell first holds fingerprints
+and signatures only (8 + 128 bytes a node): far nodes are searched in one BK-tree along the edges within the radius, and a
+hit is live if as many of the 128 minima agree as at the similarity, less 5.5 standard deviations. Texts are fetched for
+live nodes alone, to the cells where they are live; there the search is made again and each hit between nodes that are
+not joined yet is checked by its sets.
 
 Edge cases: fewer than WORDS words make one shingle; null or empty texts, or without words, have an empty set and equal
 each other only. Rows are told apart by row number (see simhash_bktree.dedup): null ids and repeated rows take part like
@@ -34,8 +39,8 @@ from .simhash_bktree import _LOWER, _WORD, BKTree, Union, _groups, components, n
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, PER_BAND = 32, 4
-#: Nodes of each kind in one cell.
-CHUNK = 256
+#: Nodes of each kind in one cell; pairs whose signatures are compared at a time.
+CHUNK, PAIRS = 512, 1 << 16
 SEED = 42
 _MUL = np.random.default_rng(SEED).integers(0, 2**63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -72,17 +77,56 @@ class Shingles:
         return np.unique(_mix(out))
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of a non-empty set."""
+def minima(s: np.ndarray) -> np.ndarray:
+    """The least of a set's values under each hash; the largest number for the empty set."""
     low = np.full(len(_MUL), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(s), 512):
         low = np.minimum(low, (s[k : k + 512, None] * _MUL).min(axis=0))
+    return low
+
+
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of a set's minima."""
     key = np.arange(BANDS, dtype=np.uint64)
     for col in low.reshape(BANDS, PER_BAND).T:
         key = _mix(key * _STEP + col)
     return key
 
 
+def signature(low: np.ndarray) -> bytes:
+    """A byte of each minimum."""
+    return _mix(low).astype(np.uint8).tobytes()
+
+
+def least_agreement(similarity: float) -> float:
+    """Share of the signatures' bytes that agree, at least, at this similarity: 5.5 deviations below it."""
+    return similarity - 5.5 * float(np.sqrt(similarity * (1 - similarity) / (BANDS * PER_BAND)))
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of equal bytes, row by row."""
+    return (a == b).mean(axis=1)
+
+
+def signatures(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+
+
+def live_nodes(fps: np.ndarray, sigs: np.ndarray, far: np.ndarray, similarity: float) -> np.ndarray:
+    """Which nodes of a cell have a partner that may be near; one of the two is far."""
+    tree, least, out = BKTree(fps), least_agreement(similarity), np.zeros(len(fps), bool)
+    asked, step = np.flatnonzero(far), max(1, PAIRS // max(len(fps), 1))
+    for lo in range(0, len(asked), step):
+        q, v = tree.within(fps[asked[lo : lo + step]], radius_for(similarity))
+        q = asked[lo + q]
+        q, v = q[q != v], v[q != v]
+        for at in range(0, len(q), PAIRS):
+            i, j = q[at : at + PAIRS], v[at : at + PAIRS]
+            hit = agreement(sigs[i], sigs[j]) >= least
+            out[i[hit]] = out[j[hit]] = True
+    return out
+
+
 def near(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether the Jaccard similarity of two sorted sets is at least ``similarity``."""
     if len(a) > len(b):
@@ -144,12 +188,17 @@ def near_duplicates(rows: DataFrame, text: str = "text", words: int = WORDS, sim
 
         cut = Shingles(words)
         for b in batches:
-            sets = [cut(t) for t in b["text"]]
-            same = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"row": b["row"], "same": same, "keys": [band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]})
+            rows_ = []
+            for row, t in zip(b["row"], b["text"], strict=True):
+                s = cut(t)
+                low = minima(s)
+                keys = band_keys(low).view(np.int64) if len(s) else np.zeros(0, np.int64)
+                rows_.append((row, xxh64_intdigest(s.tobytes(), SEED), keys, fingerprint_of(s), signature(low)))
+            out = pd.DataFrame(rows_, columns=["row", "same", "keys", "fp", "sig"])
+            yield out.assign(same=out["same"].to_numpy(np.uint64).view(np.int64), fp=out["fp"].to_numpy(np.uint64).view(np.int64))
 
     slim = rows.select(F.col("__row").alias("row"), F.col(f"`{text}`").alias("text"))
-    signed = materialize(slim.mapInPandas(sign, "row long, same long, keys array<long>"), "wide-keys")
+    signed = materialize(slim.mapInPandas(sign, "row long, same long, keys array<long>, fp long, sig binary"), "wide-keys")
     nodes = materialize(signed.groupBy("same").agg(F.min("row").alias("node")), "wide-nodes")
     placed = signed.join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), F.explode("keys").alias("key"))
     least = materialize(placed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b"), "wide-least")
@@ -158,7 +207,16 @@ def near_duplicates(rows: DataFrame, text: str = "text", words: int = WORDS, sim
     stars = stars.distinct().withColumn("m", F.min("b").over(Window.partitionBy("a")))
     stars = materialize(stars, "wide-stars")
     grouped = components(stars.select("a", F.col("m").alias("b")).unionByName(stars.select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
-    cand = materialize(grouped.join(slim, grouped.node == slim.row).select("node", F.col("component").alias("first"), "text"), "wide-candidates")
+    cand = materialize(grouped.join(signed, grouped.node == signed.row).select("node", F.col("component").alias("first"), "fp", "sig"), "wide-candidates")
+
+    # a node against its group's first: by their signatures, and by their sets where these leave it open
+    def may_be(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            may = agreement(signatures(b["sig"]), signatures(b["first_sig"])) >= least_agreement(similarity) if len(b) else []
+            yield b[["node", "first"]].assign(may=may)
+
+    heads = cand.where("node = first").select("first", F.col("sig").alias("first_sig"))
+    may = materialize(cand.where("node <> first").join(heads, "first").mapInPandas(may_be, "node long, first long, may boolean"), "wide-may")
 
     def to_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut, at, s = Shingles(words), None, None
@@ -168,10 +226,17 @@ def near_duplicates(rows: DataFrame, text: str = "text", words: int = WORDS, sim
                 if first != at:
                     at, s = first, cut(u)
                 hit.append(near(cut(t), s, similarity))
-            yield pd.DataFrame({"node": b["node"], "first": b["first"], "close": hit})
-
-    firsts = cand.where("node = first").select("first", F.col("text").alias("first_text"))
-    judged = materialize(cand.where("node <> first").join(firsts, "first").mapInPandas(to_first, "node long, first long, close boolean"), "wide-judged")
+            yield pd.DataFrame({"node": b["node"], "close": hit})
+
+    asked = may.where("may").select("node", "first")
+    texts = materialize(asked.join(slim, F.col("node") == F.col("row")).select("node", "first", "text"), "wide-texts")
+    firsts = asked.select("first").distinct().join(slim, F.col("first") == F.col("row")).select("first", F.col("text").alias("first_text"))
+    firsts = materialize(firsts, "wide-firsts")
+    close = materialize(texts.join(firsts, "first").mapInPandas(to_first, "node long, close boolean"), "wide-close")
+    judged = may.join(close, "node", "left").select("node", "first", F.coalesce("close", F.lit(False)).alias("close"))
+    judged = materialize(judged, "wide-judged")
+    for done in (may, texts, firsts, close):
+        discard(done)
     # cells: each chunk of far nodes with each chunk of close ones and with each other chunk of far ones
     far = judged.where("not close").groupBy("first").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n_far"))
     n_close = judged.where("close").groupBy("first").agg(F.count("*").alias("n"))
@@ -189,9 +254,20 @@ def near_duplicates(rows: DataFrame, text: str = "text", words: int = WORDS, sim
         F.transform(F.filter(count("n_far"), lambda j: j != own), lambda j: cell(F.least(own, j), F.greatest(own, j), True)),
     )
     of_close = F.transform(count("n_far"), lambda i: cell(i, own, False))
-    cells = some.select("node", "first", "close", "text", F.explode(F.when(F.col("close"), of_close).otherwise(of_far)).alias("cell"))
+    cells = some.select("node", "first", "close", "fp", "sig", F.explode(F.when(F.col("close"), of_close).otherwise(of_far)).alias("cell"))
     by = ["first", "far_only", "i", "j"]
-    cells = cells.select("node", "first", "close", "text", "cell.far_only", "cell.i", "cell.j")
+    cells = cells.select("node", "first", "close", "fp", "sig", "cell.far_only", "cell.i", "cell.j")
+
+    def alive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for c in _groups(batches, by):
+            live = live_nodes(c["fp"].to_numpy(np.int64).view(np.uint64), signatures(c["sig"]), ~c["close"].to_numpy(bool), similarity)
+            if live.any():
+                yield c.loc[live, ["node", "close", *by]]
+
+    found = cells.repartition(partitions(spark), *by).sortWithinPartitions(*by).mapInPandas(alive, "node long, close boolean, first long, far_only boolean, i int, j int")
+    live = materialize(found, "wide-live")
+    lit = materialize(live.select("node").distinct().join(slim, F.col("node") == F.col("row")).select("node", "text"), "wide-live-texts")
+    cells = live.join(lit, "node")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = Shingles(words)
@@ -207,7 +283,7 @@ def near_duplicates(rows: DataFrame, text: str = "text", words: int = WORDS, sim
     of_set = nodes.join(comp, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
     of_set = materialize(of_set, "wide-of-set")  # equal texts are many rows: the join reads two tables, so it can be split
     out = materialize(signed.select(F.col("row").alias("__row"), "same").join(of_set, "same").select("__row", "component_id"), "wide-rows")
-    for done in (signed, nodes, least, stars, grouped, cand, judged, far, comp, of_set):
+    for done in (signed, nodes, least, stars, grouped, cand, judged, far, live, lit, comp, of_set):
         discard(done)
     return out
 

@@ -77,6 +77,23 @@ def test_radius_and_cells():
         assert {(want[i], rows[k][0]) for (i, _), k in zip(rows, root, strict=True)} == {(want[i], want[i]) for i, _ in rows}
 
 
+def test_live_nodes_are_all_that_may_link():
+    """No node with a link in its cell is left out; of unlike texts hardly any is live."""
+    cut = wide.Shingles()
+    rows = [t for _, t in made_up(6) if t] + [words(random.Random(k), 150) for k in range(60)]
+    sets = [cut(t) for t in rows]
+    low = [wide.minima(s) for s in sets]
+    fps = np.array([wide.fingerprint_of(s) for s in sets], np.uint64)
+    sigs = np.array([np.frombuffer(wide.signature(x), np.uint8) for x in low])
+    live = wide.live_nodes(fps, sigs, np.ones(len(rows), bool), 0.8)
+    for i, a in enumerate(sets):
+        if any(j != i and wide.near(a, b, 0.8) for j, b in enumerate(sets)):
+            assert live[i]
+    assert live[-60:].sum() <= 1
+    assert not wide.live_nodes(fps, sigs, np.zeros(len(rows), bool), 0.8).any()
+    assert wide.least_agreement(0.8) < 0.61
+
+
 def test_the_pipelines_stage_takes_similar_texts(spark):
     rows = made_up(9)
     stage = dict(p.STAGES)["near_dedup"]
