@@ -3,7 +3,7 @@
 A text is cut at added special tokens (one token each) and then by the pre-tokenizer's pattern. The bytes of a piece are
 a doubly linked list of symbols; a heap holds the adjacent pairs by merge rank and the lowest is popped again and again.
 The count is the number of initial symbols less the merges: no token identifiers are made. Counts of pieces are kept
-in a table of at most MOST_PIECES entries per task, which is emptied when full.
+in a table of about MOST_BYTES per task, which is emptied when full.
 
 Each document is counted by itself where it is read: no shuffle. The merge table is broadcast; its size is that of the
 vocabulary file.
@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 512
-MOST_PIECES = 2_000_000
+#: Bytes of pieces that a task remembers, and what one takes besides its own, about.
+MOST_BYTES, ENTRY = 64_000_000, 150
 #: The byte-level pre-tokenizer's pattern and the code points Unicode calls white space: fixed values.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 PATTERN = (
@@ -59,6 +60,7 @@ class Counter:
         special = sorted(spec["special"], key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, special))).split if special else lambda t: [t]
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def piece(self, text: str) -> int:
         """Tokens of one pre-token."""
@@ -96,11 +98,14 @@ class Counter:
             try:
                 total += sum(map(known.__getitem__, pieces))
             except KeyError:
-                if len(known) > MOST_PIECES:
-                    known.clear()
                 for p in pieces:
                     if (c := known.get(p)) is None:
-                        c = known[p] = self.piece(p)
+                        c = self.piece(p)
+                        if self.held > MOST_BYTES:
+                            known.clear()
+                            self.held = 0
+                        known[p] = c
+                        self.held += ENTRY + len(p)
                     total += c
         return total + len(parts) - 1
 
