@@ -43,7 +43,7 @@ CHUNK = 2_000_000
 #: Bytes that are suffix-sorted together.
 PIECE = 250_000
 #: Ranges of anchors that a partition is worked off in.
-SUBS = 8
+SUBS = 4
 MOST_LENGTH = 1_000_000
 _POS = 22
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers of the hash
