@@ -51,7 +51,7 @@ TILE, PAIRS = 4096, 16384
 
 def compressed(v: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
     """(rows, 2 * segments): each segment's part along its diagonal, then the norm of what is left."""
-    s = v.reshape(len(v), segments, -1).astype(np.float64)
+    s = v.reshape(len(v), segments, v.shape[1] // segments).astype(np.float64)
     along = s.sum(axis=2) / np.sqrt(s.shape[2])
     left = np.sqrt(np.maximum((s * s).sum(axis=2) - along * along, 0.0))
     return np.concatenate([along, left], axis=1)
