@@ -133,7 +133,7 @@ def euler_basis(angles: Column) -> Column:
         )
 
     cos, sin = F.transform(angles, lambda a: F.cos(a)), F.transform(angles, lambda a: F.sin(a))
-    return let(cos, lambda c: let(sin, lambda s: axes(c, s)))
+    return F.when(angles.isNotNull(), let(cos, lambda c: let(sin, lambda s: axes(c, s))))
 
 
 def basis_euler(basis: Column) -> Column:

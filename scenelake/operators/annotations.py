@@ -55,7 +55,7 @@ def label_anchor(bbox: Column) -> tuple[Column, Column]:
 OPTIONAL = ("amodal_segmentation", "metadata")
 
 
-def _json(df: DataFrame) -> Column:
+def json_object(df: DataFrame) -> Column:
     """A row as a JSON object, without those optional keys that are null."""
     full = {"ignoreNullFields": "false"}
     head = F.to_json(F.struct(*[c for c in df.columns if c not in OPTIONAL]), full)
@@ -72,7 +72,7 @@ def document_lines(image_table: DataFrame, annotation_table: DataFrame, categori
     head = image_table.sparkSession.createDataFrame(
         [(0, 0, None, '{"images":['), (1, 0, None, '],"annotations":['), (2, 0, None, '],"categories":['), (3, 0, None, "]}")], "section int, rank int, id long, value string",
     )
-    each = [df.select(F.lit(k).alias("section"), F.lit(1).alias("rank"), F.col("id").cast("long").alias("id"), _json(df).alias("value")) for k, df in enumerate((image_table, annotation_table, categories))]
+    each = [df.select(F.lit(k).alias("section"), F.lit(1).alias("rank"), F.col("id").cast("long").alias("id"), json_object(df).alias("value")) for k, df in enumerate((image_table, annotation_table, categories))]
     rows = written(reduce(DataFrame.unionByName, each), "document-rows")
     first = rows.groupBy(F.col("section").alias("__s")).agg(F.min("id").alias("__first"))  # three rows
     rows = rows.join(F.broadcast(first), F.col("section") == F.col("__s"))
@@ -84,7 +84,7 @@ def document(image_table: DataFrame, annotation_table: DataFrame, categories: Da
     """One row, one JSON string: images, annotations, categories by id. For datasets that fit one row; see document_lines."""
     whole = None
     for name, df in (("images", image_table), ("annotations", annotation_table), ("categories", categories)):
-        rows = df.select("id", _json(df).alias("r")).agg(F.sort_array(F.collect_list(F.struct("id", "r"))).alias(name))
+        rows = df.select("id", json_object(df).alias("r")).agg(F.sort_array(F.collect_list(F.struct("id", "r"))).alias(name))
         text_ = rows.select(F.concat(F.lit(f'"{name}":['), F.array_join(F.col(f"{name}.r"), ","), F.lit("]")).alias(name))
         whole = text_ if whole is None else whole.crossJoin(text_)  # one row each
     return whole.select(F.concat(F.lit("{"), F.concat_ws(",", "images", "annotations", "categories"), F.lit("}")).alias("value"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, rng, sizing
-from ..scratch import written
+from ..scratch import dropped, written
 
 
 def attempts(scenes: DataFrame, most: int = 3) -> DataFrame:
@@ -26,18 +26,17 @@ def retried(objects: DataFrame, scene: list[str], judge: Callable[[DataFrame], D
     one attempt to the next is a table of scene keys; draws are named by the attempt, so the result is the same as if all
     attempts of all scenes had been placed.
     """
-    done, left, again = [], objects, None
+    objects = written(objects, "retried-objects")
+    done, left = [], objects
     for k in range(most):
         tried = written(judge(left.withColumn(attempt, F.lit(k))).select(*scene, F.col("has_overlap").alias("__bad")), "retried")
         failed = tried.where("__bad").select(*scene)
-        if last := k == most - 1 or failed.isEmpty():
+        if k == most - 1 or failed.isEmpty():
             done.append(tried.select(*scene, F.when(~F.col("__bad"), k).alias(attempt)))
-        else:
-            done.append(tried.where(~F.col("__bad")).select(*scene, F.lit(k).alias(attempt)))
-            again = failed
-        if last:
             break
-        left = objects.join(again, scene, "left_semi")
+        done.append(tried.where(~F.col("__bad")).select(*scene, F.lit(k).alias(attempt)))
+        left = objects.join(failed, scene, "left_semi")
+    dropped(objects)
     return reduce(DataFrame.unionByName, done)
 
 

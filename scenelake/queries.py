@@ -629,6 +629,18 @@ def coco_document(spark, d):
     return r.select("id", "image_id", "category_id", "area", F.col("bbox")[0].alias("x"), "n_images", "n_categories", "names", "images_md5")
 
 
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN printf('{"id":%d}', o_orderkey) ELSE printf('{"id":%d,"metadata":{"shape":%s,"target_size_m":%s,"placement_mode":"scatter","stack_layer":%s,"camera_distance_m":%s,"front_world_normal":[0.0,0.0,1.0],"back_world_normal":[0.0,0.0,-1.0],"top_world_normal":[0.0,1.0,0.0]}}',
+ o_orderkey, CASE WHEN o_custkey % 3 = 1 THEN '"box"' ELSE 'null' END, ((o_custkey % 8 + 1) / 8e0)::VARCHAR, CASE WHEN o_custkey % 2 = 0 THEN (o_custkey % 4)::VARCHAR ELSE 'null' END, ((o_custkey % 16) / 4e0)::VARCHAR) END AS value FROM orders""")
+def annotation_json(spark, d):
+    """Annotations as JSON: an absent metadata is left out, nulls within it are written, an empty shape is null."""
+    k, one = F.col("o_custkey"), [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    meta = ann.metadata(
+        F.when(k % 3 == 0, "").when(k % 3 == 1, "box"), (k % 8 + 1) / 8, F.lit("scatter"), F.when(k % 2 == 0, k % 4), (k % 16) / 4, geometry.world_normals(F.array(*map(F.lit, one))),
+    )
+    a = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "P", meta).alias("metadata"))
+    return a.select("id", ann.json_object(a).alias("value"))
+
+
 @query(_COCO + "SELECT an.id, file_name, category, qty AS area, obj AS x FROM an JOIN img ON img.id = image_id")
 def coco_document_file(spark, d):
     """The document as one file, written by many tasks, and read again by many tasks in ranges of bytes."""
