@@ -3,7 +3,8 @@
 Learning uses at most MOST_ROWS labelled rows with crc32(doc_id) mod 5 <> 0, those of the least md5(doc_id), in three
 folds: one gives a lexicon of words and word beginnings that toxic texts use more often, one fits the trees, one fits
 the isotonic curve. The sampled texts are found in one scan and written; the folds read that table. An entry of the
-lexicon stands in 3 sampled toxic texts or in one of 200, so the sample bounds how many there are; none is cut off. Labels,
+lexicon stands in 3 sampled toxic texts and in one of 200, so there are at most 200 times as many as a text has of its own;
+none is cut off. Labels,
 language, source and identifiers are never features. Scoring reads every text once where it lies: no shuffle; what is
 broadcast is the sample's keys and the model, both bounded by the sample.
 
